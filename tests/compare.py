@@ -6,9 +6,12 @@ import datetime
 import decimal
 import math
 import pathlib
+import time
 
 import duckdb
 
+timings: list[float] = []  # seconds each SQL took
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -54,10 +57,12 @@ TYPE_NAMES = {
 def differences(df, con, sql: str) -> list[str]:
     """Empty when both results agree in columns, types and rows."""
     got = sorted_rows(df.columns, [tuple(r) for r in df.collect()])
+    started = time.time()
     cursor = con.execute(sql)
     names = [c[0] for c in cursor.description]
     types = {c[0]: str(c[1]) for c in cursor.description}
     want = sorted_rows(names, cursor.fetchall())
+    timings.append(time.time() - started)
     out = []
     if got[0] != want[0]:
         return [f"columns {got[0]} against {want[0]}"]

@@ -37,7 +37,9 @@ def main(argv):
             diff = [exc]
             text = "ERROR " + str(exc)[:1500]
         bad += bool(diff)
-        print(f"{name:28s} {time.time() - t0:6.2f}s  {text[:2500]}", flush=True)
+        in_sql = compare.timings.pop() if compare.timings else 0.0
+        print(f"{name:28s} {time.time() - t0 - in_sql:6.2f}s  (sql {in_sql:.2f}s)  {text[:2500]}",
+              flush=True)
     print(f"{len(names) - bad} of {len(names)} agree")
 
 

@@ -70,7 +70,7 @@ RULE_FIELDS = ("rule_no", "action", "src", "dst", "sport", "dport", "protocol",
 def _rule_blocks(rules: DataFrame) -> list[DataFrame]:
     """Rule lists per chain, in blocks small enough to broadcast, first rules first."""
     n = rules.count()
-    listed = F.array_sort(F.collect_list(F.struct(*RULE_FIELDS))).alias("_rules")
+    listed = F.sort_array(F.collect_list(F.struct(*RULE_FIELDS))).alias("_rules")
     if n <= RULES_PER_BLOCK:
         return [rules.groupBy("chain").agg(listed)]
     place = F.row_number().over(Window.partitionBy("chain").orderBy("rule_no")) - 1

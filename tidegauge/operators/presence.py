@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge import schema as S
 from tidegauge.operators.registry import arrival_order
+from tidegauge.session import checkpointed
 
 
 def _gap(ttl_ms: int) -> Column:
@@ -111,12 +112,14 @@ def drop_seen(msgs: DataFrame, seen: DataFrame, ttl_ms: int = S.SEEN_TTL_MS) ->
 # The first arrival sets the expiry and repeats do not renew it, so which row is accepted next
 # depends on the row accepted before it. A key quiet for a full time to live starts afresh, which
 # cuts its rows into sessions; a session shorter than the time to live accepts its first row only.
-# Those two steps are plain aggregations and settle nearly every key. A longer session is cut into
-# spans of SPAN_TTLS times the time to live. Each span is reduced, in parallel, to a step function
+# Those two steps are plain aggregations and settle nearly every key. A longer session of at most
+# FOLD_ROWS rows is folded as one sorted array. One with more rows is cut into spans of SPAN_TTLS
+# times the time to live. Each span is reduced, in parallel, to a step function
 # from the last acceptance before the span to the last one within it; chaining these few steps
 # gives the state at each span's start, and the spans then mark their rows, again in parallel.
 
 SPAN_TTLS = 64
+FOLD_ROWS = 1000
 
 
 def _chain_ends(times: np.ndarray, ttl: int) -> np.ndarray:
@@ -149,18 +152,17 @@ def _span_steps(ttl: int):
 
 
 def _entry_states(ttl: int):
-    def walk(key, batches):
-        state = None
-        for pdf in batches:
-            states = []
-            for upto, end in zip(pdf["_upto"], pdf["_end"]):
-                states.append(state)
-                ready = -(1 << 62) if state is None else state + ttl
-                at = int(np.searchsorted(np.asarray(upto), ready, side="left"))
-                if at < len(end):
-                    state = int(end[at])
-            yield pd.DataFrame({"_group": key[0], "_span": pdf["_span"],
-                                "_state": pd.array(states, dtype="Int64")})
+    # One row per span, a number bounded by the time a session lasts and not by its rows.
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, states = None, []
+        pdf = pdf.sort_values("_span")
+        for upto, end in zip(pdf["_upto"], pdf["_end"]):
+            states.append(state)
+            at = 0 if state is None else int(np.searchsorted(upto, state + ttl, side="left"))
+            if at < len(end):
+                state = int(end[at])
+        return pd.DataFrame({"_group": pdf["_group"], "_span": pdf["_span"],
+                             "_state": pd.array(states, dtype="Int64")})
     return walk
 
 
@@ -194,41 +196,53 @@ def dedupe_fixed(df: DataFrame, key: str, ms: str, seq: str,
 
     timed = named.withColumn("_at", _instant(ms))
     sessions = timed.groupBy(key, F.session_window("_at", _gap(ttl_ms))).agg(
-        first.alias("_f"), F.min(ms).alias("_from"), F.max(ms).alias("_to"))
-    short = (sessions.filter(F.col("_to") - F.col("_from") < ttl_ms)
-             .select(key, "_f.*").select(*df.columns))
+        first.alias("_f"), F.min(ms).alias("_from"), F.max(ms).alias("_to"),
+        F.count("*").alias("_rows"))
+    span = F.col("_to") - F.col("_from")
+    short = sessions.filter(span < ttl_ms).select(key, "_f.*").select(*df.columns)
+    medium = _fold_sessions(named, sessions.filter((span >= ttl_ms) & (F.col("_rows") <= FOLD_ROWS)),
+                            key, ms, seq, ttl_ms)
 
     # One row per time is enough: of rows with the same time only the first can be accepted.
-    long = sessions.filter(F.col("_to") - F.col("_from") >= ttl_ms).select(
-        F.col(key).alias("_key"), "_from", "_to")
+    long = sessions.filter((span >= ttl_ms) & (F.col("_rows") > FOLD_ROWS))
     group = F.struct(F.col(key), F.col("_from"))
-    points = (
-        named.join(long, (F.col(key) == F.col("_key")) & F.col(ms).between(F.col("_from"), F.col("_to")))
+    # Read three times below, and small next to the input: written out once.
+    points = checkpointed(
+        _rows_of(named, long, key, ms)
         .groupBy(group.alias("_id"), F.col(ms).alias("_t"))
         .agg(F.min_by(F.struct(*df.columns), F.col(seq)).alias("_row"))
         .withColumn("_group", F.to_json("_id"))
         .withColumn("_span", F.expr(f"_t DIV {ttl_ms * SPAN_TTLS}"))
     )
+    if points.isEmpty():
+        return short.unionByName(medium).unionByName(anonymous)
     times = points.select("_group", "_span", "_t")
     steps = times.groupBy("_group", "_span").applyInPandas(
         _span_steps(ttl_ms),
         "_group string, _span long, _upto array<bigint>, _end array<bigint>")
-    entries = _walk_spans(steps, ttl_ms)
+    entries = steps.groupBy("_group").applyInPandas(
+        _entry_states(ttl_ms), "_group string, _span long, _state long")
     marked = times.groupBy("_group", "_span").cogroup(entries.groupBy("_group", "_span")) \
         .applyInPandas(_mark_span(ttl_ms), "_group string, _t long")
     accepted = points.join(marked, ["_group", "_t"]).select("_row.*").select(*df.columns)
-    return short.unionByName(accepted).unionByName(anonymous)
-
-
-def _walk_spans(steps: DataFrame, ttl_ms: int) -> DataFrame:
-    """State at the start of each span, read along the spans of a group in batches."""
-    from collections.abc import Iterator
-
-    walk = _entry_states(ttl_ms)
-
-    def ordered(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # The number of spans is bounded by the time a session lasts, not by its rows.
-        whole = pd.concat(list(batches)).sort_values("_span")
-        yield from walk(key, iter([whole]))
-
-    return steps.groupBy("_group").applyInPandas(ordered, "_group string, _span long, _state long")
+    return short.unionByName(medium).unionByName(accepted).unionByName(anonymous)
+
+
+def _rows_of(rows: DataFrame, sessions: DataFrame, key: str, ms: str) -> DataFrame:
+    """Rows that fall into the given sessions, with the session's start."""
+    spans = sessions.select(F.col(key).alias("_key"), "_from", "_to")
+    inside = (F.col(key) == F.col("_key")) & F.col(ms).between(F.col("_from"), F.col("_to"))
+    return rows.join(spans, inside)
+
+
+def _fold_sessions(rows: DataFrame, sessions: DataFrame, key: str, ms: str, seq: str,
+                   ttl_ms: int) -> DataFrame:
+    """Accepted rows of sessions with few rows: a fold over each session's sorted rows."""
+    columns = rows.columns
+    ordered = F.sort_array(F.collect_list(F.struct(
+        F.col(ms).alias("_t"), F.col(seq).alias("_s"), F.struct(*columns).alias("_row"))))
+    grouped = _rows_of(rows, sessions, key, ms).groupBy(key, "_from").agg(ordered.alias("_all"))
+    start = F.slice("_all", 1, 1)
+    kept = F.aggregate("_all", start, lambda out, row: F.when(
+        row["_t"] >= F.element_at(out, -1)["_t"] + ttl_ms, F.array_append(out, row)).otherwise(out))
+    return grouped.select(F.inline(kept)).select("_row.*").select(*columns)

@@ -50,7 +50,7 @@ def anomalies(values: DataFrame, key: str, ms: str, seq: str, value: str, z: flo
     # least one row, so ``history`` segments are enough.
     w = Window.partitionBy(key).orderBy(SEGMENT).rowsBetween(-history, -1)
     flat = F.flatten(F.collect_list("_rows").over(w))
-    earlier = (tails.withColumn("_rows", F.slice(F.reverse(F.array_sort(flat)), 1, history))
+    earlier = (tails.withColumn("_rows", F.slice(F.reverse(F.sort_array(flat)), 1, history))
                .select(key, SEGMENT, F.inline("_rows")))
     own = cut.select(key, SEGMENT, F.col(ms).alias("m"), F.col(seq).alias("s"),
                      F.col(value).alias("v"), F.lit(True).alias("_own"))

@@ -1 +1,61 @@
+"""Queries over messages passed on through the peer network."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidegauge import fixtures as X
+from tidegauge import schema as S
+from tidegauge.operators import envelopes as E
+from tidegauge.operators import gossip as G
+from tidegauge.queries.catalog import register
+
+LOCAL = "0" * 63 + "2"
+
+
+@register("""SELECT type, stream_id, origin, message_id, count(*) AS arrivals FROM fx_arrivals
+             GROUP BY ALL""")
+def gossip_key(spark, d):
+    keys = G.gossip_key(X.gossip_arrivals(spark, d))
+    return keys.groupBy(*G.GOSSIP_KEY).agg(F.count("*").alias("arrivals"))
+
+
+@register(f"""SELECT type, stream_id, origin, message_id, ttl - 1 AS ttl, ts_ms, seq FROM fx_arrivals
+              WHERE origin <> '{LOCAL}' AND type IN ('control', 'replicate') AND ttl > 1""")
+def relay_step(spark, d):
+    return G.relay_step(X.gossip_arrivals(spark, d), LOCAL)
+
+
+@register(f"""SELECT seq, CASE WHEN ttl = 0 THEN {S.GOSSIP_TTL} WHEN ttl > 1 THEN ttl - 1 END AS ttl
+              FROM fx_arrivals WHERE type = 'kafka_broadcast'""")
+def relay_kafka_ttl(spark, d):
+    rows = X.gossip_arrivals(spark, d).filter("type = 'kafka_broadcast'")
+    return rows.select("seq", G.relay_kafka_ttl(F.col("ttl")).alias("ttl"))
+
+
+FANOUT = """SELECT message_id, peer_id FROM (
+    SELECT message_id, peer_id, (SELECT count(*) FROM fx_peers) AS n, row_number() OVER (
+      PARTITION BY message_id ORDER BY md5(message_id || peer_id || addr || port)) AS place
+    FROM (SELECT DISTINCT message_id FROM relay WHERE accepted), fx_peers)
+    WHERE place <= {0} OR n <= {0} OR message_id = ''"""
+
+
+def messages(spark, d):
+    parsed = E.parse_edge_json(X.envelopes(spark, d)).filter("accepted")
+    return parsed.select("message_id").distinct()
+
+
+@register(FANOUT.format(S.GOSSIP_FANOUT))
+def rendezvous_fanout(spark, d):
+    return G.rendezvous_fanout(messages(spark, d), X.peers(spark, d))
+
+
+REACH = f"""SELECT origin, node, min(hops) AS hops FROM reach WHERE node <> origin GROUP BY ALL"""
+REACH_CTE = f"""SELECT origin, origin AS node, 0 AS hops FROM fx_origins
+    UNION SELECT r.origin, l.b, r.hops + 1 FROM reach r JOIN fx_links l ON l.a = r.node
+    WHERE r.hops < {S.GOSSIP_TTL}"""
+
+
+@register(REACH, recursive=True, extra={"reach": REACH_CTE})
+def gossip_reach(spark, d):
+    return G.gossip_reach(X.links(spark, d), X.origins(spark, d))
