@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge import schema as S
-from tidegauge.plans.segments import SEGMENT, before, lag_across, local_window, running_max, running_sum
+from tidegauge.plans.segments import (
+    SEGMENT, before, lag_across, local_window, running_max, running_sum)
+from tidegauge.session import checkpointed
 
 SEGMENT_MS = 3_600_000
 
@@ -47,7 +49,7 @@ def rate_limit(df: DataFrame, capacity: int, node: str = "node", ms: str = "t_ms
     """
     if capacity == 0:
         return df.withColumn("accepted", F.lit(True))
-    wide = "decimal(38,0)"
+    wide, columns = "decimal(38,0)", df.columns
     free = df.filter(F.col(size) == 0).withColumn("accepted", F.lit(True))
     over = df.filter(F.col(size) > capacity).withColumn("accepted", F.lit(False))
     order = [ms, seq]
@@ -80,9 +82,12 @@ def rate_limit(df: DataFrame, capacity: int, node: str = "node", ms: str = "t_ms
         .withColumn("_missing", F.col("_base") + F.col("_level") - F.col("_period"))
     )
     dry = F.col("_missing") + F.col("_cost") > F.lit(capacity * 1000 - 1)
-    doubtful = (levels.groupBy(node, "_period").agg(F.bool_or(dry).alias("_doubt")))
-    marked = levels.join(doubtful, [node, "_period"]).select(*df.columns, "_period", "_doubt")
-    sure = marked.filter(~F.col("_doubt")).select(*df.columns, F.lit(True).alias("accepted"))
+    # Rows of a period meet in one place for the replay anyway; the same shuffle tells which
+    # periods need one, and serves both branches below.
+    period = Window.partitionBy(node, "_period")
+    marked = (levels.select(*columns, "_period", dry.alias("_dry"))
+              .withColumn("_doubt", F.max("_dry").over(period)))
+    sure = marked.filter(~F.col("_doubt")).select(*columns, F.lit(True).alias("accepted"))
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         period, bucket = None, None
@@ -92,12 +97,11 @@ def rate_limit(df: DataFrame, capacity: int, node: str = "node", ms: str = "t_ms
                 if at != period:
                     period, bucket = at, TokenBucket(capacity)
                 flags.append(bucket.accept(int(now), int(cost)))
-            yield pdf[df.columns].assign(accepted=flags)
+            yield pdf[columns].assign(accepted=flags)
 
-    in_order = (marked.filter("_doubt").drop("_doubt").repartition(node, "_period")
+    in_order = (marked.filter("_doubt").select(*columns, F.col("_period").cast("string"))
                 .sortWithinPartitions(node, "_period", ms, seq))
-    out_schema = df.withColumn("accepted", F.lit(True)).schema
-    replayed = in_order.mapInPandas(replay, out_schema)
+    replayed = in_order.mapInPandas(replay, df.withColumn("accepted", F.lit(True)).schema)
     return sure.unionByName(replayed).unionByName(free).unionByName(over)
 
 
@@ -126,7 +130,9 @@ def _steps(events: DataFrame, segment: Column) -> DataFrame:
     prev = lag_across(ops, ["node", "stream_id"], segment, "seq", "_op", "_prev")
     opened = (F.col("_op") == 1) & (F.coalesce("_prev", F.lit(-1)) == -1)
     closed = (F.col("_op") == -1) & (F.col("_prev") == 1)
-    return prev.withColumn("delta", F.when(opened, 1).when(closed, -1).otherwise(0)).drop("_prev")
+    delta = F.when(opened, 1).when(closed, -1).otherwise(0)
+    # What follows reads these rows more than once.
+    return checkpointed(prev.select("node", "stream_id", "kind", "seq", "t_ms", delta.alias("delta")))
 
 
 def concurrent_streams(events: DataFrame, segment: Column | None = None) -> DataFrame:
@@ -170,10 +176,10 @@ def admit_streams(events: DataFrame, max_streams: int = S.MAX_STREAMS,
     if max_streams == 0:
         return counted.select(*columns, F.lit(True).alias("accepted")).unionByName(nameless)
     empty = F.when(F.col("running") - F.col("delta") == 0, F.col("seq"))
-    stretches = running_max(counted, ["node"], segment, "seq", empty, "_stretch")
-    full = stretches.groupBy("node", "_stretch").agg(
-        (F.max("running") > max_streams).alias("_full"))
-    marked = stretches.join(full, ["node", "_stretch"]).select(*columns, "_stretch", "_full")
+    stretches = running_max(checkpointed(counted), ["node"], segment, "seq", empty, "_stretch")
+    together = Window.partitionBy("node", "_stretch")
+    marked = stretches.select(*columns, "_stretch", "running").withColumn(
+        "_full", F.max("running").over(together) > max_streams)
     sure = marked.filter(~F.col("_full")).select(*columns, F.lit(True).alias("accepted"))
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,7 +200,7 @@ def admit_streams(events: DataFrame, max_streams: int = S.MAX_STREAMS,
                     flags.append(False)
             yield pdf[columns].assign(accepted=flags)
 
-    in_order = (marked.filter("_full").drop("_full").repartition("node", "_stretch")
+    in_order = (marked.filter("_full").select(*columns, "_stretch")
                 .sortWithinPartitions("node", "_stretch", "seq"))
     replayed = in_order.mapInPandas(replay, sure.schema)
     return sure.unionByName(replayed).unionByName(nameless)

@@ -1 +1,195 @@
+"""Streaming queries, each run over all that is there and read back as a table."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidegauge import fixtures as X
+from tidegauge import schema as S
+from tidegauge.operators import envelopes as E
+from tidegauge.operators import gossip as G
+from tidegauge.queries import admission_queries as AQ
+from tidegauge.queries import fleet_queries  # noqa: F401
+from tidegauge.queries import frame_queries  # noqa: F401
+from tidegauge.queries import oracle_inputs as O
+from tidegauge.queries import presence_queries as PQ
+from tidegauge.queries.catalog import SQL, register
+from tidegauge.queries.registry_queries import LATEST
+from tidegauge.queries.source_queries import MESSAGES, landing, shown
+from tidegauge.session import scratch
+from tidegauge.sources.landing import stream_landing
+from tidegauge.sources.registry_table import read_registry, registry_rows
+from tidegauge.sources.tables import read_device_messages
+from tidegauge.streaming import pipelines as P
+from tidegauge.streaming import state as ST
+
+
+def streamed(spark, df, name):
+    """A stream of the rows of a table."""
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return stream_landing(spark, path, df.schema)
+
+
+def drained(spark, stream, name):
+    """The table a stream has written once it has seen all there is."""
+    path = scratch(spark, f"{name}-out")
+    P.run_to_table(stream, path, scratch(spark, f"{name}-checkpoint"))
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def topic(spark, d):
+    return stream_landing(spark, landing(spark, d))
+
+
+@register(MESSAGES)
+def ingest_stream(spark, d):
+    table = scratch(spark, "messages")
+    P.ingest_stream(topic(spark, d), table, scratch(spark, "bad"),
+                    scratch(spark, "ingest-checkpoint")).awaitTermination()
+    return shown(read_device_messages(spark, table))
+
+
+@register("""SELECT "partition", "offset", error FROM storage WHERE error IS NOT NULL""")
+def ingest_stream_quarantine(spark, d):
+    bad = scratch(spark, "bad")
+    P.ingest_stream(topic(spark, d), scratch(spark, "messages"), bad,
+                    scratch(spark, "ingest-checkpoint")).awaitTermination()
+    return spark.read.parquet(f"{bad}/batch_id=*").select("partition", "offset", "error")
+
+
+@register(f"""SELECT CAST(first_position AS VARCHAR) AS id, mac_addr, "timestamp" FROM ({LATEST})""")
+def registry_stream(spark, d):
+    path = scratch(spark, "registry")
+    P.registry_stream(topic(spark, d), path,
+                      scratch(spark, "registry-checkpoint")).awaitTermination()
+    return registry_rows(read_registry(spark, path))
+
+
+def same_sql_as(name):
+    """Register a stream under the SQL of its batch form."""
+    def add(function):
+        run = register()(function)
+        SQL[function.__name__] = SQL[name]
+        return run
+
+    return add
+
+
+@same_sql_as("dedupe_fixed_chains")
+def dedupe_fixed_stream(spark, d):
+    rows = streamed(spark, X.presence(spark, d), "presence")
+    return drained(spark, ST.dedupe_fixed_stream(rows, "mac12", "ts_ms", "event_id", PQ.TTL), "fixed")
+
+
+@same_sql_as("dedupe_sliding")
+def dedupe_sliding_stream(spark, d):
+    rows = streamed(spark, X.gossip_arrivals(spark, d), "arrivals")
+    return drained(spark, ST.dedupe_sliding_stream(rows, list(G.GOSSIP_KEY), "ts_ms", "seq",
+                                                   PQ.GOSSIP_TTL_MS), "sliding")
+
+
+SESSIONS = PQ.sessions_sql("mac12", "ts_ms", "fx_presence", PQ.TTL)
+
+
+@register(f"""SELECT mac12, start_ms AS at_ms, 'online' AS status FROM sessions
+    UNION ALL SELECT mac12, end_ms, 'offline' FROM (
+      SELECT *, max(start_ms) OVER (PARTITION BY mac12) AS last_start FROM sessions)
+    WHERE start_ms < last_start""", extra={"sessions": SESSIONS})
+def device_online_stream(spark, d):
+    """Changes of presence; the last session of a device is still open when the rows end."""
+    rows = streamed(spark, X.presence(spark, d), "presence")
+    return drained(spark, ST.presence_changes(rows, "mac12", "ts_ms", "event_id", PQ.TTL), "online")
+
+
+@register(f"""SELECT mac_hex, arg_max(value, "offset") AS value,
+    arg_max(arrival_ms, "offset") + {S.DEVICE_LATEST_TTL_MS} AS expires_at_ms
+    FROM relay WHERE accepted GROUP BY mac_hex""")
+def device_latest_stream(spark, d):
+    parsed = E.parse_edge_json(topic(spark, d)).filter("accepted")
+    latest = ST.device_latest_stream(parsed, "mac_hex", "value", "arrival_ms", "offset")
+    return drained(spark, latest, "latest")
+
+
+@same_sql_as("rate_limit")
+def rate_limit_stream(spark, d):
+    rows = streamed(spark, X.ingress(spark, d).filter("kind = 'Data'"), "ingress")
+    marked = ST.rate_limit_stream(rows, AQ.CAPACITY)
+    return drained(spark, marked, "budget").select("node", "seq", "accepted")
+
+
+@same_sql_as("admit_streams")
+def admit_streams_stream(spark, d):
+    rows = streamed(spark, X.ingress(spark, d), "ingress")
+    marked = ST.admit_streams_stream(rows, AQ.MAX_STREAMS)
+    return drained(spark, marked, "limit").select("node", "stream_id", "kind", "seq", "t_ms", "accepted")
+
+
+@same_sql_as("route_health")
+def route_health_stream(spark, d):
+    rows = streamed(spark, X.route_events(spark, d), "route-events")
+    return drained(spark, ST.route_health_stream(rows), "health").drop("upto_seq")
+
+
+@same_sql_as("reassemble_frames")
+def reassemble_frames_stream(spark, d):
+    rows = streamed(spark, X.chunks(spark, d), "chunks")
+    return drained(spark, ST.reassemble_frames_stream(rows), "frames").select(
+        "stream_id", "frame_no", F.lower(F.hex("frame")).alias("frame_hex"))
+
+
+IDLE_MS = 6 * 3600 * 1000
+
+
+@register(f"""SELECT * FROM ({PQ.sessions_sql(PQ.IDLE_KEYS, 'ts_ms', 'fx_idle', IDLE_MS)})
+    WHERE end_ms - 1 <= (SELECT max(ts_ms) FROM fx_idle)""", extra={"fx_idle": PQ.IDLE})
+def idle_sessions_stream(spark, d):
+    """Sessions whose end the rows have passed; the others are still open."""
+    rows = streamed(spark, PQ.peer_traffic(spark, d), "traffic")
+    keys = ["peer_ip", "peer_port", "conv"]
+    return drained(spark, ST.idle_sessions_stream(rows, keys, "ts_ms", IDLE_MS), "idle")
+
+
+RELAY = {"ids": PQ.RELAY_IDS,
+         **PQ.fixed_ctes("ids", "message_id", "arrival_ms", '"offset"', S.SEEN_TTL_MS),
+         "fresh": PQ.fixed_sql("ids", "message_id", "arrival_ms", '"offset"', S.SEEN_TTL_MS,
+                               'message_id, "offset"')}
+
+
+@register(f"""SELECT "offset", peer_id FROM (
+    SELECT "offset", message_id, peer_id, (SELECT count(*) FROM fx_peers) AS n, row_number() OVER (
+      PARTITION BY "offset" ORDER BY md5(message_id || peer_id || addr || port)) AS place
+    FROM fresh, fx_peers) WHERE place <= {S.GOSSIP_FANOUT} OR n <= {S.GOSSIP_FANOUT}
+      OR message_id = ''""", recursive=True, extra=RELAY)
+def relay_stream(spark, d):
+    """Peers each fresh message of the topic is passed on to."""
+    sent = scratch(spark, "sent")
+    P.relay_stream(topic(spark, d), X.peers(spark, d), sent, scratch(spark, "relay-state"),
+                   scratch(spark, "relay-checkpoint")).awaitTermination()
+    return spark.read.parquet(f"{sent}/batch_id=*").select("offset", "peer_id")
+
+
+EDGE = """SELECT 'x' || (event_id // 4) AS message_id, ts_ms AS arrival_ms, event_id AS "offset",
+    mac12, props, user_id FROM ev WHERE event_id % 11 <> 0 AND event_id % 13 <> 0"""
+EDGE_CTES = {"edge": EDGE, **PQ.fixed_ctes("edge", "message_id", "arrival_ms", '"offset"', S.SEEN_TTL_MS)}
+
+
+@register(f"""SELECT mac12 AS key, to_json({{'mac_addr': {O.colon('mac12')}, 'mac_hex': mac12,
+    'message_id': message_id, 'origin': 'n1', 'payload_base64': base64(encode(props)),
+    'payload_len': octet_length(encode(props)), 'received_at_ms': arrival_ms,
+    'schema': 'iota.edge.raw.v1', 'stream_id': {O.STREAM_ID}, 'timestamp_ms': arrival_ms
+    }})::VARCHAR AS value FROM (""" + PQ.fixed_sql(
+        "edge", "message_id", "arrival_ms", '"offset"', S.SEEN_TTL_MS,
+        'message_id, arrival_ms, "offset", mac12, props, user_id') + ")",
+          recursive=True, extra=EDGE_CTES)
+def edge_stream(spark, d):
+    """Topic rows made of device frames, without repeats."""
+    events = X._events(spark, d).select(
+        "event_id", F.expr("concat('x', event_id DIV 4)").alias("frame_id"),
+        F.col("ts_ms").alias("arrival_ms"), F.col("event_id").alias("offset"),
+        F.lit(0).alias("partition"), F.lit("n1").alias("origin_id"))
+    frames = X.frames(spark, d).join(events, "event_id").drop("event_id")
+    produced = scratch(spark, "produced")
+    P.edge_stream(streamed(spark, frames, "edge-frames"), produced, scratch(spark, "edge-state"),
+                  scratch(spark, "edge-checkpoint")).awaitTermination()
+    return spark.read.parquet(f"{produced}/batch_id=*").select("key", "value")

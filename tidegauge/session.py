@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     # HotSpot does not compile methods of more than 8000 bytes of bytecode. Stages whose generated
     # method would be larger run as split functions instead, which it does compile.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Arrow batches handed to Python are bounded in bytes as well as rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
