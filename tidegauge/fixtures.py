@@ -29,8 +29,9 @@ def _events(spark, sf_dir) -> DataFrame:
     )
 
 
-COLON = "regexp_replace(mac12, '(..)(?=.)', '$1:')"
-DASHED = "regexp_replace(mac12, '(..)(?=.)', '$1-')"
+_PAIRS = ", ".join(f"substr(mac12, {i}, 2)" for i in range(1, 12, 2))
+COLON = f"concat_ws(':', {_PAIRS})"
+DASHED = f"concat_ws('-', {_PAIRS})"
 TOPIC = f"concat('iota/node-', user_id % 4, '/devices/', {DASHED}, '/telemetry')"
 
 

@@ -1,7 +1,8 @@
 """Typed access to the top-level fields of a JSON text.
 
-The text is parsed once into a struct of VARIANT fields, which keeps each value's JSON type: the
-number 5 and the string "5" stay apart. Reading is strict or lenient by choice: ``*_wrong`` tells
+The text is parsed into a struct of VARIANT fields, which keeps each value's JSON type (the number
+5 and the string "5" stay apart), and into a struct of strings, which is the cheapest way to the
+values. Reading is strict or lenient by choice: ``*_wrong`` tells
 that a field is present with a value of another type, ``*_value`` takes such a field as absent. A
 missing key and a JSON null are both "absent". Of duplicate keys the last one counts.
 """
@@ -16,19 +17,33 @@ U64_MAX = "18446744073709551615"
 _OPTIONS = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_corrupt"}
 
 
-def parse_fields(df: DataFrame, text: str, fields: Sequence[str]) -> DataFrame:
-    """Add ``_object`` (the text is a JSON object), and per field ``_v_<field>``, the value as
-    VARIANT, and ``_t_<field>``, its type name (NULL when absent)."""
-    ddl = ", ".join(f"{f} VARIANT" for f in fields) + ", _corrupt STRING"
-    parsed = df.withColumn("_json", F.from_json(text, ddl, _OPTIONS))
+def parse_fields(df: DataFrame, text: str, strings: Sequence[str] = (),
+                 numbers: Sequence[str] = (), ints: Sequence[str] = ()) -> DataFrame:
+    """Add ``_object`` (the text is a JSON object), and per field ``_t_<field>``, its type name
+    (NULL when absent), and ``_s_<field>``, its value as text, or ``_n_<field>``, its value as
+    number: DECIMAL(20,0) for ``numbers``, which are unsigned, BIGINT for ``ints``."""
+    fields = [*strings, *numbers, *ints]
+    kinds = ", ".join(f"{f} VARIANT" for f in fields) + ", _corrupt STRING"
+    texts = ", ".join(f"{f} STRING" for f in fields)
+    parsed = df.withColumn("_json", F.from_json(text, kinds, _OPTIONS)).withColumn(
+        "_text", F.from_json(text, texts, _OPTIONS))
     keep = [F.col(c) for c in df.columns]
     opened = parsed.select(
         *keep,
         (F.col("_json").isNotNull() & F.col("_json._corrupt").isNull()).alias("_object"),
-        *[F.col(f"_json.{f}").alias(f"_v_{f}") for f in fields],
+        *[F.col(f"_text.{f}").alias(f"_s_{f}") for f in fields],
         *[F.schema_of_variant(F.col(f"_json.{f}")).alias(f"_t_{f}") for f in fields],
     )
-    return opened
+    # A step of its own: the numbers are used several times and costly to read from text.
+    return opened.select(
+        *keep, "_object", *[f"_t_{f}" for f in fields], *[f"_s_{f}" for f in strings],
+        *[_integer(f, "decimal(20,0)", "BIGINT", "DECIMAL(19,0)", "DECIMAL(20,0)") for f in numbers],
+        *[_integer(f, "bigint", "BIGINT") for f in ints])
+
+
+def _integer(field: str, as_type: str, *kinds: str) -> Column:
+    value = F.when(F.col(f"_t_{field}").isin(*kinds), F.col(f"_s_{field}").try_cast(as_type))
+    return value.alias(f"_n_{field}")
 
 
 def _absent(field: str) -> Column:
@@ -38,35 +53,31 @@ def _absent(field: str) -> Column:
 
 def str_value(field: str) -> Column:
     """The string, '' when absent or of another type."""
-    text = F.try_variant_get(F.col(f"_v_{field}"), "$", "string")
-    return F.when(F.col(f"_t_{field}") == "STRING", text).otherwise("")
+    return F.when(F.col(f"_t_{field}") == "STRING", F.col(f"_s_{field}")).otherwise("")
 
 
 def str_wrong(field: str) -> Column:
     return ~_absent(field) & (F.col(f"_t_{field}") != "STRING")
 
 
+def _u64(field: str) -> Column:
+    """The value, NULL unless it is an unsigned 64-bit integer."""
+    number = F.col(f"_n_{field}")
+    return F.when(number.between(0, F.lit(U64_MAX).cast("decimal(20,0)")), number)
+
+
 def u64_value(field: str) -> Column:
     """The unsigned integer as DECIMAL(20,0), 0 when absent, negative or of another type."""
-    kind = F.col(f"_t_{field}")
-    number = F.try_variant_get(F.col(f"_v_{field}"), "$", "decimal(20,0)")
-    integral = (kind == "BIGINT") | (kind == "DECIMAL(19,0)") | (kind == "DECIMAL(20,0)")
-    in_range = number.between(0, F.lit(U64_MAX).cast("decimal(20,0)"))
-    return F.when(integral & in_range, number).otherwise(F.lit(0).cast("decimal(20,0)"))
+    return F.coalesce(_u64(field), F.lit(0).cast("decimal(20,0)"))
 
 
 def u64_wrong(field: str) -> Column:
-    kind = F.col(f"_t_{field}")
-    number = F.try_variant_get(F.col(f"_v_{field}"), "$", "decimal(20,0)")
-    integral = (kind == "BIGINT") | (kind == "DECIMAL(19,0)") | (kind == "DECIMAL(20,0)")
-    in_range = number.between(0, F.lit(U64_MAX).cast("decimal(20,0)"))
-    return ~_absent(field) & ~(integral & F.coalesce(in_range, F.lit(False)))
+    return ~_absent(field) & _u64(field).isNull()
 
 
 def int_value(field: str) -> Column:
     """The signed integer, NULL when absent or of another type."""
-    number = F.try_variant_get(F.col(f"_v_{field}"), "$", "bigint")
-    return F.when(F.col(f"_t_{field}") == "BIGINT", number)
+    return F.col(f"_n_{field}")
 
 
 def int_wrong(field: str) -> Column:

@@ -52,7 +52,7 @@ def parse_envelopes(df: DataFrame, created_ms: str | None = "arrival_ms") -> Dat
     """
     keep = [F.col(c) for c in df.columns]
     now = F.col(created_ms) if created_ms else _now_ms()
-    typed = J.parse_fields(df, "value", STORAGE_STRINGS + TIMES + ("payload_len",)).select(
+    typed = J.parse_fields(df, "value", STORAGE_STRINGS, TIMES, ("payload_len",)).select(
         *keep,
         (~F.col("_object") | _any(*[J.str_wrong(f) for f in STORAGE_STRINGS],
                                   *[J.u64_wrong(f) for f in TIMES],
@@ -100,7 +100,7 @@ def parse_connections(df: DataFrame, now_ms: str | None = "arrival_ms") -> DataF
     numbers = TIMES + ("stream_id",)
     ints = ("payload_len", "qos", "received_at_ms")
     now = F.col(now_ms) if now_ms else _now_ms()
-    typed = J.parse_fields(df, "value", REGISTRY_STRINGS + numbers + ints).select(
+    typed = J.parse_fields(df, "value", REGISTRY_STRINGS, numbers, ints).select(
         *keep,
         (~F.col("_object") | _any(*[J.str_wrong(f) for f in REGISTRY_STRINGS],
                                   *[J.u64_wrong(f) for f in numbers],
@@ -141,7 +141,7 @@ def parse_edge_json(df: DataFrame, received_ms: str | None = "arrival_ms",
     strings = ("schema", "mac_hex", "mac_addr", "topic", "payload_base64", "origin",
                "message_id", "mqtt_message_id")
     numbers = TIMES + ("stream_id", "payload_len")
-    typed = J.parse_fields(df, "value", strings + numbers).select(
+    typed = J.parse_fields(df, "value", strings, numbers).select(
         *keep, "_object",
         *[J.str_value(f).alias(f"_{f}") for f in strings],
         *[J.u64_value(f).alias(f"_{f}") for f in numbers],

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge import schema as S
 
+RULES_UNROLLED = 64
 RULES_PER_BLOCK = 1024
 LOG_PATTERN = (r"^Time: (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})  From (\S+) To (\S+) "
                r"(\S+) PROTOCOL was (\S+)$")
@@ -80,13 +81,29 @@ def _rule_blocks(rules: DataFrame) -> list[DataFrame]:
             for b in range(blocks)]
 
 
+def _unrolled(rules: list) -> Column:
+    """First match as a chain of conditions, in rule order; constants that match anything fold
+    away, and a packet is compared only up to its first match."""
+    hit = None
+    for rule in sorted(rules, key=lambda r: (r["chain"], r["rule_no"])):
+        found = (F.col("chain") == rule["chain"]) & matches(lambda f, r=rule: F.lit(r[f]), F.col)
+        value = F.struct(F.lit(rule["rule_no"]).alias("rule_no"),
+                         F.lit(rule["action"]).alias("rule_action"))
+        hit = F.when(found, value) if hit is None else hit.when(found, value)
+    return F.lit(None).cast("struct<rule_no:int,rule_action:int>") if hit is None else hit
+
+
 def classify_packets(packets: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``rule_no`` and ``rule_action`` of the first rule of the packet's chain to match.
 
-    The rules of a chain are one ordered list, joined by chain and searched in place, so packets
-    are neither multiplied nor shuffled. A long rule table is taken in blocks: a later block
-    counts only where the earlier ones had no match.
+    Packets are neither multiplied nor shuffled. A short rule table, the usual case, becomes one
+    conditional expression. A longer one is joined by chain as an ordered list and searched in
+    place, in blocks: a later block counts only where the earlier ones had no match.
     """
+    few = rules.limit(RULES_UNROLLED + 1).collect()
+    if len(few) <= RULES_UNROLLED:
+        out = packets.withColumn("_hit", F.when(packet_ok(F.col), _unrolled(few)))
+        return out.select(*packets.columns, "_hit.rule_no", "_hit.rule_action")
     out = packets.withColumn("_hit", F.lit(None).cast("struct<rule_no:int,rule_action:int>"))
     for block in _rule_blocks(rules):
         hits = F.filter("_rules", lambda r: matches(lambda f: r[f], F.col))

@@ -44,15 +44,15 @@ def parse_edge_json(spark, d):
         F.col("payload_len").cast("bigint").alias("payload_len"), "origin", "message_id")
 
 
-def _fields(spark, d, *names):
+def _fields(spark, d, strings=(), numbers=(), ints=()):
     return J.parse_fields(X.envelopes(spark, d).select(*POSITION, "arrival_ms", "value"),
-                          "value", names)
+                          "value", strings, numbers, ints)
 
 
 @register("""SELECT "partition", "offset", j_schema IN ('', 'iota.edge.raw.v1') AS schema_ok
              FROM fields""")
 def schema_ok(spark, d):
-    return _fields(spark, d, "schema").select(
+    return _fields(spark, d, ["schema"]).select(
         *POSITION, E.schema_ok(J.str_value("schema")).alias("schema_ok"))
 
 
@@ -61,14 +61,14 @@ def schema_ok(spark, d):
 def coalesce_nonzero_ts(spark, d):
     ts = P.coalesce_nonzero_ts(J.u64_value("timestamp_ms"), J.u64_value("timestamp"),
                                F.col("arrival_ms").cast("decimal(20,0)"))
-    return _fields(spark, d, "timestamp_ms", "timestamp").select(
+    return _fields(spark, d, numbers=["timestamp_ms", "timestamp"]).select(
         *POSITION, ts.cast("string").alias("ts"))
 
 
 @register("""SELECT "partition", "offset", j_timestamp_ms <= 9223372036854775807 AS fits
              FROM fields""")
 def u64_to_i64_guard(spark, d):
-    return _fields(spark, d, "timestamp_ms").select(
+    return _fields(spark, d, numbers=["timestamp_ms"]).select(
         *POSITION, P.fits_int64(J.u64_value("timestamp_ms")).alias("fits"))
 
 
@@ -117,7 +117,7 @@ def mac_from_topic_prefix(spark, d):
              FROM storage_raw s JOIN registry g USING ("partition", "offset")
              JOIN relay r USING ("partition", "offset")""")
 def resolve_mac(spark, d):
-    fields = _fields(spark, d, "mac_addr", "mac_hex", "topic").select(
+    fields = _fields(spark, d, ["mac_addr", "mac_hex", "topic"]).select(
         *POSITION, *[J.str_value(f).alias(f) for f in ("mac_addr", "mac_hex", "topic")])
     args = (F.col("mac_addr"), F.col("mac_hex"), F.col("topic"))
     return fields.select(*POSITION, *[E.resolve_mac(p, *args).alias(f"{p}_mac")
@@ -127,7 +127,7 @@ def resolve_mac(spark, d):
 @register("""SELECT "partition", "offset", lower(hex(payload)) AS payload_hex FROM storage_raw""")
 def decode_payload(spark, d):
     decoded = P.decode_payload(J.str_value("payload_base64"))
-    return _fields(spark, d, "payload_base64").select(
+    return _fields(spark, d, ["payload_base64"]).select(
         *POSITION, F.lower(F.hex(decoded)).alias("payload_hex"))
 
 
@@ -135,7 +135,7 @@ def decode_payload(spark, d):
              j_payload_len IS NULL OR (j_payload_len >= 0 AND j_payload_len = octet_length(payload))
              AS len_ok FROM storage_raw WHERE payload IS NOT NULL""")
 def payload_len_ok(spark, d):
-    fields = _fields(spark, d, "payload_base64", "payload_len").select(
+    fields = _fields(spark, d, ["payload_base64"], ints=["payload_len"]).select(
         *POSITION, J.int_value("payload_len").alias("declared"),
         P.decode_payload(J.str_value("payload_base64")).alias("payload"))
     return fields.filter("payload IS NOT NULL").select(
@@ -210,7 +210,7 @@ def bridge_mqtt(spark, d):
     FROM fields""")
 def typed_json_fields(spark, d):
     kind = F.col("_t_timestamp_ms")
-    return _fields(spark, d, "mac_hex", "timestamp_ms", "payload_len").select(
+    return _fields(spark, d, ["mac_hex"], ["timestamp_ms"], ["payload_len"]).select(
         *POSITION,
         F.when(kind == "STRING", "string").when(kind.isNotNull(), "integer").alias("kind"),
         J.str_value("mac_hex").alias("mac_hex"),
