@@ -55,7 +55,13 @@ class _Keyed(StatefulProcessor):
         pass
 
 
-class FixedExpiry(_Keyed):
+class _Dedupe(_Keyed):
+    def __init__(self, columns: list[str], ms: str, seq: str, ttl_ms: int, timers: bool):
+        super().__init__(ms, seq, ttl_ms, timers)
+        self.columns = columns
+
+
+class FixedExpiry(_Dedupe):
     """Passes rows that are no repeat; the first of a run sets the expiry."""
 
     def handleInputRows(self, key, rows, timerValues):
@@ -70,10 +76,10 @@ class FixedExpiry(_Keyed):
         if held != before:
             self.state.update((held,))
             self._arm(held + self.ttl)
-        yield pdf[keep]
+        yield pdf[self.columns][keep]
 
 
-class SlidingExpiry(_Keyed):
+class SlidingExpiry(_Dedupe):
     """Passes rows that are no repeat; every sighting renews the expiry."""
 
     def handleInputRows(self, key, rows, timerValues):
@@ -85,7 +91,7 @@ class SlidingExpiry(_Keyed):
             seen = int(now)
         self.state.update((seen,))
         self._arm(seen + self.ttl)
-        yield pdf[keep]
+        yield pdf[self.columns][keep]
 
 
 class PresenceChanges(_Keyed):
@@ -292,10 +298,8 @@ def _run(df: DataFrame, keys: list[str], processor, schema, event_time: bool) ->
 
 def _dedupe(kind, df, keys, ms, seq, ttl_ms, delay):
     keys = [keys] if isinstance(keys, str) else list(keys)
-    timed = _watermarked(df, ms, delay)
-    out = _run(timed, keys, kind(ms, seq, ttl_ms, delay is not None), timed.schema,
-               delay is not None)
-    return out.select(*df.columns)
+    processor = kind(df.columns, ms, seq, ttl_ms, delay is not None)
+    return _run(_watermarked(df, ms, delay), keys, processor, df.schema, delay is not None)
 
 
 def dedupe_fixed_stream(df: DataFrame, key: str, ms: str, seq: str,
