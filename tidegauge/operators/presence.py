@@ -11,6 +11,9 @@ from tidegauge.operators.registry import arrival_order
 from tidegauge.session import checkpointed
 
 
+CUT_TTLS = 64
+
+
 def _gap(ttl_ms: int) -> Column:
     # A session window keeps events together that are exactly one gap apart, while a key with a
     # time to live is gone at that very instant: hence one millisecond less.
@@ -21,22 +24,48 @@ def _instant(ms: str) -> Column:
     return F.timestamp_millis(F.col(ms))
 
 
+def _sessions(df: DataFrame, keys: list[str], ms: str, ttl_ms: int,
+              first: Column | None = None, seq: str | None = None) -> DataFrame:
+    """Sessions of each key: ``_from``, ``_to``, ``_rows`` and, if asked for, the first row.
+
+    Done in two steps, so that no task sees all rows of a key. Each key is cut along time into
+    pieces of CUT_TTLS times the time to live, and sessions are built per piece. Then the pieces'
+    sessions, as many as the time span allows and not as there are rows, are joined up: one that
+    reaches to within the time to live of the next is the same session.
+    """
+    order = F.struct(ms, seq) if first is not None else None
+    sums = [F.min(ms).alias("_from"), F.max(ms).alias("_to"), F.count("*").alias("_rows")]
+    if first is not None:
+        sums += [F.min(order).alias("_order"), F.min_by(first, order).alias("_first")]
+    pieces = (
+        df.withColumn("_at", _instant(ms))
+        .withColumn("_cut", F.expr(f"{ms} DIV {ttl_ms * CUT_TTLS}"))
+        .groupBy(*keys, "_cut", F.session_window("_at", _gap(ttl_ms))).agg(*sums)
+        .drop("session_window", "_cut")
+    )
+    reach = F.concat((F.col("_to") - F.col("_from") + (ttl_ms - 1)).cast("string"),
+                     F.lit(" milliseconds"))
+    whole = [F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.sum("_rows").alias("_rows")]
+    if first is not None:
+        whole.append(F.min_by("_first", F.col("_order")).alias("_first"))
+    return (pieces.withColumn("_at", _instant("_from"))
+            .groupBy(*keys, F.session_window("_at", reach)).agg(*whole).drop("session_window"))
+
+
 def presence_sessions(df: DataFrame, keys, ms: str, ttl_ms: int) -> DataFrame:
     """Intervals during which a key was alive: a silence of ``ttl_ms`` or more ends one.
 
     ``start_ms`` and ``last_ms`` are the first and last event, ``end_ms`` the expiry after it. A
-    time to live of 0 means that nothing expires. Sessions are merged inside each map task before
-    the shuffle, so that a key with very many events travels as its few sessions.
+    time to live of 0 means that nothing expires.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    events = F.count("*").alias("events")
-    bounds = [F.min(ms).alias("start_ms"), F.max(ms).alias("last_ms"), events]
     if ttl_ms <= 0:
-        return (df.groupBy(*keys).agg(*bounds)
-                .withColumn("end_ms", F.lit(None).cast("bigint")))
-    timed = df.withColumn("_at", _instant(ms))
-    sessions = timed.groupBy(*keys, F.session_window("_at", _gap(ttl_ms))).agg(*bounds)
-    return sessions.drop("session_window").withColumn("end_ms", F.col("last_ms") + ttl_ms)
+        return df.groupBy(*keys).agg(
+            F.min(ms).alias("start_ms"), F.max(ms).alias("last_ms"), F.count("*").alias("events"),
+            F.lit(None).cast("bigint").alias("end_ms"))
+    return _sessions(df, keys, ms, ttl_ms).select(
+        *keys, F.col("_from").alias("start_ms"), F.col("_to").alias("last_ms"),
+        F.col("_rows").alias("events"), (F.col("_to") + ttl_ms).alias("end_ms"))
 
 
 def idle_sessions(df: DataFrame, ms: str, timeout_ms: int,
@@ -52,12 +81,11 @@ def dedupe_sliding(df: DataFrame, keys, ms: str, seq: str, ttl_ms: int) -> DataF
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(ms, seq)).alias("_first")
+    row = F.struct(*rest)
     if ttl_ms <= 0:
-        firsts = df.groupBy(*keys).agg(first)
+        firsts = df.groupBy(*keys).agg(F.min_by(row, F.struct(ms, seq)).alias("_first"))
     else:
-        timed = df.withColumn("_at", _instant(ms))
-        firsts = timed.groupBy(*keys, F.session_window("_at", _gap(ttl_ms))).agg(first)
+        firsts = _sessions(df, keys, ms, ttl_ms, row, seq)
     return firsts.select(*keys, "_first.*").select(*df.columns)
 
 
@@ -189,17 +217,14 @@ def dedupe_fixed(df: DataFrame, key: str, ms: str, seq: str,
     anonymous = df.filter(F.col(key) == "")
     named = df.filter(F.col(key) != "")
     rest = [c for c in df.columns if c != key]
-    first = F.min_by(F.struct(*rest), F.struct(ms, seq))
+    row = F.struct(*rest)
     if ttl_ms <= 0:
-        kept = named.groupBy(key).agg(first.alias("_f")).select(key, "_f.*")
-        return kept.select(*df.columns).unionByName(anonymous)
+        kept = named.groupBy(key).agg(F.min_by(row, F.struct(ms, seq)).alias("_first"))
+        return kept.select(key, "_first.*").select(*df.columns).unionByName(anonymous)
 
-    timed = named.withColumn("_at", _instant(ms))
-    sessions = timed.groupBy(key, F.session_window("_at", _gap(ttl_ms))).agg(
-        first.alias("_f"), F.min(ms).alias("_from"), F.max(ms).alias("_to"),
-        F.count("*").alias("_rows"))
+    sessions = _sessions(named, [key], ms, ttl_ms, row, seq)
     span = F.col("_to") - F.col("_from")
-    short = sessions.filter(span < ttl_ms).select(key, "_f.*").select(*df.columns)
+    short = sessions.filter(span < ttl_ms).select(key, "_first.*").select(*df.columns)
     medium = _fold_sessions(named, sessions.filter((span >= ttl_ms) & (F.col("_rows") <= FOLD_ROWS)),
                             key, ms, seq, ttl_ms)
 

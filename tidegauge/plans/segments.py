@@ -35,7 +35,8 @@ def carry(df: DataFrame, keys: Sequence[str], summary: dict[str, Column],
     over = Window.partitionBy(*keys).orderBy(SEGMENT)
     offsets = per_segment.select(*keys, SEGMENT,
                                  *[f(over).alias(n) for n, f in carried.items()])
-    return df.join(offsets, [*keys, SEGMENT])
+    # Each row meets at most one summary; a plan that drops the carried columns drops the join too.
+    return df.join(offsets, [*keys, SEGMENT], "left")
 
 
 def _order(order) -> list:
@@ -47,7 +48,8 @@ def lag_across(df: DataFrame, keys: Sequence[str], segment: Column, order, value
     """``value`` (never NULL) of the previous row of the key."""
     order = _order(order)
     cut = df.withColumn(SEGMENT, segment)
-    last = F.max_by(F.col(value), F.struct(*order))
+    position = order[0] if len(order) == 1 else F.struct(*order)
+    last = F.max_by(F.col(value), position)
     joined = carry(cut, keys, {"_last": last},
                    {"_carried": lambda w: F.lag("_last").over(w)})
     w = local_window(keys, order)

@@ -11,9 +11,10 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Merge the sessions of one key inside each map task, so that a key holding a large share of
-    # the rows is reduced before it is shuffled.
+    # Merge the sessions of one key inside each map task of a streaming query.
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
+    # Keep only the first rows per group in each map task, also for the largest top-n used here.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "4096",
     # HotSpot does not compile methods of more than 8000 bytes of bytecode. Stages whose generated
     # method would be larger run as split functions instead, which it does compile.
     "spark.sql.codegen.hugeMethodLimit": "8000",
