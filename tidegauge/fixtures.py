@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidegauge import schema as S
 from tidegauge.functions.payload import encode_payload
 from tidegauge.plans.segments import lag_across
+from tidegauge.plans.spread import spread
 
 AS_OF_MS = 1704067200000          # 2024-01-01 00:00:00 UTC, the "now" of the route tables
 PRESENCE_TTL_MS = 12 * 3600 * 1000
@@ -65,7 +66,7 @@ def envelopes(spark, sf_dir) -> DataFrame:
                                          lpad(lower(hex(user_id + 1)), 64, '0'), '"') END""",
     ]
     return (
-        _events(spark, sf_dir)
+        spread(_events(spark, sf_dir), "event_id")
         .withColumn("c", F.col("event_id") % 20)
         .withColumn("b64", encode_payload(F.encode("props", "UTF-8")))
         .select(
@@ -164,7 +165,7 @@ def mqtt_messages(spark, sf_dir) -> DataFrame:
 
 
 def packets(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.expr("""concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
                     cast(l_quantity AS bigint), cast(round(l_extendedprice * 100) AS bigint),
                     date_format(l_shipdate, 'yyyyMMdd'))""").alias("packet_id"),
