@@ -33,11 +33,23 @@ def relay_kafka_ttl(spark, d):
     return rows.select("seq", G.relay_kafka_ttl(F.col("ttl")).alias("ttl"))
 
 
-FANOUT = """SELECT message_id, peer_id FROM (
+def number(text: str) -> str:
+    return f"CAST(('0x' || substr(md5({text}), 1, 15)) AS BIGINT)"
+
+
+def score_sql(message: str, peer: str) -> str:
+    """The integer mix of a message's and a peer's number."""
+    x = f"xor({number(message)}, {number(peer)})"
+    s = f"(({x} & {G.MIX['low']}) * {G.MIX['a']} + ({x} >> 30) * {G.MIX['b']} + {G.MIX['c']})"
+    return f"(((xor({s}, {s} >> 29) & {G.MIX['high']}) * {G.MIX['d']}) >> 15)"
+
+
+SCORE = score_sql("message_id", "peer_id || addr || port")
+FANOUT = f"""SELECT message_id, peer_id FROM (
     SELECT message_id, peer_id, (SELECT count(*) FROM fx_peers) AS n, row_number() OVER (
-      PARTITION BY message_id ORDER BY md5(message_id || peer_id || addr || port)) AS place
+      PARTITION BY message_id ORDER BY {SCORE}, peer_id) AS place
     FROM (SELECT DISTINCT message_id FROM relay WHERE accepted), fx_peers)
-    WHERE place <= {0} OR n <= {0} OR message_id = ''"""
+    WHERE place <= {S.GOSSIP_FANOUT} OR n <= {S.GOSSIP_FANOUT} OR message_id = ''"""
 
 
 def messages(spark, d):
@@ -45,7 +57,7 @@ def messages(spark, d):
     return parsed.select("message_id").distinct()
 
 
-@register(FANOUT.format(S.GOSSIP_FANOUT))
+@register(FANOUT)
 def rendezvous_fanout(spark, d):
     return G.rendezvous_fanout(messages(spark, d), X.peers(spark, d))
 

@@ -14,6 +14,7 @@ from tidegauge.queries import frame_queries  # noqa: F401
 from tidegauge.queries import oracle_inputs as O
 from tidegauge.queries import presence_queries as PQ
 from tidegauge.queries.catalog import SQL, register
+from tidegauge.queries.gossip_queries import SCORE
 from tidegauge.queries.registry_queries import LATEST
 from tidegauge.queries.source_queries import MESSAGES, landing, shown
 from tidegauge.session import scratch
@@ -158,7 +159,7 @@ RELAY = {"ids": PQ.RELAY_IDS,
 
 @register(f"""SELECT "offset", peer_id FROM (
     SELECT "offset", message_id, peer_id, (SELECT count(*) FROM fx_peers) AS n, row_number() OVER (
-      PARTITION BY "offset" ORDER BY md5(message_id || peer_id || addr || port)) AS place
+      PARTITION BY "offset" ORDER BY {SCORE}, peer_id) AS place
     FROM fresh, fx_peers) WHERE place <= {S.GOSSIP_FANOUT} OR n <= {S.GOSSIP_FANOUT}
       OR message_id = ''""", recursive=True, extra=RELAY)
 def relay_stream(spark, d):
