@@ -13,8 +13,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidegauge.functions.mac import BLANKS
+
 U64_MAX = "18446744073709551615"
-_OPTIONS = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_corrupt"}
+_OPTIONS = {"allowSingleQuotes": "false"}
 
 
 def parse_fields(df: DataFrame, text: str, strings: Sequence[str] = (),
@@ -23,14 +25,20 @@ def parse_fields(df: DataFrame, text: str, strings: Sequence[str] = (),
     (NULL when absent), and ``_s_<field>``, its value as text, or ``_n_<field>``, its value as
     number: DECIMAL(20,0) for ``numbers``, which are unsigned, BIGINT for ``ints``."""
     fields = [*strings, *numbers, *ints]
-    kinds = ", ".join(f"{f} VARIANT" for f in fields) + ", _corrupt STRING"
+    kinds = ", ".join(f"{f}: VARIANT" for f in fields)
     texts = ", ".join(f"{f} STRING" for f in fields)
-    parsed = df.withColumn("_json", F.from_json(text, kinds, _OPTIONS)).withColumn(
-        "_text", F.from_json(text, texts, _OPTIONS))
     keep = [F.col(c) for c in df.columns]
+    # The parser stops at the end of the first value. Read as the only element of an array, a text
+    # with more behind its object is an error or has more elements.
+    alone = F.concat(F.lit("["), F.col(text), F.lit("]"))
+    parsed = df.select(
+        *keep, F.from_json(alone, f"ARRAY<STRUCT<{kinds}>>", _OPTIONS).alias("_all"),
+        F.from_json(text, texts, _OPTIONS).alias("_text"),
+        F.btrim(text, F.lit(BLANKS)).endswith("}").alias("_closed"),
+    ).withColumn("_json", F.try_element_at("_all", F.lit(1)))
+    whole = (F.size("_all") == 1) & F.col("_json").isNotNull() & F.col("_closed")
     opened = parsed.select(
-        *keep,
-        (F.col("_json").isNotNull() & F.col("_json._corrupt").isNull()).alias("_object"),
+        *keep, F.coalesce(whole, F.lit(False)).alias("_object"),
         *[F.col(f"_text.{f}").alias(f"_s_{f}") for f in fields],
         *[F.schema_of_variant(F.col(f"_json.{f}")).alias(f"_t_{f}") for f in fields],
     )
