@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -64,10 +65,27 @@ class Node:
         return None
 
 
+class Open(list):
+    """The elements that are open, outermost first, and how many there are of each name."""
+
+    def __init__(self, root: Node) -> None:
+        super().__init__([root])
+        self.names = Counter([root.tag])
+
+    def push(self, node: Node) -> None:
+        self[-1].children.append(node)
+        self.append(node)
+        self.names[node.tag] += 1
+
+    def cut(self, at: int) -> None:
+        while len(self) > at:
+            self.names[self.pop().tag] -= 1
+
+
 def tree(page: str) -> Node:
     """The element tree; unclosed, misnested and unknown tags are allowed."""
     root = Node("html")
-    stack = [root]
+    stack = Open(root)
     at = 0
     last = page.rfind(">")
     while True:
@@ -101,18 +119,18 @@ def tree(page: str) -> Node:
             if tag in ("title", "textarea"):
                 _add_text(stack, html.unescape(page[at:close.start() if close else len(page)]))
             at = close.end() if close else len(page)
-            stack.pop()
+            stack.cut(len(stack) - 1)
 
 
-def _add_text(stack: list[Node], text: str) -> None:
+def _add_text(stack: Open, text: str) -> None:
     if stack[-1].tag == "head" and text.strip():
-        stack.pop()  # text ends the head
+        stack.cut(len(stack) - 1)  # text ends the head
     if stack[-1].tag in ("table", "tbody", "thead", "tfoot", "tr") and not text.strip():
         return
     stack[-1].children.append(text)
 
 
-def _open(stack: list[Node], tag: str, attributes: str) -> None:
+def _open(stack: Open, tag: str, attributes: str) -> None:
     if tag == "html":
         stack[0].attributes = stack[0].attributes or attributes
         return
@@ -123,21 +141,18 @@ def _open(stack: list[Node], tag: str, attributes: str) -> None:
         _close_up_to(stack, names, stops)
     if stack[-1].tag == "head" and tag not in (
             "title", "meta", "link", "base", "style", "script", "noscript", "template"):
-        stack.pop()
+        stack.cut(len(stack) - 1)
     if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-        _push(stack, Node("tr"))
-    _push(stack, Node(tag, attributes))
+        stack.push(Node("tr"))
+    stack.push(Node(tag, attributes))
     if tag in VOID:
-        stack.pop()
-
-
-def _push(stack: list[Node], node: Node) -> None:
-    stack[-1].children.append(node)
-    stack.append(node)
+        stack.cut(len(stack) - 1)
 
 
-def _close_up_to(stack: list[Node], names: set[str], stops: set[str]) -> None:
+def _close_up_to(stack: Open, names: set[str], stops: set[str]) -> None:
     """Close the outermost open element of these names above the nearest stop."""
+    if not any(stack.names[name] for name in names):
+        return
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in stops:
             cut = i + 1
@@ -146,15 +161,15 @@ def _close_up_to(stack: list[Node], names: set[str], stops: set[str]) -> None:
         cut = 1
     for i in range(cut, len(stack)):
         if stack[i].tag in names:
-            del stack[i:]
+            stack.cut(i)
             return
 
 
-def _close(stack: list[Node], tag: str) -> None:
+def _close(stack: Open, tag: str) -> None:
     walls = WALLS - {tag} if tag not in ("body", "html") else set()
-    for i in range(len(stack) - 1, 0, -1):
+    for i in () if not stack.names[tag] else range(len(stack) - 1, 0, -1):
         if stack[i].tag == tag:
-            del stack[i:]
+            stack.cut(i)
             return
         if stack[i].tag in walls and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
             return
@@ -186,7 +201,8 @@ def width(text: str) -> int:
 class Page:
     """Lines being written; a margin is a blank line, never doubled."""
 
-    def __init__(self) -> None:
+    def __init__(self, nesting: int = 0) -> None:
+        self.nesting = nesting  # tables around this one
         self.lines: list[str] = []
         self.line: list[str] = []
         self.margin = False
@@ -271,7 +287,7 @@ def _walk(root: Node, page: Page) -> None:
             continue
         if tag == "table":
             page.space()
-            for line in table_lines(node):
+            for line in table_lines(node, page.nesting):
                 page.emit(line)
             page.margin = True
             continue
@@ -346,7 +362,7 @@ def _span(cell: Node) -> int:
     return min(max(int(value), 1), 1000) if value and value.isdigit() else 1
 
 
-def table_lines(table: Node, nesting: int = 0) -> list[str]:
+def table_lines(table: Node, nesting: int) -> list[str]:
     """Cells side by side, each column as wide as its widest cell."""
     before: list[str] = []
     grid: list[list[list[str]]] = []
@@ -391,23 +407,14 @@ def _inner(cell: Node, nesting: int) -> str:
             elif visible(node):
                 todo.extend(reversed(node.children))
         return _SPACE.sub(" ", " ".join(words)).strip()
-    page = Page()
+    page = Page(nesting + 1)
     holder = Node("div")
-    holder.children = [_laid_out(c, nesting + 1) for c in cell.children]
+    holder.children = cell.children
     _walk(holder, page)
     page.end_line()
     return "\n".join(page.lines).strip("\n")
 
 
-def _laid_out(node: Node | str, nesting: int) -> Node | str:
-    """Tables inside a cell, rendered first."""
-    if isinstance(node, str) or node.tag != "table" or not visible(node):
-        return node
-    out = Node("pre")
-    out.children = ["\n".join(table_lines(node, nesting))]
-    return out
-
-
 def page_text(page: str | None) -> str:
     return render(tree(page)) if page else ""
 

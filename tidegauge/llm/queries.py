@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidegauge.llm import html_render, quality_rules
+from tidegauge import session
+from tidegauge.llm import html_render, quality_rules, token_rollup
 from tidegauge.llm.catalog import QUERIES, SQL, register  # noqa: F401
 from tidegauge.llm.tables import read
 
@@ -20,3 +22,27 @@ def op2_html_render(spark, sf_dir):
     """Visible text of every page, as its SHA-256 and sizes."""
     pages = html_render.visible_text(read(spark, sf_dir, "pages"))
     return pages.select("page_id", "n_chars", "n_blocks", F.sha2("text", 256).alias("text_sha256"))
+
+
+@register()
+def op4_token_rollup(spark, sf_dir):
+    """Totals after three commits over all documents.
+
+    Batch 1 inserts every document under the first tokenizer version. Batch 2 is a day of changes:
+    one document in ten is deleted, one in ten recounted by the second version. It is sent twice.
+    """
+    versions = {name: token_rollup.byte_pair_counter(public_tokenizers.path(f"{name}.tiktoken"),
+                                                     public_tokenizers.PATTERN)
+                for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    rollup = token_rollup.TokenRollup(spark, session.scratch(spark, "token-rollup"), versions)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    inserts = docs.withColumns({"seq": F.lit(0), "op": F.lit("insert"),
+                                "version": F.lit("byte_bpe_50k")})
+    day = docs.withColumns({
+        "seq": F.lit(0), "version": F.lit("byte_bpe_multi_50k"),
+        "op": F.element_at(F.create_map(F.lit(3), F.lit("revise"), F.lit(7), F.lit("delete")),
+                           (F.col("doc_id") % 10).cast("int"))}).filter("op IS NOT NULL")
+    rollup.commit(1, inserts)
+    for _ in range(2):
+        rollup.commit(2, day)
+    return rollup.totals()
