@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tidegauge import session
-from tidegauge.llm import html_render, quality_rules, token_rollup
+from tidegauge.llm import html_render, quality_rules, simhash, token_rollup
 from tidegauge.llm.catalog import QUERIES, SQL, register  # noqa: F401
 from tidegauge.llm.tables import read
 
@@ -46,3 +46,9 @@ def op4_token_rollup(spark, sf_dir):
     for _ in range(2):
         rollup.commit(2, day)
     return rollup.totals()
+
+
+@register()
+def op7_simhash(spark, sf_dir):
+    """Fingerprint and near-duplicate group of every document."""
+    return simhash.groups(read(spark, sf_dir, "documents"))
