@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tidegauge import session
-from tidegauge.llm import html_render, quality_rules, simhash, token_rollup
+from tidegauge.llm import html_render, quality_rules, secret_scan, simhash, token_rollup
 from tidegauge.llm.catalog import QUERIES, SQL, register  # noqa: F401
 from tidegauge.llm.tables import read
 
@@ -52,3 +52,9 @@ def op4_token_rollup(spark, sf_dir):
 def op7_simhash(spark, sf_dir):
     """Fingerprint and near-duplicate group of every document."""
     return simhash.groups(read(spark, sf_dir, "documents"))
+
+
+@register(secret_scan.report_sql())
+def op6_secret_scan(spark, sf_dir):
+    """Secrets of every document."""
+    return secret_scan.report(read(spark, sf_dir, "documents"))

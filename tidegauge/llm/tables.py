@@ -19,5 +19,5 @@ def tasks_for(df: DataFrame, bytes_per_task: int = BYTES_PER_TASK, least: int =
     Sizes come from Spark's own statistics, so any file system Spark reads will do.
     """
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    size = int(stats.sizeInBytes().toString())
+    size = int(str(stats.sizeInBytes()))
     return max(least, math.ceil(size / bytes_per_task))
