@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tidegauge import session
-from tidegauge.llm import html_render, quality_rules, secret_scan, simhash, token_rollup
+from tidegauge.llm import html_render, quality_rules, secret_scan, simhash, templates, token_rollup
 from tidegauge.llm.catalog import QUERIES, SQL, register  # noqa: F401
 from tidegauge.llm.tables import read
 
@@ -58,3 +58,9 @@ def op7_simhash(spark, sf_dir):
 def op6_secret_scan(spark, sf_dir):
     """Secrets of every document."""
     return secret_scan.report(read(spark, sf_dir, "documents"))
+
+
+@register(templates.matches_sql())
+def op8_template_matches(spark, sf_dir):
+    """Benchmark items that documents hold, as they are or with other values."""
+    return templates.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
