@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tidegauge import session
-from tidegauge.llm import html_render, quality_rules, secret_scan, simhash, templates, token_rollup
+from tidegauge.llm import html_render, quality_rules, secret_scan, simhash, templates, token_files, token_rollup
 from tidegauge.llm.catalog import QUERIES, SQL, register  # noqa: F401
 from tidegauge.llm.tables import read
 
@@ -64,3 +64,12 @@ def op6_secret_scan(spark, sf_dir):
 def op8_template_matches(spark, sf_dir):
     """Benchmark items that documents hold, as they are or with other values."""
     return templates.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@register()
+def op9_token_files(spark, sf_dir):
+    """Every document's place, length and checksum, read back from the block files."""
+    folder = session.scratch(spark, "token-files")
+    token_files.write(read(spark, sf_dir, "documents"), folder,
+                      public_tokenizers.path("word_bpe_49k.json"), 2)
+    return token_files.read(spark, folder)
