@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tidegauge import session
-from tidegauge.llm import html_render, quality_rules, secret_scan, simhash, templates, token_files, token_rollup
+from tidegauge.llm import html_render, quality_model, quality_rules, secret_scan, simhash, templates, token_files, token_rollup
 from tidegauge.llm.catalog import QUERIES, SQL, register  # noqa: F401
 from tidegauge.llm.tables import read
 
@@ -73,3 +73,12 @@ def op9_token_files(spark, sf_dir):
     token_files.write(read(spark, sf_dir, "documents"), folder,
                       public_tokenizers.path("word_bpe_49k.json"), 2)
     return token_files.read(spark, folder)
+
+
+@register()
+def op3_quality_model(spark, sf_dir):
+    """Quality score of every document, learned from the labels that are not held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.train(docs, read(spark, sf_dir, "labels"))
+    return quality_model.scores(docs, model).select(
+        "doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
