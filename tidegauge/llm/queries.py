@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tidegauge import session
-from tidegauge.llm import html_render, quality_model, quality_rules, secret_scan, simhash, templates, token_files, token_rollup
+from tidegauge.llm import html_render, pseudo_likelihood, quality_model, quality_rules, secret_scan, simhash, templates, token_files, token_rollup
 from tidegauge.llm.catalog import QUERIES, SQL, register  # noqa: F401
 from tidegauge.llm.tables import read
 
@@ -82,3 +82,9 @@ def op3_quality_model(spark, sf_dir):
     model = quality_model.train(docs, read(spark, sf_dir, "labels"))
     return quality_model.scores(docs, model).select(
         "doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@register()
+def op5_pseudo_likelihood(spark, sf_dir):
+    """Pseudo-likelihood of every document under a network trained on all of them."""
+    return pseudo_likelihood.scored(read(spark, sf_dir, "documents"))
