@@ -254,11 +254,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality",
                  row[0].offset)
 
 
-def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
+           prefix: str = "") -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: class 1 likelier) and ``predicted``.
 
-    ``docs`` has the columns doc_id and text; others pass through unread. NULL, empty and wordless
-    texts get the score of the bias alone. Repeated rows repeat; an empty table gives no rows.
+    ``docs`` has the column text; others pass through unread, and ``prefix`` keeps the new names off
+    theirs. NULL, empty and wordless texts get the score of the bias alone. Repeated rows repeat; an
+    empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -266,5 +268,6 @@ def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
 
-    return (docs.withColumn("score", score(F.col("text")))
-            .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
+    return (docs.withColumn(f"{prefix}score", score(F.col("text")))
+            .withColumn(f"{prefix}predicted",
+                        (F.col(f"{prefix}score") >= threshold).cast("int")))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tidegauge import session
-from tidegauge.llm import html_render, pseudo_likelihood, quality_model, quality_rules, secret_scan, simhash, templates, token_files, token_rollup
+from tidegauge.llm import html_render, pieces, pseudo_likelihood, quality_model, quality_rules, secret_scan, simhash, templates, token_files, token_rollup
 from tidegauge.llm.catalog import QUERIES, SQL, register  # noqa: F401
 from tidegauge.llm.tables import read
 
@@ -88,3 +88,10 @@ def op3_quality_model(spark, sf_dir):
 def op5_pseudo_likelihood(spark, sf_dir):
     """Pseudo-likelihood of every document under a network trained on all of them."""
     return pseudo_likelihood.scored(read(spark, sf_dir, "documents"))
+
+
+@register()
+def op10_piece_lattice(spark, sf_dir):
+    """Pieces of every document: their number, checksum, and whether they decode to the text."""
+    model = pieces.Model.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.encode(read(spark, sf_dir, "documents"), model, digest=True)

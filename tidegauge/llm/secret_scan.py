@@ -169,29 +169,32 @@ def rule_spans(text: Column, kind: int, rule: Rule) -> Column:
     return F.when(F.size(whole) > 0, folded)
 
 
-def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, prefix: str = "") -> DataFrame:
     """``docs`` with ``spans``, an array of (start, kind number, end) in order of start, then kind.
 
-    ``docs`` has the columns doc_id and text; all others are kept as they are, so they must not be
-    called spans, candidate or mask. NULL and empty texts have no spans. Repeated rows repeat, rows
+    ``docs`` has the columns doc_id and text; others are kept as they are, and ``prefix`` keeps the
+    new names spans, candidate and mask off theirs. NULL and empty texts have no spans. Repeated rows repeat, rows
     of one id are judged by their own texts, a NULL id is an id, an empty table gives no rows.
     """
     narrow = docs.select(F.col("doc_id"), F.col("text"))
     found = candidates(narrow, rules)
     folder = session.scratch(docs.sparkSession, "secret-candidates")
     found.write.parquet(folder)
-    found = docs.sparkSession.read.parquet(folder)
+    found = docs.sparkSession.read.parquet(folder).select(
+        F.col("candidate").alias(f"{prefix}candidate"), F.col("mask").alias(f"{prefix}mask"))
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("candidate")), "left")
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(f"{prefix}candidate")),
+                       "left")
     none = F.array().cast(f"array<{SPAN}>")
     spans = []
     for r, rule in enumerate(rules):
         searched = rule_spans(F.col("text"), r, rule)
         if trigram_query(rule.pattern):
-            searched = F.when(F.col("mask").bitwiseAND(F.lit(1 << r).cast("long")) != 0, searched)
+            searched = F.when(F.col(f"{prefix}mask").bitwiseAND(F.lit(1 << r).cast("long")) != 0, searched)
         spans.append(F.coalesce(searched, none))
-    return joined.withColumn("spans", F.array_sort(F.concat(*spans))).drop("candidate", "mask")
+    return joined.withColumn(f"{prefix}spans", F.array_sort(F.concat(*spans))).drop(
+        f"{prefix}candidate", f"{prefix}mask")
 
 
 def span_list(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 
 BYTES_PER_TASK = 32 << 20
+UNKNOWN = 1 << 60
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +17,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tasks_for(df: DataFrame, bytes_per_task: int = BYTES_PER_TASK, least: int = 8) -> int:
     """A partition count that follows the input: the files' bytes over ``bytes_per_task``.
 
-    Sizes come from Spark's own statistics, so any file system Spark reads will do.
+    Sizes come from Spark's own statistics, so any file system Spark reads will do. Where it knows
+    none, the input's own partitions stand for 64 MB each.
     """
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     size = int(str(stats.sizeInBytes()))
+    if size > UNKNOWN:
+        size = df.rdd.getNumPartitions() << 26
     return max(least, math.ceil(size / bytes_per_task))
