@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidegauge import session
+
 WINDOW = 8
 MIN_LITERALS = 4
 MIN_SHARE = 0.3
@@ -30,7 +32,8 @@ _TAIL = r"""[)"'\].,;:!?]*"""
 NUMBER = rf"{_LEAD}[0-9][0-9.,:/]*%?{_TAIL}"
 NUMBER_UNIT = rf"{_LEAD}[0-9][0-9.,]*({'|'.join(UNITS)}){_TAIL}"
 UNIT = rf"({'|'.join(UNITS)}){_TAIL}"
-NAME = rf"""\p{{Lu}}[\p{{Ll}}'-]+{_TAIL}"""
+NAME_REST = rf"""[\p{{Ll}}'-]+{_TAIL}"""
+NAME = rf"\p{{Lu}}{NAME_REST}"
 INSIDE = r"[\p{L}\p{N},;'%]"  # the last character of a word after which a sentence goes on
 MARKS = r"[^\p{L}\p{N}<> ]+"
 
@@ -41,41 +44,43 @@ def _spaced(text: Column) -> Column:
 
 def _template(spaced: Column) -> Column:
     """One template word for each word between single spaces."""
-    out = F.regexp_replace(spaced, r"[<>]", "")
-    out = F.regexp_replace(out, rf"(?<={INSIDE} ){NAME}(?= |$)", "<name>")
-    out = F.regexp_replace(out, rf"(?<= |^){NUMBER_UNIT}(?= |$)", "<measure>")
-    out = F.regexp_replace(out, rf"(?<= |^){NUMBER}(?= |$)", "<number>")
-    out = F.regexp_replace(out, rf"(?i)(?<=<number> ){UNIT}(?= |$)", "<unit>")
+    marked = F.contains(spaced, F.lit("<")) | F.contains(spaced, F.lit(">"))
+    plain = F.when(marked, F.regexp_replace(spaced, r"[<>]", "")).otherwise(spaced)
+    # The capital is looked for first, what stands before it only then.
+    named = F.regexp_replace(plain, rf"\p{{Lu}}(?<={INSIDE} .){NAME_REST}(?= |$)", "<name>")
+    numbered = F.regexp_replace(named, rf"(?<= |^){NUMBER_UNIT}(?= |$)", "<measure>")
+    numbered = F.regexp_replace(numbered, rf"(?<= |^){NUMBER}(?= |$)", "<number>")
+    numbered = F.regexp_replace(numbered, rf"(?i)(?<=<number> ){UNIT}(?= |$)", "<unit>")
+    out = F.when(F.rlike(spaced, F.lit("[0-9]")), numbered).otherwise(named)
     return F.regexp_replace(F.lower(out), MARKS, "")
 
 
-def _values(spaced: Column) -> Column:
-    return F.regexp_replace(F.lower(spaced), r"[^\p{L}\p{N} ]+", "")
+def values(window: Column) -> Column:
+    """The words of a window as their values are compared: lower case without punctuation."""
+    return F.split(F.regexp_replace(F.lower(window), r"[^\p{L}\p{N} ]+", ""), " ", -1)
 
 
 def windows(texts: DataFrame, key: str, text: str, size: int = WINDOW) -> DataFrame:
-    """``key, place, template, value``: every window of ``size`` template words.
+    """``key, place, template, words``: every window of ``size`` template words.
 
-    A shorter text is one window; a text without words has none. ``value`` is the same words with
-    their values, NULL where the window has no placeholder.
+    A shorter text is one window; a text without words has none. ``words`` is the same window of the
+    text itself, NULL where the template has no placeholder.
     """
-    spaced = _spaced(F.col(text))
-    split = texts.select(F.col(key), spaced.alias("s")).filter("s <> ''").select(
-        key, F.split(_template(F.col("s")), " ", -1).alias("t"),
-        F.split(_values(F.col("s")), " ", -1).alias("v"))
+    split = texts.select(F.col(key), _spaced(F.col(text)).alias("s")).filter("s <> ''").select(
+        key, F.split(_template(F.col("s")), " ", -1).alias("t"), F.split("s", " ", -1).alias("w"))
 
     def window(i: Column) -> Column:
         return F.array_join(F.slice(F.col("t"), i, size), " ")
 
-    def with_values(template: Column, i: Column) -> Column:
-        value = F.array_join(F.slice(F.col("v"), i + 1, size), " ")
+    def with_words(template: Column, i: Column) -> Column:
+        words = F.array_join(F.slice(F.col("w"), i + 1, size), " ")
         return F.struct(template.alias("template"),
-                        F.when(F.contains(template, F.lit("<")), value).alias("value"))
+                        F.when(F.contains(template, F.lit("<")), words).alias("words"))
 
     places = F.sequence(F.lit(1), F.greatest(F.size("t") - (size - 1), F.lit(1)))
-    cut = F.transform(F.transform(places, window), with_values)
-    return (split.select(key, F.posexplode(cut).alias("place", "w"))
-            .select(key, "place", "w.template", "w.value"))
+    cut = F.transform(F.transform(places, window), with_words)
+    return (split.select(key, F.posexplode(cut).alias("place", "x"))
+            .select(key, "place", "x.template", "x.words"))
 
 
 def literals(template: Column) -> Column:
@@ -98,23 +103,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     asked = windows(benchmark.select("item_id", "text"), "item_id", "text", size)
     asked = (asked.filter(literals(F.col("template")) >= min_literals).distinct()
              .select("item_id", F.col("place").alias("item_place"), "template",
-                     F.col("value").alias("item_value")))
+                     F.col("words").alias("item_words")))
     totals = asked.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows"))
     here = windows(docs.select("doc_id", "text"), "doc_id", "text", size)
     # Beyond the bound the same join shuffles both sides by template.
     small = asked.count() <= BROADCAST_WINDOWS
-    hits = here.join(F.broadcast(asked) if small else asked, "template").select(
+    folder = session.scratch(docs.sparkSession, "template-hits")
+    here.join(F.broadcast(asked) if small else asked, "template").select(
         "doc_id", "item_id", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
-        "template", "value", "item_value")
+        "template", "words", "item_words").write.parquet(folder)
+    hits = docs.sparkSession.read.parquet(folder)
 
     aligned = ["doc_id", "item_id", "shift"]
     words = F.filter(
-        F.arrays_zip(F.split("template", " ", -1).alias("t"),
-                     F.split("item_value", " ", -1).alias("a"),
-                     F.split("value", " ", -1).alias("b")),
+        F.arrays_zip(F.split("template", " ", -1).alias("t"), values(F.col("item_words")).alias("a"),
+                     values(F.col("words")).alias("b")),
         lambda w: F.startswith(w["t"], F.lit("<")))
     # Per alignment: which places matched, and each value of the item with the text's values for it.
-    slots = (hits.filter("value IS NOT NULL").select(*aligned, F.explode(words).alias("w"))
+    slots = (hits.filter("words IS NOT NULL").select(*aligned, F.explode(words).alias("w"))
              .groupBy(*aligned, "w.t", "w.a")
              .agg(F.min("w.b").alias("low"), F.max("w.b").alias("high"))
              .groupBy(*aligned)
