@@ -7,7 +7,9 @@ from tidegauge.sources.tables import TABLE_PROPERTIES
 def test_topic_reader_options():
     o = kafka.read_options("b:9092", group="storage")
     assert o["subscribe"] == "iota.edge.raw.v1" and o["startingOffsets"] == "earliest"
-    assert o["maxOffsetsPerTrigger"] == "50000" and o["kafka.fetch.max.wait.ms"] == "1000"
+    assert (o["minOffsetsPerTrigger"], o["maxTriggerDelay"]) == ("50000", "60s")
+    assert "maxOffsetsPerTrigger" not in o and o["kafka.fetch.max.wait.ms"] == "1000"
+    assert kafka.read_options("b", max_rows=10**9)["maxOffsetsPerTrigger"] == "1000000000"
     assert kafka.read_options("b", start="latest")["startingOffsets"] == "latest"
     with pytest.raises(ValueError):
         kafka.read_options("b", start="middle")

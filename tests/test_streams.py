@@ -191,6 +191,7 @@ def test_registry_follows_arrival_and_keeps_ids(spark, tmp_path):
 
 def test_idle_sessions(spark, tmp_path):
     df = spark.createDataFrame([("a", 0), ("a", 900), ("a", 1900), ("b", 50_000), ("b", 90_000)], "k string, t long")
-    stream = ST.idle_sessions_stream(feed(spark, tmp_path, df, "t"), ["k"], "t", 1000)
+    stream = ST.idle_sessions_stream(feed(spark, tmp_path, df, "t"), ["k"], "t", 1000,
+                                     "0 seconds")
     got = rows_of(drain(spark, tmp_path, stream), "k", "start_ms", "end_ms", "events")
     assert got == [("a", 0, 1900, 2), ("a", 1900, 2900, 1), ("b", 50_000, 51_000, 1)]

@@ -50,6 +50,8 @@ def envelopes(spark, sf_dir) -> DataFrame:
                 WHEN c = 0 THEN concat('"timestamp":', ts_ms)
                 WHEN c = 8 THEN concat('"timestamp_ms":"', ts_ms, '"')
                 WHEN c = 9 THEN '"timestamp_ms":9223372036854775808'
+                WHEN event_id % 40 = 12 THEN concat('"timestamp_ms":', ts_ms * 1000)
+                WHEN event_id % 400 = 13 THEN '"timestamp_ms":9223372036854775807'
                 ELSE concat('"timestamp_ms":', ts_ms) END""",
         """CASE WHEN c = 6 THEN '"payload_base64":""'
                 WHEN c = 7 THEN '"payload_base64":"%%%"'
@@ -261,7 +263,7 @@ def adverts(spark, sf_dir) -> DataFrame:
               'max_ingress_streams', 4096L, 'current_ingress_streams', event_id % 4096,
               'max_ingress_bytes_per_second', 0L, 'current_ingress_bytes_per_second', 0L,
               'updated_at_ms', ts_ms))""").alias("capability"),
-        F.lit(False).alias("connected"),
+        F.expr("event_id % 7 = 0").alias("connected"),
         "ts_ms", F.col("event_id").alias("seq"),
     )
 

@@ -35,9 +35,18 @@ def fits_int64(value: Column) -> Column:
     return value <= F.lit(9223372036854775807).cast("decimal(20,0)")
 
 
+# The last whole millisecond that a time in microseconds can hold, in the year 294247.
+LAST_MS = 9223372036854775
+
+
 def event_time(ms: Column) -> Column:
-    """Epoch milliseconds as UTC wall time."""
-    return F.timestamp_millis(ms).cast("timestamp_ntz")
+    """Epoch milliseconds as UTC wall time; later instants than a time can hold give the last one."""
+    return F.timestamp_millis(F.when(ms > LAST_MS, F.lit(LAST_MS)).otherwise(ms)).cast("timestamp_ntz")
+
+
+def epoch_us(time: Column) -> Column:
+    """Microseconds of a UTC wall time: for times past the calendars of other tools."""
+    return F.unix_micros(time.cast("timestamp"))
 
 
 def created_at_or_now(created_ms: Column | None) -> Column:

@@ -80,10 +80,8 @@ def parse_envelopes(df: DataFrame, created_ms: str | None = "arrival_ms") -> Dat
         .when(F.col("_payload_len") < 0, "negative_payload_len")
         .when(~P.payload_len_ok(F.col("_payload_len"), F.col("payload")), "payload_len_mismatch")
     )
-    # Instants past the calendar's end cannot be shown; the row keeps its milliseconds.
-    shown = F.when(F.col("timestamp_ms") < 253402300800000, P.event_time(F.col("timestamp_ms")))
     return J.evaluated_once(resolved.select(
-        *keep, "mac_addr", "timestamp_ms", shown.alias("event_time"), "payload",
+        *keep, "mac_addr", "timestamp_ms", P.event_time(F.col("timestamp_ms")).alias("event_time"), "payload",
         P.created_at_or_now(F.col(created_ms) if created_ms else None).alias("created_at"),
         error.alias("error"),
     ))

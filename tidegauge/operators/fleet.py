@@ -200,7 +200,9 @@ def merge_routes(adverts: DataFrame) -> DataFrame:
 
     The newest advert gives address and time, the newest with a report the capability. The path
     is the first advert's, unless a sourced advert is shorter or the first one told no distance;
-    of equal paths the earlier stays. Adverts over the hop limit do not count.
+    of equal paths the earlier stays. A linked node is one hop away and has no source, except that
+    a first advert that is linked keeps its own; adverts after a link change no path. Adverts over
+    the hop limit do not count.
     """
     source_valid = node_valid(F.col("source"))
     heard = (
@@ -218,13 +220,17 @@ def merge_routes(adverts: DataFrame) -> DataFrame:
         .alias("capability"),
         F.min_by(path, F.col("seq")).alias("_first"),
         F.min_by(path, F.when(sourced, F.struct("hops", "seq"))).alias("_best"),
+        F.min("seq").alias("_born"), F.min_by("connected", "seq").alias("_born_linked"),
+        F.max(F.when(F.col("connected"), F.col("seq"))).alias("_linked"),
     )
-    better = F.col("_best").isNotNull() & (
+    linked_later = F.coalesce(F.col("_linked") > F.col("_born"), F.lit(False))
+    better = F.col("_best").isNotNull() & ~F.col("_born_linked") & (
         (F.col("_first.hops") == 0) | (F.col("_best.hops") < F.col("_first.hops")))
     chosen = F.when(better, F.col("_best")).otherwise(F.col("_first"))
     return merged.select(
         "owner", "node_id", "node", "capability", "last_seen_ms",
-        chosen["hops"].alias("hop_count"), chosen["source"].alias("source"))
+        F.when(linked_later, 1).otherwise(chosen["hops"]).alias("hop_count"),
+        F.when(~linked_later, chosen["source"]).alias("source"))
 
 
 def route_health(events: DataFrame) -> DataFrame:
@@ -290,17 +296,25 @@ def hello_valid(local_target: str = "self") -> Column:
 def parse_capability(text: Column) -> Column:
     """Capability report of a JSON text, NULL when it is no object.
 
-    A field that is missing or no unsigned integer counts as 0, a missing ``accepting_ingress``
-    as true.
+    A field that is missing or no unsigned 64-bit integer counts as 0, a missing
+    ``accepting_ingress`` as true. Counters are DECIMAL(20,0), which holds all of them; the time is
+    a signed BIGINT.
     """
     numbers = [f.name for f in S.CAPABILITY.fields if f.name != "accepting_ingress"]
-    ddl = "accepting_ingress BOOLEAN, " + ", ".join(f"{n} BIGINT" for n in numbers)
-    raw = F.from_json(text, ddl)
-    zero = F.lit(0).cast("bigint")
+    raw = F.from_json(text, "accepting_ingress BOOLEAN, "
+                      + ", ".join(f"{n} DECIMAL(38,0)" for n in numbers))
+    written = F.from_json(text, ", ".join(f"{n} STRING" for n in numbers))
+    zero, most = F.lit(0).cast("decimal(20,0)"), F.lit(str(2**64 - 1)).cast("decimal(20,0)")
 
     def number(name):
-        value = F.coalesce(raw[name], zero)
-        return value if name == "updated_at_ms" else F.greatest(value, zero)
+        # A number in the text, not a quoted one, that is also spelled as an integer.
+        kind = F.schema_of_variant(F.variant_get(F.try_parse_json(text), f"$.{name}", "variant"))
+        unquoted = kind.rlike("^(BIGINT|DECIMAL)")
+        if name == "updated_at_ms":
+            whole = unquoted & written[name].rlike("^-?[0-9]{1,19}$")
+            return F.coalesce(F.when(whole, raw[name].try_cast("bigint")), F.lit(0).cast("bigint"))
+        whole = unquoted & written[name].rlike("^[0-9]+$") & (raw[name] <= most)
+        return F.coalesce(F.when(whole, raw[name].cast("decimal(20,0)")), zero)
 
     report = F.struct(F.coalesce(raw["accepting_ingress"], F.lit(True)).alias("accepting_ingress"),
                       *[number(n).alias(n) for n in numbers])

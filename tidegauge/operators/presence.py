@@ -16,8 +16,9 @@ CUT_TTLS = 64
 
 def _gap(ttl_ms: int) -> Column:
     # A session window keeps events together that are exactly one gap apart, while a key with a
-    # time to live is gone at that very instant: hence one millisecond less.
-    return F.lit(f"{ttl_ms - 1} milliseconds")
+    # time to live is gone at that very instant: hence one microsecond less. Events are whole
+    # milliseconds, so no other pair is affected.
+    return F.lit(f"{ttl_ms * 1000 - 1} microseconds")
 
 
 def _instant(ms: str) -> Column:
@@ -43,8 +44,8 @@ def _sessions(df: DataFrame, keys: list[str], ms: str, ttl_ms: int,
         .groupBy(*keys, "_cut", F.session_window("_at", _gap(ttl_ms))).agg(*sums)
         .drop("session_window", "_cut")
     )
-    reach = F.concat((F.col("_to") - F.col("_from") + (ttl_ms - 1)).cast("string"),
-                     F.lit(" milliseconds"))
+    reach = F.concat(((F.col("_to") - F.col("_from") + ttl_ms) * 1000 - 1).cast("string"),
+                     F.lit(" microseconds"))
     whole = [F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.sum("_rows").alias("_rows")]
     if first is not None:
         whole.append(F.min_by("_first", F.col("_order")).alias("_first"))

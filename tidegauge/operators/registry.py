@@ -16,9 +16,16 @@ def arrival_order(partition: str = "partition", offset: str = "offset") -> Colum
             + F.col(offset)).cast("decimal(38,0)")
 
 
+def seen_order(ms: str = "arrival_ms") -> Column:
+    """Arrival time and then position in the topic as one number, rising over all partitions."""
+    return (F.col(ms).cast("decimal(38,0)") * F.lit("1" + "0" * 24).cast("decimal(25,0)")
+            + arrival_order()).cast("decimal(38,0)")
+
+
 def latest_per_device(df: DataFrame, order: str = "arrival", mac: str = "mac_addr",
                       timestamp: str = "timestamp") -> DataFrame:
-    """One row per device: the time of its last message, and the positions of first and last.
+    """One row per device: the time of its last message, the positions of first and last, and when
+    it was first seen.
 
     ``arrival`` takes the last message to arrive, whose time may be older than that of an earlier
     one; ``event_time`` takes the largest time. Rows are combined before they are shuffled.
@@ -32,7 +39,8 @@ def latest_per_device(df: DataFrame, order: str = "arrival", mac: str = "mac_add
     else:
         raise ValueError(f"unknown order {order!r}")
     return df.groupBy(mac).agg(latest.alias("timestamp"), F.min(position).alias("first_position"),
-                               F.max(position).alias("last_position"))
+                               F.max(position).alias("last_position"),
+                               F.min(seen_order()).alias("first_seen"))
 
 
 def latest_message(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -49,11 +57,11 @@ def batch_stats(df: DataFrame, *by: str) -> DataFrame:
 def merge_registry(current: DataFrame | None, latest: DataFrame) -> DataFrame:
     """Registry after an upsert: known devices get the new time and keep their id.
 
-    The id of a device is the topic position of its first message, so ids rise in the order
-    devices were first seen. ``current`` and ``latest`` hold at most one row per device.
+    The id of a device is the arrival time and topic position of its first message, so ids rise in
+    the order devices were first seen, over all partitions. ``current`` and ``latest`` hold at most one row per device.
     """
     fresh = latest.select("mac_addr", F.col("timestamp").alias("_new"),
-                          F.col("first_position").alias("_id"))
+                          F.col("first_seen").alias("_id"))
     if current is None:
         return fresh.select(F.col("_id").alias("id"), "mac_addr", F.col("_new").alias("timestamp"))
     joined = current.join(fresh, "mac_addr", "full_outer")

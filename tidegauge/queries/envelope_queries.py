@@ -15,11 +15,12 @@ from tidegauge.queries.catalog import register
 POSITION = ["partition", "offset"]
 
 
-@register("""SELECT "partition", "offset", mac_addr, timestamp_ms, event_time,
+@register("""SELECT "partition", "offset", mac_addr, timestamp_ms, event_us,
              lower(hex(payload)) AS payload_hex, created_at, error FROM storage""")
 def parse_envelopes(spark, d):
     parsed = E.parse_envelopes(X.envelopes(spark, d))
-    return parsed.select(*POSITION, "mac_addr", "timestamp_ms", "event_time",
+    return parsed.select(*POSITION, "mac_addr", "timestamp_ms",
+                         P.epoch_us(F.col("event_time")).alias("event_us"),
                          F.lower(F.hex("payload")).alias("payload_hex"), "created_at", "error")
 
 

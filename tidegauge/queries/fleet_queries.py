@@ -98,19 +98,26 @@ def capability_json(spark, d):
 
 
 @register("""SELECT k, present, CASE WHEN present THEN accepting END AS accepting_ingress,
-    CASE WHEN present THEN CASE WHEN k % 3 = 0 THEN 0 ELSE k END END AS max_kcp_links,
-    CASE WHEN present THEN 0::BIGINT END AS current_kcp_links FROM (
+    CASE WHEN present THEN CASE WHEN k % 3 = 0 THEN 0 ELSE k END END::VARCHAR AS max_kcp_links,
+    CASE WHEN present THEN CASE k % 5 WHEN 0 THEN '18446744073709551615' WHEN 1
+      THEN '9223372036854775808' ELSE '0' END END AS current_kcp_links,
+    CASE WHEN present THEN -k END AS updated_at_ms FROM (
       SELECT c_custkey AS k, c_custkey % 4 <> 0 AS present,
         CASE WHEN c_custkey % 2 = 0 THEN false ELSE true END AS accepting FROM customer)""")
 def parse_capability(spark, d):
-    """Reports that are absent, lack fields or hold negative numbers."""
+    """Reports that are absent, lack fields or hold negative, fractional, quoted or large numbers."""
     text = F.expr("""CASE WHEN k % 8 = 0 THEN '[]' WHEN k % 4 = 0 THEN NULL
         ELSE concat('{', if(k % 2 = 0, '"accepting_ingress":false,', ''),
-                    '"max_kcp_links":', if(k % 3 = 0, -k, k), '}') END""")
+                    '"max_kcp_links":', if(k % 3 = 0, -k, k), ',"updated_at_ms":', -k,
+                    ',"current_kcp_links":', CASE k % 5 WHEN 0 THEN '18446744073709551615'
+                      WHEN 1 THEN '9223372036854775808' WHEN 2 THEN '18446744073709551616'
+                      WHEN 3 THEN '"7"' ELSE '1.5' END, '}') END""")
     rows = X.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
     report = rows.withColumn("c", R.parse_capability(text))
     return report.select("k", F.col("c").isNotNull().alias("present"), "c.accepting_ingress",
-                         "c.max_kcp_links", "c.current_kcp_links")
+                         F.col("c.max_kcp_links").cast("string").alias("max_kcp_links"),
+                         F.col("c.current_kcp_links").cast("string").alias("current_kcp_links"),
+                         "c.updated_at_ms")
 
 
 def best_sql(where: str) -> str:
@@ -185,19 +192,34 @@ def resolve_next_hop(spark, d):
     return R.resolve_next_hop(routes(spark, d))
 
 
-@register("""SELECT owner, node_id, last.node.host AS host, last.node.port AS port,
-    last.ts_ms AS last_seen_ms, current_streams, path.hops AS hop_count, path.source_id AS source_id
-    FROM (SELECT owner, node_id, arg_max({'node': node, 'ts_ms': ts_ms}, seq) AS last,
+# A walk along the adverts of each (owner, node) that keeps the path and whether a link exists.
+PATHS = {
+    "heard": """SELECT *, row_number() OVER (PARTITION BY owner, node_id ORDER BY seq) AS rn FROM (
+        SELECT *, node.id AS node_id, CAST(CASE WHEN connected THEN 1 WHEN source IS NULL
+          THEN advertised_hops ELSE advertised_hops + 1 END AS INTEGER) AS hops FROM fx_adverts)
+        WHERE hops <= 8""",
+    "path": """SELECT owner, node_id, rn, hops AS hop_count, source.id AS source_id,
+          connected AS linked FROM heard WHERE rn = 1
+        UNION ALL
+        SELECT p.owner, p.node_id, h.rn,
+          CASE WHEN h.connected THEN 1
+               WHEN h.source IS NOT NULL AND NOT p.linked
+                    AND (p.hop_count = 0 OR h.hops < p.hop_count) THEN h.hops ELSE p.hop_count END,
+          CASE WHEN h.connected THEN NULL
+               WHEN h.source IS NOT NULL AND NOT p.linked
+                    AND (p.hop_count = 0 OR h.hops < p.hop_count) THEN h.source.id
+               ELSE p.source_id END,
+          p.linked OR h.connected
+        FROM path p JOIN heard h ON h.owner = p.owner AND h.node_id = p.node_id AND h.rn = p.rn + 1""",
+}
+
+
+@register("""SELECT l.owner, l.node_id, last.node.host AS host, last.node.port AS port,
+    last.ts_ms AS last_seen_ms, current_streams, hop_count, source_id
+    FROM (SELECT owner, node_id, max(rn) AS rn, arg_max({'node': node, 'ts_ms': ts_ms}, seq) AS last,
             arg_max(current_streams, seq) FILTER (WHERE current_streams IS NOT NULL)
-              AS current_streams,
-            arg_min({'hops': hops, 'source_id': source.id}, (
-              CASE WHEN hops = 0 THEN 1 WHEN seq > first_seq AND source IS NULL THEN 2 ELSE 0 END,
-              CASE WHEN hops = 0 THEN 0 ELSE hops END, seq)) AS path
-          FROM (SELECT *, min(seq) OVER (PARTITION BY owner, node_id) AS first_seq FROM heard)
-          GROUP BY owner, node_id)""", extra={"heard": """
-    SELECT * FROM (SELECT *, node.id AS node_id, CAST(CASE WHEN source IS NULL
-        THEN advertised_hops ELSE advertised_hops + 1 END AS INTEGER) AS hops FROM fx_adverts)
-    WHERE hops <= 8"""})
+              AS current_streams FROM heard GROUP BY owner, node_id) l
+    JOIN path USING (owner, node_id, rn)""", recursive=True, extra=PATHS)
 def merge_routes(spark, d):
     merged = R.merge_routes(X.adverts(spark, d))
     return merged.select("owner", "node_id", "node.host", "node.port", "last_seen_ms",

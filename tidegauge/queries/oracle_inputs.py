@@ -41,6 +41,8 @@ SELECT CAST(user_id % 3 AS INTEGER) AS "partition", event_id AS "offset", mac12
          WHEN c = 0 THEN '"timestamp":' || ts_ms
          WHEN c = 8 THEN '"timestamp_ms":"' || ts_ms || '"'
          WHEN c = 9 THEN '"timestamp_ms":9223372036854775808'
+         WHEN event_id % 40 = 12 THEN '"timestamp_ms":' || ts_ms * 1000
+         WHEN event_id % 400 = 13 THEN '"timestamp_ms":9223372036854775807'
          ELSE '"timestamp_ms":' || ts_ms END,
     CASE WHEN c = 6 THEN '"payload_base64":""'
          WHEN c = 7 THEN '"payload_base64":"%%%"'
@@ -132,8 +134,8 @@ FROM fields"""
 STORAGE_CHECKED = """
 SELECT "partition", "offset", key, value, arrival_ms, mac_addr, payload,
   CASE WHEN raw_ts <= 9223372036854775807 THEN CAST(raw_ts AS BIGINT) END AS timestamp_ms,
-  CASE WHEN raw_ts < 253402300800000 THEN make_timestamp(CAST(raw_ts AS BIGINT) * 1000) END
-    AS event_time,
+  CASE WHEN raw_ts <= 9223372036854775807
+       THEN CAST(least(raw_ts, 9223372036854775) AS BIGINT) * 1000 END AS event_us,
   make_timestamp(arrival_ms * 1000) AS created_at,
   CASE WHEN storage_wrong THEN 'bad_json'
        WHEN j_schema NOT IN ('', 'iota.edge.raw.v1') THEN 'bad_schema'
@@ -267,7 +269,7 @@ SELECT 'n' || (user_id % 25) AS owner, {node('user_id + 1')} AS node,
   CASE WHEN event_id % 4 = 0 THEN NULL ELSE {node('event_id % 50 + 1')} END AS source,
   CAST(event_id % 10 AS INTEGER) AS advertised_hops,
   CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 4096 END AS current_streams,
-  ts_ms, event_id AS seq
+  event_id % 7 = 0 AS connected, ts_ms, event_id AS seq
 FROM ev"""
 
 ROUTE_EVENTS = """

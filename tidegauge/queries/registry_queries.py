@@ -11,8 +11,11 @@ from tidegauge.queries.catalog import register
 
 # Position of a message in the topic: partition, then offset.
 POSITION = """(CAST("partition" AS DECIMAL(38,0)) * 10000000000000000000 + "offset")"""
+# When it arrived, then its position.
+SEEN = f"""(CAST(arrival_ms AS DECIMAL(38,0)) * 1000000000000000000000000::DECIMAL(38,0) + {POSITION})"""
 LATEST = f"""SELECT mac_addr, arg_max("timestamp", {POSITION}) AS "timestamp",
-    min({POSITION}) AS first_position, max({POSITION}) AS last_position
+    min({POSITION}) AS first_position, max({POSITION}) AS last_position,
+    min({SEEN}) AS first_seen
     FROM registry WHERE mac_addr IS NOT NULL GROUP BY mac_addr"""
 
 
@@ -56,9 +59,9 @@ def halves(spark, d):
     return rows.filter(F.col("offset") < middle), rows.filter(F.col("offset") >= middle)
 
 
-REGISTRY_SQL = f"""SELECT CAST(first_position AS VARCHAR) AS id, mac_addr, "timestamp" FROM (
+REGISTRY_SQL = f"""SELECT CAST(first_seen AS VARCHAR) AS id, mac_addr, "timestamp" FROM (
     SELECT mac_addr, arg_max("timestamp", {POSITION}) AS "timestamp",
-      arg_min({POSITION}, ("offset" >= middle, {POSITION})) AS first_position
+      arg_min({SEEN}, ("offset" >= middle, {SEEN})) AS first_seen
     FROM registry, (SELECT max(event_id) // 2 AS middle FROM events)
     WHERE mac_addr IS NOT NULL GROUP BY mac_addr)"""
 
@@ -72,8 +75,11 @@ def upsert_registry(spark, d):
     return merged.select(F.col("id").cast("string").alias("id"), "mac_addr", "timestamp")
 
 
-@register(f"""SELECT CAST(first_position AS VARCHAR) AS id, mac_addr, "timestamp" FROM ({LATEST})
-              ORDER BY first_position DESC LIMIT 5""")
+@register(f"""SELECT CAST(first_seen AS VARCHAR) AS id, mac_addr, "timestamp" FROM ({LATEST})
+              ORDER BY arrival DESC, "partition" DESC, "offset" DESC LIMIT 5""".replace(
+    LATEST, LATEST.replace("FROM registry", """, min_by(arrival_ms, ("arrival_ms", "partition", "offset"))
+      AS arrival, min_by("partition", ("arrival_ms", "partition", "offset")) AS "partition",
+      min_by("offset", ("arrival_ms", "partition", "offset")) AS "offset" FROM registry""")))
 def newest_devices(spark, d):
     registry = R.merge_registry(None, R.latest_per_device(connections(spark, d)))
     return R.newest_devices(registry, 5).select(

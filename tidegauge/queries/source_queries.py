@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import fixtures as X
 from tidegauge import schema as S
+from tidegauge.functions.payload import epoch_us
 from tidegauge.operators import envelopes as E
 from tidegauge.operators import registry as R
 from tidegauge.queries.catalog import register
@@ -15,12 +16,12 @@ from tidegauge.sources import landing as L
 from tidegauge.sources import registry_table as RT
 from tidegauge.sources import tables as T
 
-MESSAGES = """SELECT mac_addr, timestamp_ms, event_time, lower(hex(payload)) AS payload_hex,
+MESSAGES = """SELECT mac_addr, timestamp_ms, event_us, lower(hex(payload)) AS payload_hex,
     created_at FROM storage WHERE error IS NULL"""
 
 
 def shown(messages):
-    return messages.select("mac_addr", "timestamp_ms", "event_time",
+    return messages.select("mac_addr", "timestamp_ms", epoch_us(F.col("event_time")).alias("event_us"),
                            F.lower(F.hex("payload")).alias("payload_hex"), "created_at")
 
 
@@ -104,7 +105,7 @@ def quarantine(spark, d):
     return spark.read.parquet(path).select("partition", "offset", "key", "error")
 
 
-@register(f"""SELECT CAST(first_position AS VARCHAR) AS id, mac_addr, "timestamp" FROM ({LATEST})""")
+@register(f"""SELECT CAST(first_seen AS VARCHAR) AS id, mac_addr, "timestamp" FROM ({LATEST})""")
 def read_registry(spark, d):
     """The registry after two snapshots, the second one written twice. All rows of a device share
     a topic partition here, so ids do not depend on where the batches are split."""

@@ -59,7 +59,7 @@ def ingest_stream_quarantine(spark, d):
     return spark.read.parquet(f"{bad}/batch_id=*").select("partition", "offset", "error")
 
 
-@register(f"""SELECT CAST(first_position AS VARCHAR) AS id, mac_addr, "timestamp" FROM ({LATEST})""")
+@register(f"""SELECT CAST(first_seen AS VARCHAR) AS id, mac_addr, "timestamp" FROM ({LATEST})""")
 def registry_stream(spark, d):
     path = scratch(spark, "registry")
     P.registry_stream(topic(spark, d), path,
@@ -148,7 +148,8 @@ def idle_sessions_stream(spark, d):
     """Sessions whose end the rows have passed; the others are still open."""
     rows = streamed(spark, PQ.peer_traffic(spark, d), "traffic")
     keys = ["peer_ip", "peer_port", "conv"]
-    return drained(spark, ST.idle_sessions_stream(rows, keys, "ts_ms", IDLE_MS), "idle")
+    return drained(spark, ST.idle_sessions_stream(rows, keys, "ts_ms", IDLE_MS, "0 seconds"),
+                   "idle")
 
 
 RELAY = {"ids": PQ.RELAY_IDS,

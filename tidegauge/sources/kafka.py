@@ -12,11 +12,17 @@ FETCH_MAX_WAIT_MS = 1_000
 
 
 def read_options(brokers: str, topic: str = S.ENVELOPE_TOPIC, group: str | None = None,
-                 start: str = "earliest", max_rows: int | None = S.FLUSH_MAX_ROWS,
+                 start: str = "earliest", flush_rows: int = S.FLUSH_MAX_ROWS,
+                 idle_seconds: int = S.FLUSH_IDLE_SECONDS, max_rows: int | None = None,
                  min_bytes: int = 1, max_bytes: int = FETCH_MAX_BYTES,
                  max_wait_ms: int = FETCH_MAX_WAIT_MS) -> dict[str, str]:
     """Source options. The stream's checkpoint keeps the position; ``group`` only names the
-    consumer to the brokers."""
+    consumer to the brokers.
+
+    A micro-batch starts as soon as ``flush_rows`` wait, or ``idle_seconds`` after the last one; the
+    next follows at once while rows wait. ``max_rows`` bounds a micro-batch: set it by what the
+    cluster processes in a few minutes, no bound takes all there is.
+    """
     if start not in ("earliest", "latest"):
         raise ValueError("start must be earliest or latest")
     options = {
@@ -24,6 +30,8 @@ def read_options(brokers: str, topic: str = S.ENVELOPE_TOPIC, group: str | None
         "subscribe": topic,
         "startingOffsets": start,
         "failOnDataLoss": "true",
+        "minOffsetsPerTrigger": str(flush_rows),
+        "maxTriggerDelay": f"{idle_seconds}s",
         "kafka.fetch.min.bytes": str(min_bytes),
         "kafka.fetch.max.bytes": str(max_bytes),
         "kafka.fetch.max.wait.ms": str(max_wait_ms),

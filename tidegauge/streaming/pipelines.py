@@ -17,10 +17,11 @@ from tidegauge.streaming.state import dedupe_fixed_stream
 
 
 def _trigger(writer, available_now: bool):
-    """All that is there, then stop; or a micro-batch at least every minute."""
-    if available_now:
-        return writer.trigger(availableNow=True)
-    return writer.trigger(processingTime=f"{S.FLUSH_IDLE_SECONDS} seconds")
+    """All that is there, then stop; or micro-batches without a pause as long as rows wait.
+
+    When a micro-batch is due is the source's rule: enough rows, or enough time.
+    """
+    return writer.trigger(availableNow=True) if available_now else writer
 
 
 def ingest_stream(topic: DataFrame, table: str, quarantine: str, checkpoint: str,

@@ -360,11 +360,17 @@ def reassemble_frames_stream(df: DataFrame,
     return _run(df, ["stream_id"], FrameStream(max_payload), schema, False)
 
 
-def idle_sessions_stream(df: DataFrame, keys, ms: str, timeout_ms: int,
-                         delay: str = "0 seconds") -> DataFrame:
-    """Sessions, each emitted once the watermark has passed its end."""
-    timed = _watermarked(df, ms, delay)
-    gap = F.lit(f"{timeout_ms - 1} milliseconds")
-    sessions = timed.groupBy(*keys, F.session_window("_at", gap)).agg(
-        F.min(ms).alias("start_ms"), F.max(ms).alias("last_ms"), F.count("*").alias("events"))
+def idle_sessions_stream(df: DataFrame, keys, ms: str, timeout_ms: int, delay: str) -> DataFrame:
+    """Sessions, each emitted once the watermark has passed its end (append mode).
+
+    Rows that arrive more than ``delay`` behind the latest are lost to a watermark, so the caller
+    names it. With a timeout of 0 nothing ends: running sums per key, without watermark, to be
+    written in update or complete mode.
+    """
+    sums = [F.min(ms).alias("start_ms"), F.max(ms).alias("last_ms"), F.count("*").alias("events")]
+    if timeout_ms <= 0:
+        return df.groupBy(*keys).agg(*sums).withColumn("end_ms", F.lit(None).cast("bigint"))
+    # As in the batch form: one microsecond less than the timeout.
+    gap = F.lit(f"{timeout_ms * 1000 - 1} microseconds")
+    sessions = _watermarked(df, ms, delay).groupBy(*keys, F.session_window("_at", gap)).agg(*sums)
     return sessions.drop("session_window").withColumn("end_ms", F.col("last_ms") + timeout_ms)
