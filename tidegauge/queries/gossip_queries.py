@@ -38,18 +38,42 @@ def number(text: str) -> str:
 
 
 def score_sql(message: str, peer: str) -> str:
-    """The integer mix of a message's and a peer's number."""
-    x = f"xor({number(message)}, {number(peer)})"
+    """The integer mix of two numbers."""
+    x = f"xor({message}, {peer})"
     s = f"(({x} & {G.MIX['low']}) * {G.MIX['a']} + ({x} >> 30) * {G.MIX['b']} + {G.MIX['c']})"
     return f"(((xor({s}, {s} >> 29) & {G.MIX['high']}) * {G.MIX['d']}) >> 15)"
 
 
-SCORE = score_sql("message_id", "peer_id || addr || port")
-FANOUT = f"""SELECT message_id, peer_id FROM (
-    SELECT message_id, peer_id, (SELECT count(*) FROM fx_peers) AS n, row_number() OVER (
-      PARTITION BY message_id ORDER BY {SCORE}, peer_id) AS place
-    FROM (SELECT DISTINCT message_id FROM relay WHERE accepted), fx_peers)
-    WHERE place <= {S.GOSSIP_FANOUT} OR n <= {S.GOSSIP_FANOUT} OR message_id = ''"""
+PEER = number("peer_id || addr || port")
+K = S.GOSSIP_FANOUT
+
+
+def fanout_ctes(messages: str) -> dict[str, str]:
+    """``fanout (message_id, peer_id)``: first the groups each message takes, then their peers."""
+    group = number("'group-' || grp")
+    return {
+        "dealt": f"""SELECT peer_id, peer_no, (row_number() OVER (ORDER BY peer_no, peer_id) - 1)
+            % CAST(ceil(sqrt((SELECT count(*) FROM fx_peers))) AS BIGINT) AS grp
+          FROM (SELECT peer_id, {PEER} AS peer_no FROM fx_peers)""",
+        "peer_sets": f"""SELECT grp, count(*) AS size, {group} AS grp_no FROM dealt GROUP BY grp""",
+        "ids_out": f"""SELECT DISTINCT message_id, {number('message_id')} AS message_no
+          FROM ({messages})""",
+        "taken": f"""SELECT message_id, message_no, grp FROM (
+            SELECT *, sum(size) OVER (PARTITION BY message_id ORDER BY score, grp
+              ROWS UNBOUNDED PRECEDING) - size AS before
+            FROM (SELECT *, {score_sql('message_no', 'grp_no')} AS score FROM ids_out, peer_sets))
+          WHERE before < {K}""",
+        "fanout": f"""SELECT message_id, peer_id FROM (
+            SELECT message_id, peer_id, row_number() OVER (PARTITION BY message_id
+              ORDER BY {score_sql('message_no', 'peer_no')}, peer_id) AS place
+            FROM taken JOIN dealt USING (grp))
+          WHERE place <= {K} AND message_id <> '' AND (SELECT count(*) FROM fx_peers) > {K}
+          UNION ALL SELECT message_id, peer_id FROM ids_out, fx_peers
+          WHERE message_id = '' OR (SELECT count(*) FROM fx_peers) <= {K}""",
+    }
+
+
+FANOUT = "SELECT message_id, peer_id FROM fanout"
 
 
 def messages(spark, d):
@@ -57,7 +81,7 @@ def messages(spark, d):
     return parsed.select("message_id").distinct()
 
 
-@register(FANOUT)
+@register(FANOUT, extra=fanout_ctes("SELECT message_id FROM relay WHERE accepted"))
 def rendezvous_fanout(spark, d):
     return G.rendezvous_fanout(messages(spark, d), X.peers(spark, d))
 

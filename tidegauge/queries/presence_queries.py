@@ -86,7 +86,7 @@ def fixed_ctes(source: str, key: str, ms: str, seq: str, ttl: int) -> dict[str,
     }
 
 
-RELAY_IDS = "SELECT message_id, arrival_ms, \"offset\", mac_hex FROM relay WHERE accepted"
+RELAY_IDS = "SELECT message_id, arrival_ms, \"partition\", \"offset\", mac_hex FROM relay WHERE accepted"
 
 
 def relay_ids(spark, d):

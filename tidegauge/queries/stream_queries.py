@@ -14,7 +14,7 @@ from tidegauge.queries import frame_queries  # noqa: F401
 from tidegauge.queries import oracle_inputs as O
 from tidegauge.queries import presence_queries as PQ
 from tidegauge.queries.catalog import SQL, register
-from tidegauge.queries.gossip_queries import SCORE
+from tidegauge.queries.gossip_queries import fanout_ctes
 from tidegauge.queries.registry_queries import LATEST
 from tidegauge.queries.source_queries import MESSAGES, landing, shown
 from tidegauge.session import scratch
@@ -155,14 +155,15 @@ def idle_sessions_stream(spark, d):
 RELAY = {"ids": PQ.RELAY_IDS,
          **PQ.fixed_ctes("ids", "message_id", "arrival_ms", '"offset"', S.SEEN_TTL_MS),
          "fresh": PQ.fixed_sql("ids", "message_id", "arrival_ms", '"offset"', S.SEEN_TTL_MS,
-                               'message_id, "offset"')}
+                               'message_id, "partition", "offset"'),
+         "sent": """SELECT "offset", CASE WHEN message_id = ''
+             THEN 'topic-' || "partition" || '-' || "offset" ELSE message_id END AS message_id
+           FROM fresh""",
+         **fanout_ctes("SELECT message_id FROM sent")}
 
 
-@register(f"""SELECT "offset", peer_id FROM (
-    SELECT "offset", message_id, peer_id, (SELECT count(*) FROM fx_peers) AS n, row_number() OVER (
-      PARTITION BY "offset" ORDER BY {SCORE}, peer_id) AS place
-    FROM fresh, fx_peers) WHERE place <= {S.GOSSIP_FANOUT} OR n <= {S.GOSSIP_FANOUT}
-      OR message_id = ''""", recursive=True, extra=RELAY)
+@register("""SELECT "offset", peer_id FROM sent JOIN fanout USING (message_id)""",
+          recursive=True, extra=RELAY)
 def relay_stream(spark, d):
     """Peers each fresh message of the topic is passed on to."""
     sent = scratch(spark, "sent")

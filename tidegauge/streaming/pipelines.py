@@ -68,7 +68,10 @@ def registry_stream(topic: DataFrame, registry: str, checkpoint: str, available_
 
 def relay_stream(topic: DataFrame, peers: DataFrame, sent: str, state: str, checkpoint: str,
                  ttl_ms: int = S.SEEN_TTL_MS, available_now: bool = True):
-    """Topic rows, without repeats, to device state and to the peers each is passed on to."""
+    """Topic rows, without repeats, to device state and to the peers each is passed on to.
+
+    A row that names no message is one of its own: it gets an id made of its place in the topic.
+    """
     parsed = E.parse_edge_json(topic).filter("accepted")
     fresh = dedupe_fixed_stream(parsed, "message_id", "arrival_ms", "offset", ttl_ms)
 
@@ -78,7 +81,9 @@ def relay_stream(topic: DataFrame, peers: DataFrame, sent: str, state: str, chec
         kept = batch.persist()
         try:
             append_batch(device_state(kept, "mac_hex", "value", "arrival_ms"), state, batch_id)
-            routed = G.rendezvous_fanout(kept.select("message_id", "partition", "offset"), peers)
+            place = F.concat_ws("-", F.lit("topic"), "partition", "offset")
+            named = F.coalesce(F.nullif("message_id", F.lit("")), place).alias("message_id")
+            routed = G.rendezvous_fanout(kept.select(named, "partition", "offset"), peers)
             append_batch(routed, sent, batch_id)
         finally:
             kept.unpersist()
