@@ -8,6 +8,7 @@ decoded one by one, in any order, on any machine. Steps pass on tables in the sh
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -20,18 +21,35 @@ from tidegauge.llm.tables import tasks_for
 
 BLOCK_IDS = 1 << 18
 KNOWN_WORDS = 1 << 20
-RAW = "part int, block int, n_ids long, doc_ids array<long>, counts array<long>, ids binary"
+BROADCAST_PARTS = 1 << 20
+RAW = "part int, block int, inside long, n_ids long, doc_ids array<long>, counts array<long>, ids binary"
 
 # In a worker process: word ids by tokenizer file, and the coder by table.
 _words: dict[str, Callable[[list[str]], list[bytes]]] = {}
 _coders: dict[int, rans.Coder] = {}
 
 
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: visible ones stand for
+    themselves, the others, in order, for characters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+def _plain_letters(word: str) -> bool:
+    """A run of Latin letters whose normal form is itself: one piece to the tokenizer."""
+    return word.isascii() and word.isalpha() or (
+        word.isalpha() and max(word) < "\u0250" and unicodedata.is_normalized("NFC", word))
+
+
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Encodes texts to little-endian ids by a tokenizer that drops white space between words.
 
     Its splits and merges never cross ASCII white space, so words are encoded by the library once
-    and their ids kept. The store is bounded; it starts afresh when it is full.
+    and their ids kept. A word of plain letters, perhaps before one mark, is one or two pieces in
+    lower case and goes to the library's merges directly; any other one through all of its steps.
+    The store is bounded; it starts afresh when it is full.
     """
     if path in _words:
         return _words[path]
@@ -40,21 +58,35 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
     tokenizer = Tokenizer.from_file(path)
     kind = id_type(tokenizer.get_vocab_size())
+    letters = _byte_letters()
     known: dict[bytes, bytes] = {}
 
+    def merged(piece: str) -> list[int]:
+        return [t.id for t in tokenizer.model.tokenize(
+            "".join([letters[b] for b in piece.encode("utf-8")]))]
+
+    def ids_of(word: str) -> list[int]:
+        stem, mark = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
+        if stem and _plain_letters(stem):
+            lower = "".join([c.lower() for c in stem])  # each by itself, as the tokenizer does
+            if lower.isalpha():
+                return merged(lower) + (merged(mark) if mark else [])
+        return tokenizer.encode(word, add_special_tokens=False).ids
+
     def encode(texts: list[str]) -> list[bytes]:
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         out = []
-        for text in words:
-            new = [w for w in dict.fromkeys(text) if w not in known]
-            if len(known) + len(new) > KNOWN_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(text))
-            for w in new:
-                ids = tokenizer.encode(w.decode("utf-8", "surrogatepass"),
-                                       add_special_tokens=False).ids
-                known[w] = np.array(ids, kind).tobytes()
-            out.append(b"".join([known[w] for w in text]))
+        for text in texts:
+            words = (text or "").encode("utf-8", "surrogatepass").split()
+            found = list(map(known.get, words))
+            if None in found:
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                for w in words:
+                    if w not in known:
+                        known[w] = np.array(ids_of(w.decode("utf-8", "surrogatepass")),
+                                            kind).tobytes()
+                found = list(map(known.__getitem__, words))
+            out.append(b"".join(found))
         return out
 
     _words[path] = encode
@@ -81,11 +113,11 @@ def raw_blocks(docs: DataFrame, path: str, end_id: int, vocabulary: int,
         encode = word_encoder(path)
         doc_ids: list[int | None] = []
         ids: list[bytes] = []
-        part = number = size = 0
+        part = number = size = before = 0
 
         def block() -> pd.DataFrame:
             counts = [len(b) // width for b in ids]
-            return pd.DataFrame({"part": [part], "block": [number], "n_ids": [sum(counts)],
+            return pd.DataFrame({"part": [part], "block": [number], "inside": [before], "n_ids": [sum(counts)],
                                  "doc_ids": [list(doc_ids)], "counts": [counts],
                                  "ids": [b"".join(ids)]})
 
@@ -100,7 +132,7 @@ def raw_blocks(docs: DataFrame, path: str, end_id: int, vocabulary: int,
                     size += len(ids[-1]) // width
                     if size >= block_ids:
                         yield block()
-                        number, size, doc_ids, ids = number + 1, 0, [], []
+                        number, before, size, doc_ids, ids = number + 1, before + size, 0, [], []
         if doc_ids:
             yield block()
 
@@ -127,16 +159,17 @@ def symbol_counts(raw: DataFrame, vocabulary: int) -> np.ndarray:
 
 
 def with_first(raw: DataFrame) -> DataFrame:
-    """Each block with the number of ids in all blocks before it."""
+    """Each block with the number of ids in all blocks before it.
+
+    A block knows its place in its part; of the parts, one row for each task that wrote one, the sums
+    go to every executor, or beyond a bound meet the blocks in a shuffle.
+    """
     parts = raw.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    places = raw.select("part", "block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias(
-        "inside"))
-    places = places.join(parts, "part").select(
-        "part", "block", (F.col("before") + F.col("inside")).alias("first"))
-    return raw.join(places, ["part", "block"])
+    small = raw.select("part").distinct().count() <= BROADCAST_PARTS
+    return raw.join(F.broadcast(parts) if small else parts, "part").withColumn(
+        "first", F.col("before") + F.col("inside"))
 
 
 def _coder(table: rans.Table) -> rans.Coder:
