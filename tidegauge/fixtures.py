@@ -152,6 +152,19 @@ def gossip_arrivals(spark, sf_dir) -> DataFrame:
     )
 
 
+def inbound_packets(spark, sf_dir) -> DataFrame:
+    """Tunnel frames that carry the gossip arrivals; some plain, some with an invalid envelope."""
+    return _events(spark, sf_dir).withColumn("body", F.expr("""if(event_id % 11 = 0, hex(props),
+            concat('49504742', '01', lpad(hex(event_id % 6), 2, '0'), '0000',
+              lpad(hex(if(event_id % 13 = 0, 0, user_id % 5 + 1)), 64, '0'),
+              lpad(hex(user_id DIV 10 + 1), 64, '0'),
+              lpad(hex(octet_length(props)), 8, '0'), hex(props)))""")).select(
+        F.col("event_id").alias("seq"), F.col("ts_ms").alias("arrival_ms"),
+        F.expr("""unhex(concat('49505450', '01', CASE event_id % 3 WHEN 0 THEN '04' WHEN 1 THEN '06'
+                    ELSE '07' END, '0000', lpad(hex(user_id % 2 + 1), 16, '0'),
+                    lpad(hex(length(body) DIV 2), 8, '0'), body))""").alias("packet"))
+
+
 def mqtt_messages(spark, sf_dir) -> DataFrame:
     return _events(spark, sf_dir).select(
         F.expr(f"""concat('iota/node-', user_id % 4, if(event_id % 7 = 0, '/extra', ''),

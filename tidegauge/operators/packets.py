@@ -128,6 +128,17 @@ def first_match(packets: DataFrame, rules: DataFrame) -> DataFrame:
     return out.select(*packets.columns, "rule_no")
 
 
+def count_matching(packets: DataFrame, rules: DataFrame, predicate) -> DataFrame:
+    """Add ``matching``: how many rules of the packet's chain fulfil a predicate on (rule, packet)."""
+    out = packets.withColumn("matching", F.lit(0))
+    for block in _rule_blocks(rules):
+        hits = F.filter("_rules", lambda r: predicate(lambda f: r[f], F.col))
+        here = F.coalesce(F.when(F.col("_rules").isNotNull(), F.size(hits)), F.lit(0))
+        out = (out.join(F.broadcast(block), "chain", "left")
+               .withColumn("matching", F.col("matching") + here).drop("_rules"))
+    return out
+
+
 def apply_actions(classified: DataFrame, default_action: int = 1, disabled: bool = False) -> DataFrame:
     """Add ``action`` and ``hit``: the rule's action, else the default; all pass when disabled."""
     if disabled:

@@ -233,14 +233,6 @@ def bad_message_skip(spark, d):
     return E.apply_bad_message_policy(parsed, "skip").select(*POSITION, "mac_addr", "timestamp_ms")
 
 
-@register("""SELECT "partition", "offset", mac_addr, timestamp_ms FROM storage
-             WHERE error IS NULL""")
-def bad_message_fail(spark, d):
-    """The stop-at-the-first policy, on a topic of good rows only."""
-    parsed = E.parse_envelopes(X.envelopes(spark, d)).filter("error IS NULL")
-    return E.apply_bad_message_policy(parsed, "fail").select(*POSITION, "mac_addr", "timestamp_ms")
-
-
 @register(f"""SELECT key, value, record_ms, origin FROM (
     SELECT *, NULL AS origin FROM ({BRIDGE})
     UNION ALL

@@ -9,6 +9,7 @@ from tidegauge import schema as S
 from tidegauge.operators import envelopes as E
 from tidegauge.operators import gossip as G
 from tidegauge.queries.catalog import register
+from tidegauge.streaming import pipelines as L
 
 LOCAL = "0" * 63 + "2"
 
@@ -86,6 +87,33 @@ def rendezvous_fanout(spark, d):
     return G.rendezvous_fanout(messages(spark, d), X.peers(spark, d))
 
 
+def inbound_ctes(ttl_ms: int) -> dict[str, str]:
+    heard = f"""SELECT seq, type, stream_id, ts_ms,
+        CASE WHEN seq % 11 = 0 THEN '{LOCAL}' ELSE origin END AS origin,
+        CASE WHEN seq % 11 = 0 THEN 'frame-' || seq ELSE message_id END AS message_id,
+        CASE WHEN seq % 11 = 0 THEN 0 ELSE ttl END AS ttl FROM fx_arrivals
+      WHERE CASE WHEN seq % 11 = 0 THEN type = 'kafka_broadcast'
+                 ELSE seq % 13 <> 0 AND origin <> '{LOCAL}' END"""
+    going = f"""SELECT seq, type, message_id, CAST(CASE WHEN type <> 'kafka_broadcast' AND ttl <= 1
+          THEN NULL WHEN ttl = 0 THEN {S.GOSSIP_TTL} WHEN ttl > 1 THEN ttl - 1 END AS INTEGER) AS ttl
+      FROM (SELECT *, lag(ts_ms) OVER (PARTITION BY type, stream_id, origin, message_id
+              ORDER BY ts_ms, seq) AS prev FROM heard_frames)
+      WHERE prev IS NULL OR ts_ms - prev >= {ttl_ms}"""
+    return {"heard_frames": heard, "going": going,
+            **fanout_ctes("SELECT message_id FROM going WHERE ttl IS NOT NULL")}
+
+
+INBOUND_TTL_MS = 48 * 3600 * 1000
+INBOUND = """SELECT seq, type, message_id, ttl, peer_id FROM going JOIN fanout USING (message_id)
+    WHERE ttl IS NOT NULL"""
+
+
+@register(INBOUND, extra=inbound_ctes(INBOUND_TTL_MS))
+def gossip_inbound(spark, d):
+    """Received frames, without own and repeated ones, to the peers they are passed on to."""
+    return L.gossip_inbound(X.inbound_packets(spark, d), LOCAL, X.peers(spark, d), INBOUND_TTL_MS)
+
+
 REACH = f"""SELECT origin, node, min(hops) AS hops FROM reach WHERE node <> origin GROUP BY ALL"""
 REACH_CTE = f"""SELECT origin, origin AS node, 0 AS hops FROM fx_origins
     UNION SELECT r.origin, l.b, r.hops + 1 FROM reach r JOIN fx_links l ON l.a = r.node

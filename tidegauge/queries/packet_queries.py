@@ -74,10 +74,8 @@ def _predicate(name, function, sql):
         GROUP BY p.packet_id"""
 
     def query(spark, d):
-        block, = K._rule_blocks(X.rules(spark))
-        hits = F.filter("_rules", lambda r: function(lambda f: r[f], F.col))
-        return (X.packets(spark, d).join(F.broadcast(block), "chain")
-                .select("packet_id", F.size(hits).alias("matching")))
+        return K.count_matching(X.packets(spark, d), X.rules(spark), function).select(
+            "packet_id", "matching")
 
     query.__name__ = name
     return register(counted)(query)

@@ -152,12 +152,19 @@ MIDDLE = "(SELECT max(event_id) // 2 FROM events)"
 
 @register(f"""SELECT message_id, arrival_ms, "offset", mac_hex FROM ids
     WHERE "offset" >= {MIDDLE} AND (message_id = '' OR NOT EXISTS (
-      SELECT 1 FROM ids s WHERE s."offset" < {MIDDLE} AND s.message_id = ids.message_id
-        AND ids.arrival_ms < s.arrival_ms + {S.SEEN_TTL_MS}))""", extra={"ids": RELAY_IDS})
+      SELECT 1 FROM held s WHERE s.message_id = ids.message_id
+        AND ids.arrival_ms < s.arrival_ms + {S.SEEN_TTL_MS}))""", recursive=True, extra={
+    "ids": RELAY_IDS, "earlier": f"""SELECT * FROM ids WHERE "offset" < {MIDDLE}""",
+    **fixed_ctes("earlier", "message_id", "arrival_ms", '"offset"', S.SEEN_TTL_MS),
+    "held": fixed_sql("earlier", "message_id", "arrival_ms", '"offset"', S.SEEN_TTL_MS,
+                      "message_id, arrival_ms")})
 def drop_seen(spark, d):
-    """Messages of the topic's second half whose id the first half still holds are dropped."""
-    rows = relay_ids(spark, d)
+    """Messages of the topic's second half whose id the first half still holds are dropped. Repeats
+    in the first half do not renew an id: only its accepted rows are held."""
+    rows = round_trip(relay_ids(spark, d), "relay-ids")
     middle = X.table(spark, d, "events").agg(F.expr("max(event_id) DIV 2")).scalar()
-    seen = rows.filter(F.col("offset") < middle).select(
+    earlier = P.dedupe_fixed(rows.filter(F.col("offset") < middle), "message_id", "arrival_ms",
+                             "offset")
+    seen = earlier.select(
         "message_id", F.col("arrival_ms").alias("seen_ms"))
     return P.drop_seen(rows.filter(F.col("offset") >= middle), seen)

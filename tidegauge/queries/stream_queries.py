@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidegauge import fixtures as X
@@ -11,25 +12,34 @@ from tidegauge.operators import gossip as G
 from tidegauge.queries import admission_queries as AQ
 from tidegauge.queries import fleet_queries  # noqa: F401
 from tidegauge.queries import frame_queries  # noqa: F401
+from tidegauge.queries import gossip_queries as GQ
 from tidegauge.queries import oracle_inputs as O
 from tidegauge.queries import presence_queries as PQ
 from tidegauge.queries.catalog import SQL, register
 from tidegauge.queries.gossip_queries import fanout_ctes
 from tidegauge.queries.registry_queries import LATEST
-from tidegauge.queries.source_queries import MESSAGES, landing, shown
+from tidegauge.queries.source_queries import MESSAGES, shown
 from tidegauge.session import scratch
 from tidegauge.sources.landing import stream_landing
-from tidegauge.sources.registry_table import read_registry, registry_rows
+from tidegauge.sources.registry_table import read_registry, read_state, registry_rows
 from tidegauge.sources.tables import read_device_messages
 from tidegauge.streaming import pipelines as P
 from tidegauge.streaming import state as ST
 
 
-def streamed(spark, df, name):
-    """A stream of the rows of a table."""
+BATCHES = 3
+
+
+def streamed(spark, df, name, order):
+    """A stream of the rows of a table in as many micro-batches, cut along ``order``."""
     path = scratch(spark, name)
-    df.write.parquet(path)
-    return stream_landing(spark, path, df.schema)
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    step = ((high or 0) - (low or 0)) // BATCHES + 1
+    for i in range(BATCHES):  # one file each, one after the other: the source takes them by age
+        first = (low or 0) + i * step
+        df.filter(F.col(order).between(first, first + step - 1)).coalesce(1).write.mode(
+            "append").parquet(path)
+    return stream_landing(spark, path, df.schema, max_files=1)
 
 
 def drained(spark, stream, name):
@@ -40,7 +50,13 @@ def drained(spark, stream, name):
 
 
 def topic(spark, d):
-    return stream_landing(spark, landing(spark, d))
+    return streamed(spark, X.envelopes(spark, d), "landing", "offset")
+
+
+def last_of(rows, keys, order):
+    """The last row each key has emitted, for streams that emit one per micro-batch."""
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("last"))
+    return last.select("last.*")
 
 
 @register(MESSAGES)
@@ -79,13 +95,13 @@ def same_sql_as(name):
 
 @same_sql_as("dedupe_fixed_chains")
 def dedupe_fixed_stream(spark, d):
-    rows = streamed(spark, X.presence(spark, d), "presence")
+    rows = streamed(spark, X.presence(spark, d), "presence", "event_id")
     return drained(spark, ST.dedupe_fixed_stream(rows, "mac12", "ts_ms", "event_id", PQ.TTL), "fixed")
 
 
 @same_sql_as("dedupe_sliding")
 def dedupe_sliding_stream(spark, d):
-    rows = streamed(spark, X.gossip_arrivals(spark, d), "arrivals")
+    rows = streamed(spark, X.gossip_arrivals(spark, d), "arrivals", "seq")
     return drained(spark, ST.dedupe_sliding_stream(rows, list(G.GOSSIP_KEY), "ts_ms", "seq",
                                                    PQ.GOSSIP_TTL_MS), "sliding")
 
@@ -99,7 +115,7 @@ SESSIONS = PQ.sessions_sql("mac12", "ts_ms", "fx_presence", PQ.TTL)
     WHERE start_ms < last_start""", extra={"sessions": SESSIONS})
 def device_online_stream(spark, d):
     """Changes of presence; the last session of a device is still open when the rows end."""
-    rows = streamed(spark, X.presence(spark, d), "presence")
+    rows = streamed(spark, X.presence(spark, d), "presence", "event_id")
     return drained(spark, ST.presence_changes(rows, "mac12", "ts_ms", "event_id", PQ.TTL), "online")
 
 
@@ -109,32 +125,33 @@ def device_online_stream(spark, d):
 def device_latest_stream(spark, d):
     parsed = E.parse_edge_json(topic(spark, d)).filter("accepted")
     latest = ST.device_latest_stream(parsed, "mac_hex", "value", "arrival_ms", "offset")
-    return drained(spark, latest, "latest")
+    return last_of(drained(spark, latest, "latest"), ["mac_hex"], "expires_at_ms")
 
 
 @same_sql_as("rate_limit")
 def rate_limit_stream(spark, d):
-    rows = streamed(spark, X.ingress(spark, d).filter("kind = 'Data'"), "ingress")
+    rows = streamed(spark, X.ingress(spark, d).filter("kind = 'Data'"), "ingress", "seq")
     marked = ST.rate_limit_stream(rows, AQ.CAPACITY)
     return drained(spark, marked, "budget").select("node", "seq", "accepted")
 
 
 @same_sql_as("admit_streams")
 def admit_streams_stream(spark, d):
-    rows = streamed(spark, X.ingress(spark, d), "ingress")
+    rows = streamed(spark, X.ingress(spark, d), "ingress", "seq")
     marked = ST.admit_streams_stream(rows, AQ.MAX_STREAMS)
     return drained(spark, marked, "limit").select("node", "stream_id", "kind", "seq", "t_ms", "accepted")
 
 
 @same_sql_as("route_health")
 def route_health_stream(spark, d):
-    rows = streamed(spark, X.route_events(spark, d), "route-events")
-    return drained(spark, ST.route_health_stream(rows), "health").drop("upto_seq")
+    rows = streamed(spark, X.route_events(spark, d), "route-events", "seq")
+    health = drained(spark, ST.route_health_stream(rows), "health")
+    return last_of(health, ["owner", "node"], "upto_seq").drop("upto_seq")
 
 
 @same_sql_as("reassemble_frames")
 def reassemble_frames_stream(spark, d):
-    rows = streamed(spark, X.chunks(spark, d), "chunks")
+    rows = streamed(spark, X.chunks(spark, d), "chunks", "seq")
     return drained(spark, ST.reassemble_frames_stream(rows), "frames").select(
         "stream_id", "frame_no", F.lower(F.hex("frame")).alias("frame_hex"))
 
@@ -146,7 +163,7 @@ IDLE_MS = 6 * 3600 * 1000
     WHERE end_ms - 1 <= (SELECT max(ts_ms) FROM fx_idle)""", extra={"fx_idle": PQ.IDLE})
 def idle_sessions_stream(spark, d):
     """Sessions whose end the rows have passed; the others are still open."""
-    rows = streamed(spark, PQ.peer_traffic(spark, d), "traffic")
+    rows = streamed(spark, PQ.peer_traffic(spark, d), "traffic", "ts_ms")
     keys = ["peer_ip", "peer_port", "conv"]
     return drained(spark, ST.idle_sessions_stream(rows, keys, "ts_ms", IDLE_MS, "0 seconds"),
                    "idle")
@@ -172,27 +189,99 @@ def relay_stream(spark, d):
     return spark.read.parquet(f"{sent}/batch_id=*").select("offset", "peer_id")
 
 
+STATE = """SELECT 'device:' || mac_hex || ':state' AS key, 'online' AS value,
+      max(arrival_ms) + 60000 AS expires_at_ms FROM written GROUP BY mac_hex
+    UNION ALL SELECT 'device:' || mac_hex || ':latest', arg_max(value, "offset"),
+      max(arrival_ms) + 86400000 FROM written GROUP BY mac_hex"""
+
+
+@register(STATE, recursive=True, extra={
+    **RELAY, "written": """SELECT r.* FROM relay r JOIN fresh USING ("partition", "offset")"""})
+def relay_state(spark, d):
+    """The state of each device after all micro-batches, one row per key."""
+    state = scratch(spark, "relay-state")
+    P.relay_stream(topic(spark, d), X.peers(spark, d), scratch(spark, "sent"), state,
+                   scratch(spark, "relay-checkpoint")).awaitTermination()
+    return read_state(spark, state)
+
+
+@register("""SELECT "partition", "offset", mac_addr, timestamp_ms FROM storage
+             WHERE error IS NULL AND "offset" < (SELECT max(event_id) // 3 FROM events)""")
+def bad_message_fail(spark, d):
+    """The stop-at-the-first policy: a file of good rows is written, the next one stops the stream,
+    the one after it is never read."""
+    rows = X.envelopes(spark, d)
+    third = X.table(spark, d, "events").agg(F.expr("max(event_id) DIV 3")).first()[0]
+    good = E.parse_envelopes(rows).filter("error IS NULL").select(*rows.columns)
+    path, table = scratch(spark, "landing"), scratch(spark, "messages")
+    for part in (good.filter(F.col("offset") < third),
+                 rows.filter(F.col("offset").between(third, 2 * third)),
+                 good.filter(F.col("offset") > 2 * third)):
+        part.coalesce(1).write.mode("append").parquet(path)
+    query = P.ingest_stream(stream_landing(spark, path, max_files=1), table, scratch(spark, "bad"),
+                            scratch(spark, "ingest-checkpoint"), on_error="fail")
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as stopped:
+        if "bad message" not in str(stopped):
+            raise
+    stored = read_device_messages(spark, table).select("mac_addr", "timestamp_ms", "created_at")
+    # The stored rows name their place in the topic only by what they say.
+    places = E.parse_envelopes(rows).filter("error IS NULL").select(
+        "partition", "offset", "mac_addr", "timestamp_ms", "created_at")
+    return places.join(stored, ["mac_addr", "timestamp_ms", "created_at"], "left_semi").select(
+        "partition", "offset", "mac_addr", "timestamp_ms")
+
+
+@same_sql_as("gossip_inbound")
+def gossip_inbound_stream(spark, d):
+    sent = scratch(spark, "sent")
+    packets = streamed(spark, X.inbound_packets(spark, d), "packets", "seq")
+    P.gossip_inbound_stream(packets, GQ.LOCAL, X.peers(spark, d), scratch(spark, "delivered"), sent,
+                            scratch(spark, "inbound-checkpoint"), GQ.INBOUND_TTL_MS).awaitTermination()
+    return spark.read.parquet(f"{sent}/batch_id=*").select("seq", "type", "message_id", "ttl", "peer_id")
+
+
 EDGE = """SELECT 'x' || (event_id // 4) AS message_id, ts_ms AS arrival_ms, event_id AS "offset",
     mac12, props, user_id FROM ev WHERE event_id % 11 <> 0 AND event_id % 13 <> 0"""
 EDGE_CTES = {"edge": EDGE, **PQ.fixed_ctes("edge", "message_id", "arrival_ms", '"offset"', S.SEEN_TTL_MS)}
 
 
-@register(f"""SELECT mac12 AS key, to_json({{'mac_addr': {O.colon('mac12')}, 'mac_hex': mac12,
+EDGE_COLUMNS = 'message_id, arrival_ms, "offset", mac12, props, user_id'
+EDGE_VALUE = f"""to_json({{'mac_addr': {O.colon('mac12')}, 'mac_hex': mac12,
     'message_id': message_id, 'origin': 'n1', 'payload_base64': base64(encode(props)),
     'payload_len': octet_length(encode(props)), 'received_at_ms': arrival_ms,
     'schema': 'iota.edge.raw.v1', 'stream_id': {O.STREAM_ID}, 'timestamp_ms': arrival_ms
-    }})::VARCHAR AS value FROM (""" + PQ.fixed_sql(
-        "edge", "message_id", "arrival_ms", '"offset"', S.SEEN_TTL_MS,
-        'message_id, arrival_ms, "offset", mac12, props, user_id') + ")",
+    }})::VARCHAR"""
+
+
+@register(f"SELECT mac12 AS key, {EDGE_VALUE} AS value FROM (" + PQ.fixed_sql(
+    "edge", "message_id", "arrival_ms", '"offset"', S.SEEN_TTL_MS, EDGE_COLUMNS) + ")",
           recursive=True, extra=EDGE_CTES)
 def edge_stream(spark, d):
     """Topic rows made of device frames, without repeats."""
+    produced, _ = run_edge(spark, d)
+    return spark.read.parquet(f"{produced}/batch_id=*").select("key", "value")
+
+
+@register("""SELECT 'device:' || mac12 || ':state' AS key, 'online' AS value,
+      max(arrival_ms) + 60000 AS expires_at_ms FROM edge_kept GROUP BY mac12
+    UNION ALL SELECT 'device:' || mac12 || ':latest', arg_max(""" + EDGE_VALUE + """, "offset"),
+      max(arrival_ms) + 86400000 FROM edge_kept GROUP BY mac12""", recursive=True, extra={
+    **EDGE_CTES, "edge_kept": PQ.fixed_sql("edge", "message_id", "arrival_ms", '"offset"',
+                                          S.SEEN_TTL_MS, EDGE_COLUMNS)})
+def edge_state(spark, d):
+    """The state of each device after all micro-batches, one row per key."""
+    return read_state(spark, run_edge(spark, d)[1])
+
+
+def run_edge(spark, d):
     events = X._events(spark, d).select(
         "event_id", F.expr("concat('x', event_id DIV 4)").alias("frame_id"),
         F.col("ts_ms").alias("arrival_ms"), F.col("event_id").alias("offset"),
         F.lit(0).alias("partition"), F.lit("n1").alias("origin_id"))
     frames = X.frames(spark, d).join(events, "event_id").drop("event_id")
-    produced = scratch(spark, "produced")
-    P.edge_stream(streamed(spark, frames, "edge-frames"), produced, scratch(spark, "edge-state"),
+    produced, state = scratch(spark, "produced"), scratch(spark, "edge-state")
+    P.edge_stream(streamed(spark, frames, "edge-frames", "offset"), produced, state,
                   scratch(spark, "edge-checkpoint")).awaitTermination()
-    return spark.read.parquet(f"{produced}/batch_id=*").select("key", "value")
+    return produced, state

@@ -1,0 +1,95 @@
+"""A table with one row per key, kept in hash buckets; a micro-batch rewrites only those it touches.
+
+Each version writes the buckets it changes to a folder of its own, and then a manifest that names for
+every bucket the version that holds it. A version counts once its manifest is complete, so readers
+see all of a micro-batch or nothing of it, and a repeated micro-batch starts from the manifest before
+its own. Versions that no kept manifest names are removed.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+BUCKETS = 64
+KEPT = 3
+
+
+class KeyedTable:
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str,
+                 buckets: int = BUCKETS, kept: int = KEPT) -> None:
+        self.spark, self.path, self.schema, self.key = spark, path, schema, key
+        self.buckets, self.kept = buckets, kept
+
+    def _hadoop(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _numbers(self, name: str, whole: bool = False) -> list[int]:
+        """Versions that have a folder, or only those whose write has completed."""
+        fs, root = self._hadoop(name)
+        if not fs.exists(root):
+            return []
+        out = []
+        for status in fs.listStatus(root):
+            folder = status.getPath()
+            done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+            if folder.getName().startswith("version=") and (not whole or fs.exists(done)):
+                out.append(int(folder.getName().split("=")[1]))
+        return sorted(out)
+
+    def versions(self) -> list[int]:
+        """Versions that count, oldest first."""
+        return self._numbers("manifest", whole=True)
+
+    def _places(self, version: int | None) -> dict[int, int]:
+        """The version that holds each bucket: at most as many entries as there are buckets."""
+        if version is None:
+            return {}
+        rows = self.spark.read.schema("bucket int, held int, buckets int").parquet(
+            f"{self.path}/manifest/version={version}").collect()
+        if any(r.buckets != self.buckets for r in rows):
+            raise ValueError("the table has another number of buckets")
+        return {r.bucket: r.held for r in rows}
+
+    def _rows(self, places: dict[int, int]) -> DataFrame:
+        folders = [f"{self.path}/data/version={v}/bucket={b}" for b, v in sorted(places.items())]
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*folders)
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """All rows of the newest version, or of a given one; None if there is none."""
+        known = self.versions()
+        if version is None and known:
+            version = known[-1]
+        return self._rows(self._places(version)) if version in known else None
+
+    def upsert(self, batch: DataFrame, version: int,
+               merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Write the version that ``merge(current rows, batch)`` gives; versions rise."""
+        earlier = [v for v in self.versions() if v < version]
+        places = self._places(earlier[-1] if earlier else None)
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]
+        current = self._rows({b: v for b, v in places.items() if b in touched})
+        merged = merge(current, batch).withColumn("bucket", bucket)
+        (merged.repartition(max(1, len(touched)), "bucket").write.mode("overwrite")
+         .partitionBy("bucket").parquet(f"{self.path}/data/version={version}"))
+        places |= {b: version for b in touched}
+        manifest = self.spark.createDataFrame(
+            [(b, v, self.buckets) for b, v in sorted(places.items())],
+            "bucket int, held int, buckets int")
+        manifest.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/version={version}")
+        self._remove_unused()
+
+    def _remove_unused(self) -> None:
+        known = self.versions()
+        kept = known[-self.kept:]
+        used = {v for k in kept for v in self._places(k).values()} | set(kept)
+        for name in ("data", "manifest"):
+            for version in self._numbers(name):
+                if version < kept[0] and (name == "manifest" or version not in used):
+                    fs, folder = self._hadoop(f"{name}/version={version}")
+                    fs.delete(folder, True)

@@ -1,52 +1,43 @@
-"""Registry kept as Parquet: a snapshot per version, each written whole before it counts."""
+"""The device registry and the devices' state as keyed tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.operators.registry import merge_registry
+from tidegauge.sources.keyed_table import KeyedTable
 
-_STORED = "id decimal(38,0), mac_addr string, timestamp bigint"
+_REGISTRY = "id decimal(38,0), mac_addr string, timestamp bigint"
+_STATE = "key string, value string, expires_at_ms bigint"
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions whose write has completed, oldest first."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    found = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("version=") and fs.exists(
-                jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(name.split("=")[1]))
-    return sorted(found)
+def registry_table(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, _REGISTRY, "mac_addr")
 
 
 def read_registry(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
-    """The newest snapshot (or a given one), None before the first write."""
-    known = _versions(spark, path)
-    if version is None:
-        version = known[-1] if known else None
-    if version is None or version not in known:
-        return None
-    return spark.read.schema(_STORED).parquet(f"{path}/version={version}")
+    """The newest snapshot (or one of the last few), None before the first write."""
+    return registry_table(spark, path).read(version)
 
 
 def upsert_registry(latest: DataFrame, path: str, version: int) -> None:
-    """Write the snapshot that follows from a batch reduced to one row per device.
-
-    Versions rise with the micro-batch number. A repeated batch starts from the version before
-    its own and rewrites its own, so a retry changes nothing.
-    """
-    spark = latest.sparkSession
-    earlier = [v for v in _versions(spark, path) if v < version]
-    current = read_registry(spark, path, earlier[-1]) if earlier else None
-    merged = merge_registry(current, latest)
-    merged.write.mode("overwrite").parquet(f"{path}/version={version}")
+    """Merge a batch reduced to one row per device; versions rise with the micro-batch number."""
+    registry_table(latest.sparkSession, path).upsert(latest, version, merge_registry)
 
 
 def registry_rows(registry: DataFrame) -> DataFrame:
     return registry.select(F.col("id").cast("string").alias("id"), "mac_addr", "timestamp")
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """One row for each key that was ever written; ``presence.alive`` leaves the expired ones out."""
+    return KeyedTable(spark, path, _STATE, "key").read()
+
+
+def write_state(rows: DataFrame, path: str, version: int) -> None:
+    """Each written key gets the new value and expiry; the others stay."""
+    def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
+        return current.join(batch, "key", "left_anti").unionByName(batch)
+
+    columns = rows.select("key", "value", "expires_at_ms")
+    KeyedTable(rows.sparkSession, path, _STATE, "key").upsert(columns, version, merge)

@@ -6,14 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidegauge import schema as S
+from tidegauge.functions.jsonfields import evaluated_once
 from tidegauge.operators import envelopes as E
 from tidegauge.operators import frames as R
 from tidegauge.operators import gossip as G
 from tidegauge.operators import registry as D
-from tidegauge.operators.presence import device_state
-from tidegauge.sources.registry_table import upsert_registry
+from tidegauge.operators.presence import dedupe_sliding, device_state
+from tidegauge.sources.registry_table import upsert_registry, write_state
 from tidegauge.sources.tables import append_batch
-from tidegauge.streaming.state import dedupe_fixed_stream
+from tidegauge.streaming.state import dedupe_fixed_stream, dedupe_sliding_stream
 
 
 def _trigger(writer, available_now: bool):
@@ -80,7 +81,7 @@ def relay_stream(topic: DataFrame, peers: DataFrame, sent: str, state: str, chec
             return
         kept = batch.persist()
         try:
-            append_batch(device_state(kept, "mac_hex", "value", "arrival_ms"), state, batch_id)
+            write_state(device_state(kept, "mac_hex", "value", "arrival_ms"), state, batch_id)
             place = F.concat_ws("-", F.lit("topic"), "partition", "offset")
             named = F.coalesce(F.nullif("message_id", F.lit("")), place).alias("message_id")
             routed = G.rendezvous_fanout(kept.select(named, "partition", "offset"), peers)
@@ -92,6 +93,62 @@ def relay_stream(topic: DataFrame, peers: DataFrame, sent: str, state: str, chec
     return _trigger(writer, available_now).start()
 
 
+def inbound_gossip(packets: DataFrame, local_id: str) -> DataFrame:
+    """Messages in received tunnel frames (seq, arrival_ms, packet) of the types that are passed on.
+
+    Invalid frames and own messages are left out. A topic message that came without an envelope gets
+    an id of its own here and starts with the default number of hops.
+    """
+    # Each decoding step is computed once, or its byte arithmetic is repeated in all that follows.
+    frames = evaluated_once(R.decode_tunnel_frames(packets)).filter("valid")
+    decoded = evaluated_once(R.decode_gossip(frames)).filter(
+        (F.col("status") != "invalid") & F.col("type").isin(*G.RELAYED, "kafka_broadcast"))
+    plain = F.col("status") == "plain"
+    heard = decoded.filter(~plain & (F.col("origin") != local_id)
+                           | plain & (F.col("type") == "kafka_broadcast"))
+    return heard.select(
+        "seq", "arrival_ms", "type", F.col("stream_id").cast("bigint").alias("stream_id"),
+        F.when(plain, F.lit(local_id)).otherwise(F.col("origin")).alias("origin"),
+        F.when(plain, F.concat_ws("-", F.lit("frame"), "seq")).otherwise(F.col("message_id"))
+        .alias("message_id"),
+        F.when(plain, 0).otherwise(F.col("ttl")).alias("ttl"), "body")
+
+
+def outbound_gossip(fresh: DataFrame, peers: DataFrame) -> DataFrame:
+    """Peers each fresh message goes on to, with the hops it has left."""
+    relayed = F.when(F.col("ttl") > 1, F.col("ttl") - 1)
+    ttl = F.when(F.col("type") == "kafka_broadcast", G.relay_kafka_ttl(F.col("ttl"))).otherwise(relayed)
+    going = fresh.select("seq", "type", "message_id", ttl.cast("int").alias("ttl"))
+    return G.rendezvous_fanout(going.filter("ttl IS NOT NULL"), peers)
+
+
+def gossip_inbound(packets: DataFrame, local_id: str, peers: DataFrame, seen_ttl_ms: int) -> DataFrame:
+    """Received frames to what is passed on: seq, type, message_id, ttl and peer_id."""
+    heard = inbound_gossip(packets, local_id)
+    fresh = dedupe_sliding(heard, list(G.GOSSIP_KEY), "arrival_ms", "seq", seen_ttl_ms)
+    return outbound_gossip(fresh, peers)
+
+
+def gossip_inbound_stream(packets: DataFrame, local_id: str, peers: DataFrame, delivered: str,
+                          sent: str, checkpoint: str, seen_ttl_ms: int, available_now: bool = True):
+    """Stream form: fresh messages to the ``delivered`` table, and what is passed on to ``sent``."""
+    heard = inbound_gossip(packets, local_id)
+    fresh = dedupe_sliding_stream(heard, list(G.GOSSIP_KEY), "arrival_ms", "seq", seen_ttl_ms)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        kept = batch.persist()
+        try:
+            append_batch(kept, delivered, batch_id)
+            append_batch(outbound_gossip(kept, peers), sent, batch_id)
+        finally:
+            kept.unpersist()
+
+    writer = fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return _trigger(writer, available_now).start()
+
+
 def edge_stream(frames: DataFrame, produced: str, state: str, checkpoint: str,
                 ttl_ms: int = S.SEEN_TTL_MS, available_now: bool = True):
     """Device frames (stream_id, frame, message_id, origin, arrival_ms, offset) to topic rows.
@@ -109,7 +166,7 @@ def edge_stream(frames: DataFrame, produced: str, state: str, checkpoint: str,
             "value", E.to_envelope_json()).persist()
         try:
             append_batch(kept.select("key", "value"), produced, batch_id)
-            append_batch(device_state(kept, "mac_hex", "value", "arrival_ms"), state, batch_id)
+            write_state(device_state(kept, "mac_hex", "value", "arrival_ms"), state, batch_id)
         finally:
             kept.unpersist()
 
