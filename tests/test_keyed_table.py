@@ -1,0 +1,62 @@
+"""Keyed tables against a dictionary: only touched buckets are written, repeats change nothing."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidegauge.sources import tables as T
+from tidegauge.sources.keyed_table import KeyedTable
+
+SCHEMA = "key string, value string, expires_at_ms bigint"
+
+
+def newest(current, batch):
+    return current.join(batch, "key", "left_anti").unionByName(batch)
+
+
+def test_versions_add_up(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path), SCHEMA, "key", buckets=8, kept=2)
+    assert table.read() is None
+    rng, want, after = random.Random(1), {}, []
+    for version in range(6):
+        batch = {f"k{rng.randrange(40)}": (f"v{version}", version) for _ in range(rng.choice([0, 1, 9]))}
+        frame = spark.createDataFrame([(k, *v) for k, v in batch.items()], SCHEMA)
+        for _ in range(2):  # a repeated micro-batch
+            table.upsert(frame, version, newest)
+        want |= batch
+        after.append(dict(want))
+        assert {r.key: (r.value, r.expires_at_ms) for r in table.read().collect()} == want
+    assert table.versions() == [4, 5]
+    assert {r.key: (r.value, r.expires_at_ms) for r in table.read(4).collect()} == after[4]
+    assert table.read(1) is None
+    held = set(table._places(5).values()) | set(table._places(4).values())
+    assert set(table._numbers("data")) <= held | {4, 5}
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path), SCHEMA, "key", buckets=8)
+    table.upsert(spark.range(100).select(F.concat(F.lit("k"), "id").alias("key"), F.lit("a").alias(
+        "value"), F.lit(1).cast("bigint").alias("expires_at_ms")), 0, newest)
+    table.upsert(spark.createDataFrame([("k7", "b", 2)], SCHEMA), 1, newest)
+    assert sorted(table._places(1).values()) == [0] * 7 + [1]
+    assert table.read().filter("value = 'b'").count() == 1 and table.read().count() == 100
+
+
+def test_a_version_without_manifest_does_not_count(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path), SCHEMA, "key", buckets=4)
+    frame = spark.createDataFrame([("a", "x", 1)], SCHEMA)
+    table.upsert(frame, 0, newest)
+    frame.withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(
+        f"{tmp_path}/data/version=1")
+    assert [r.value for r in table.read().collect()] == ["x"]
+    with pytest.raises(ValueError):
+        KeyedTable(spark, str(tmp_path), SCHEMA, "key", buckets=5).read()
+
+
+def test_messages_are_complete(spark, tmp_path):
+    good = spark.createDataFrame([("02:c4:f1:90:7b:e5", 1, None, b"x", None)], "mac_addr string, "
+                                 "timestamp_ms bigint, event_time timestamp_ntz, payload binary, "
+                                 "created_at timestamp_ntz")
+    with pytest.raises(Exception, match="NULL in event_time"):
+        T.append_messages(good, str(tmp_path / "messages"), 0)

@@ -83,3 +83,11 @@ def test_state_without_time_to_live_never_expires(spark):
     got = {r.key: (r.value, r.expires_at_ms) for r in state.collect()}
     assert got == {"device:d:state": ("online", 70), "device:d:latest": ("v2", None)}
     assert [r.key for r in P.alive(state, F.lit(70)).collect()] == ["device:d:latest"]
+
+
+@pytest.mark.parametrize("rule, plain", [(P.dedupe_fixed, fixed), (P.dedupe_sliding, sliding)])
+def test_the_shortest_time_to_live_keeps_all_but_equal_times(spark, rule, plain):
+    rows = [("a", t, s) for s, t in enumerate([0, 0, 1, 2, 2, 5])]
+    got = rule(spark.createDataFrame(rows, "k string, t long, s long"), "k", "t", "s", 1)
+    assert sorted(map(tuple, got.collect())) == plain(rows, 1)
+    assert P.presence_sessions(events(spark, [0, 0, 1, 2, 2, 5]), "k", "t", 1).count() == 4

@@ -55,20 +55,20 @@ def keyed(spark, seed=1, n=900):
 
 def test_fixed_expiry(spark, tmp_path):
     df = keyed(spark)
-    got = drain(spark, tmp_path, ST.dedupe_fixed_stream(feed(spark, tmp_path, df, "s"), "k", "t", "s", 200))
+    got = drain(spark, tmp_path, ST.dedupe_fixed_stream(feed(spark, tmp_path / "s", df, "t"), "k", "t", "s", 200))
     assert rows_of(got, "k", "t", "s") == rows_of(P.dedupe_fixed(df, "k", "t", "s", 200), "k", "t", "s")
 
 
 def test_sliding_expiry_with_timers(spark, tmp_path):
     df = keyed(spark, 2)
-    stream = ST.dedupe_sliding_stream(feed(spark, tmp_path, df, "s"), "k", "t", "s", 70, delay="1 second")
+    stream = ST.dedupe_sliding_stream(feed(spark, tmp_path / "s", df, "t"), "k", "t", "s", 70, delay="1 second")
     got = drain(spark, tmp_path, stream)
     assert rows_of(got, "k", "t", "s") == rows_of(P.dedupe_sliding(df, "k", "t", "s", 70), "k", "t", "s")
 
 
 def test_presence_changes(spark, tmp_path):
     df = keyed(spark, 3).filter("k <> ''")
-    got = drain(spark, tmp_path, ST.presence_changes(feed(spark, tmp_path, df, "s"), "k", "t", "s", 80))
+    got = drain(spark, tmp_path, ST.presence_changes(feed(spark, tmp_path / "s", df, "t"), "k", "t", "s", 80))
     sessions = P.presence_sessions(df, "k", "t", 80).collect()
     last = {}
     for r in sessions:
@@ -80,7 +80,7 @@ def test_presence_changes(spark, tmp_path):
 
 def test_presence_timers_report_silence(spark, tmp_path):
     df = spark.createDataFrame([("a", 1_000, 0), ("b", 10_000, 1), ("b", 20_000, 2)], "k string, t long, s long")
-    stream = ST.presence_changes(feed(spark, tmp_path, df, "s"), "k", "t", "s", 5_000, delay="0 seconds")
+    stream = ST.presence_changes(feed(spark, tmp_path / "s", df, "t"), "k", "t", "s", 5_000, delay="0 seconds")
     assert ("a", 6_000, "offline") in rows_of(drain(spark, tmp_path, stream), "k", "at_ms", "status")
 
 
@@ -175,18 +175,18 @@ def test_registry_follows_arrival_and_keeps_ids(spark, tmp_path):
     def run():
         L.registry_stream(stream_landing(spark, landing), registry,
                           str(tmp_path / "checkpoint")).awaitTermination()
-        return {r.mac_addr: (int(r.id), r.timestamp) for r in read_registry(spark, registry).collect()}
+        return {r.mac_addr: (int(r.id) - 9 * 10**24, r.timestamp) for r in read_registry(spark, registry).collect()}
 
     def arrive(offset, mac, ts):
         value = json.dumps({"mac_hex": mac, "timestamp_ms": ts})
         spark.createDataFrame([(0, offset, mac, value, 9)], S.LANDING).write.mode("append").parquet(landing)
 
     assert read_registry(spark, registry) is None
-    arrive(5, "aabbccddeeff", 100)
-    assert run() == {"aa:bb:cc:dd:ee:ff": (5, 100)}
-    arrive(6, "aabbccddeeff", 50)
-    arrive(7, "aabbccddee00", 70)
-    assert run() == {"aa:bb:cc:dd:ee:ff": (5, 50), "aa:bb:cc:dd:ee:00": (7, 70)}
+    arrive(5, "02c4f1907be5", 100)
+    assert run() == {"02:c4:f1:90:7b:e5": (5, 100)}
+    arrive(6, "02c4f1907be5", 50)
+    arrive(7, "02c4f1907b00", 70)
+    assert run() == {"02:c4:f1:90:7b:e5": (5, 50), "02:c4:f1:90:7b:00": (7, 70)}
 
 
 def test_idle_sessions(spark, tmp_path):
@@ -195,3 +195,20 @@ def test_idle_sessions(spark, tmp_path):
                                      "0 seconds")
     got = rows_of(drain(spark, tmp_path, stream), "k", "start_ms", "end_ms", "events")
     assert got == [("a", 0, 1900, 2), ("a", 1900, 2900, 1), ("b", 50_000, 51_000, 1)]
+
+
+def test_idle_sessions_without_timeout_or_of_one_millisecond(spark, tmp_path):
+    rows = [("a", 5), ("a", 6), ("b", 900_000), ("a", 70_000)]
+    df = spark.createDataFrame(rows, "k string, t long")
+    never = ST.idle_sessions_stream(feed(spark, tmp_path / "n", df, "t"), ["k"], "t", 0, "0 seconds")
+    query = never.writeStream.format("memory").queryName("never").outputMode("complete").trigger(
+        availableNow=True).option("checkpointLocation", str(tmp_path / "never")).start()
+    query.awaitTermination()
+    got = {tuple(r) for r in spark.table("never").collect()}
+    assert got == {("a", 5, 70_000, 3, None), ("b", 900_000, 900_000, 1, None)}
+    short = ST.idle_sessions_stream(feed(spark, tmp_path / "s", df, "t"), ["k"], "t", 1, "1 hour")
+    query = short.writeStream.format("memory").queryName("short").outputMode("complete").trigger(
+        availableNow=True).option("checkpointLocation", str(tmp_path / "short")).start()
+    query.awaitTermination()
+    assert {(r.k, r.start_ms, r.events, r.end_ms) for r in spark.table("short").collect()} == {
+        ("a", 5, 1, 6), ("a", 6, 1, 7), ("a", 70_000, 1, 70_001), ("b", 900_000, 1, 900_001)}

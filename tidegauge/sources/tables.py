@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge import schema as S
 from tidegauge.session import scratch
@@ -28,9 +28,18 @@ def ensure_table(spark: SparkSession, name: str, using: str = "parquet",
         + f" TBLPROPERTIES ({properties})")
 
 
+def complete_messages(rows: DataFrame) -> DataFrame:
+    """The columns of the device message table; a NULL in any of them stops the write."""
+    def stop(name: str, kind) -> Column:
+        return F.raise_error(F.lit(f"NULL in {name}")).cast(kind)
+
+    return rows.select(*[F.coalesce(F.col(f.name), stop(f.name, f.dataType)).alias(f.name)
+                         for f in S.DEVICE_MESSAGE.fields])
+
+
 def append_table(rows: DataFrame, name: str) -> None:
     """Append to a table of the session's catalog (Parquet, or Iceberg when installed)."""
-    rows.select(*S.DEVICE_MESSAGE.fieldNames()).write.insertInto(name)
+    complete_messages(rows).write.insertInto(name)
 
 
 def sized_write(df: DataFrame, path: str, target_bytes: int = S.TARGET_FILE_BYTES,
@@ -58,6 +67,11 @@ def append_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def append_messages(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write a micro-batch of device messages into its own folder, in files near the target size."""
+    sized_write(complete_messages(rows), f"{path}/batch_id={batch_id}", mode="overwrite")
+
+
 def read_device_messages(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a device message table kept as folders of micro-batches."""
     return (spark.read.schema(S.DEVICE_MESSAGE).option("basePath", path)

@@ -13,7 +13,7 @@ from tidegauge.operators import gossip as G
 from tidegauge.operators import registry as D
 from tidegauge.operators.presence import dedupe_sliding, device_state
 from tidegauge.sources.registry_table import upsert_registry, write_state
-from tidegauge.sources.tables import append_batch
+from tidegauge.sources.tables import append_batch, append_messages
 from tidegauge.streaming.state import dedupe_fixed_stream, dedupe_sliding_stream
 
 
@@ -37,12 +37,12 @@ def ingest_stream(topic: DataFrame, table: str, quarantine: str, checkpoint: str
             return
         parsed = E.parse_envelopes(batch)
         if on_error == "fail":
-            append_batch(E.device_messages(E.apply_bad_message_policy(parsed, "fail")), table,
-                         batch_id)
+            append_messages(E.device_messages(E.apply_bad_message_policy(parsed, "fail")), table,
+                            batch_id)
             return
         kept = parsed.persist()
         try:
-            append_batch(E.device_messages(kept), table, batch_id)
+            append_messages(E.device_messages(kept), table, batch_id)
             if on_error == "quarantine":
                 bad = E.apply_bad_message_policy(kept, "quarantine")
                 append_batch(bad.select(*S.LANDING.fieldNames(), "error"), quarantine, batch_id)
