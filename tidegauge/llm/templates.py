@@ -60,27 +60,30 @@ def values(window: Column) -> Column:
     return F.split(F.regexp_replace(F.lower(window), r"[^\p{L}\p{N} ]+", ""), " ", -1)
 
 
+def _joined(words: str, place: Column, size: int) -> Column:
+    """The words of an array from a place on, those beyond its end left out."""
+    return F.concat_ws(" ", *[F.get(F.col(words), place + (k - 1)) for k in range(size)])
+
+
 def windows(texts: DataFrame, key: str, text: str, size: int = WINDOW) -> DataFrame:
-    """``key, place, template, words``: every window of ``size`` template words.
+    """``key, place, template`` and the arrays ``_t`` and ``_w``: every window of ``size`` words.
 
-    A shorter text is one window; a text without words has none. ``words`` is the same window of the
-    text itself, NULL where the template has no placeholder.
+    A shorter text is one window, that of a text without words is empty. The arrays hold the whole text's
+    template words and words. They belong to the row only inside one stage of generated code, which
+    passes them on without a copy: use ``with_words`` before the rows leave it.
     """
-    split = texts.select(F.col(key), _spaced(F.col(text)).alias("s")).filter("s <> ''").select(
-        key, F.split(_template(F.col("s")), " ", -1).alias("t"), F.split("s", " ", -1).alias("w"))
-
-    def window(i: Column) -> Column:
-        return F.array_join(F.slice(F.col("t"), i, size), " ")
+    split = texts.select(F.col(key), _spaced(F.col(text)).alias("s")).select(
+        key, F.split(_template(F.col("s")), " ", -1).alias("_t"), F.split("s", " ", -1).alias("_w"))
+    last = F.greatest(F.size("_t") - (size - 1), F.lit(1))
+    placed = split.select("*", F.explode(F.sequence(F.lit(1), last)).alias("place"))
+    return placed.withColumn("template", _joined("_t", F.col("place"), size))
 
-    def with_words(template: Column, i: Column) -> Column:
-        words = F.array_join(F.slice(F.col("w"), i + 1, size), " ")
-        return F.struct(template.alias("template"),
-                        F.when(F.contains(template, F.lit("<")), words).alias("words"))
 
-    places = F.sequence(F.lit(1), F.greatest(F.size("t") - (size - 1), F.lit(1)))
-    cut = F.transform(F.transform(places, window), with_words)
-    return (split.select(key, F.posexplode(cut).alias("place", "x"))
-            .select(key, "place", "x.template", "x.words"))
+def with_words(placed: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``words``, the window of the text itself, instead of the arrays; NULL without a placeholder."""
+    words = _joined("_w", F.col("place"), size)
+    return placed.withColumn("words", F.when(F.contains(F.col("template"), F.lit("<")), words)).drop(
+        "_t", "_w")
 
 
 def literals(template: Column) -> Column:
@@ -100,16 +103,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     never found; repeated rows of a document or an item count once; NULL ids are ids; empty tables
     give no rows. Columns besides doc_id, item_id and text are not read.
     """
-    asked = windows(benchmark.select("item_id", "text"), "item_id", "text", size)
+    asked = with_words(windows(benchmark.select("item_id", "text"), "item_id", "text", size), size)
     asked = (asked.filter(literals(F.col("template")) >= min_literals).distinct()
              .select("item_id", F.col("place").alias("item_place"), "template",
                      F.col("words").alias("item_words")))
     totals = asked.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows"))
     here = windows(docs.select("doc_id", "text"), "doc_id", "text", size)
     # Beyond the bound the same join shuffles both sides by template.
-    small = asked.count() <= BROADCAST_WINDOWS
+    if asked.count() <= BROADCAST_WINDOWS:
+        met = with_words(here.join(F.broadcast(asked), "template"), size)
+    else:
+        met = with_words(here, size).join(asked, "template")
     folder = session.scratch(docs.sparkSession, "template-hits")
-    here.join(F.broadcast(asked) if small else asked, "template").select(
+    met.select(
         "doc_id", "item_id", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
         "template", "words", "item_words").write.parquet(folder)
     hits = docs.sparkSession.read.parquet(folder)
