@@ -17,6 +17,7 @@ WINDOW = 8
 MIN_LITERALS = 4
 MIN_SHARE = 0.3
 BROADCAST_WINDOWS = 1 << 18
+BROADCAST_DOCS = 1 << 16
 
 # Units of measure and money that may follow a number.
 UNITS = ("mm cm dm m km in ft yd mi mg g kg t lb oz ml cl dl l s sec min h hr ms us ns "
@@ -60,30 +61,52 @@ def values(window: Column) -> Column:
     return F.split(F.regexp_replace(F.lower(window), r"[^\p{L}\p{N} ]+", ""), " ", -1)
 
 
-def _joined(words: str, place: Column, size: int) -> Column:
-    """The words of an array from a place on, those beyond its end left out."""
-    return F.concat_ws(" ", *[F.get(F.col(words), place + (k - 1)) for k in range(size)])
+def spelled(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, a hash of the text, its template words ``t`` and its words ``w``, place by place."""
+    spaced = texts.select(F.col(key), F.xxhash64(text).alias("content"), _spaced(F.col(text)).alias("s"))
+    return spaced.select(key, "content", F.split(_template(F.col("s")), " ", -1).alias("t"),
+                         F.split("s", " ", -1).alias("w"))
 
 
-def windows(texts: DataFrame, key: str, text: str, size: int = WINDOW) -> DataFrame:
-    """``key, place, template`` and the arrays ``_t`` and ``_w``: every window of ``size`` words.
+def _windows(size: int) -> Column:
+    """How many windows the words ``t`` have; a shorter text is one window."""
+    return F.greatest(F.size("t") - (size - 1), F.lit(1))
 
-    A shorter text is one window, that of a text without words is empty. The arrays hold the whole text's
-    template words and words. They belong to the row only inside one stage of generated code, which
-    passes them on without a copy: use ``with_words`` before the rows leave it.
+
+def _with_neighbour(hashes: Column, others: Column, distance: int) -> Column:
+    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(others, i + distance)))
+
+
+def window_hashes(words: DataFrame, keys: list[str], size: int = WINDOW) -> DataFrame:
+    """``keys, place, hash``: a 64-bit hash of every window of ``size`` template words.
+
+    Hashes of windows twice as long come from those of two neighbours, so a window costs a few steps
+    whatever its size. Each doubling is a column of its own, computed once.
     """
-    split = texts.select(F.col(key), _spaced(F.col(text)).alias("s")).select(
-        key, F.split(_template(F.col("s")), " ", -1).alias("_t"), F.split("s", " ", -1).alias("_w"))
-    last = F.greatest(F.size("_t") - (size - 1), F.lit(1))
-    placed = split.select("*", F.explode(F.sequence(F.lit(1), last)).alias("place"))
-    return placed.withColumn("template", _joined("_t", F.col("place"), size))
+    level = words.select(*keys, _windows(size).alias("n"),
+                         F.transform("t", lambda t: F.xxhash64(t)).alias("p0"))
+    bits = range(size.bit_length())
+    for k in bits[1:]:
+        half = F.col(f"p{k - 1}")
+        level = level.withColumn(f"p{k}", _with_neighbour(half, half, 1 << (k - 1)))
+    first, *rest = sorted((k for k in bits if size >> k & 1), reverse=True)
+    whole, at = F.col(f"p{first}"), 1 << first
+    for k in rest:
+        whole = _with_neighbour(whole, F.col(f"p{k}"), at)
+        at += 1 << k
+    return level.select(*keys, F.posexplode(F.slice(whole, F.lit(1), F.col("n"))).alias(
+        "place", "hash")).withColumn("place", F.col("place") + 1)
 
 
-def with_words(placed: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``words``, the window of the text itself, instead of the arrays; NULL without a placeholder."""
-    words = _joined("_w", F.col("place"), size)
-    return placed.withColumn("words", F.when(F.contains(F.col("template"), F.lit("<")), words)).drop(
-        "_t", "_w")
+def windows_at(words: DataFrame, keys: list[str], places: Column, size: int = WINDOW) -> DataFrame:
+    """``keys, place, template, words`` of the windows at the given places."""
+    def window(p: Column) -> Column:
+        return F.struct(p.cast("int").alias("place"),
+                        F.array_join(F.slice("t", p, size), " ").alias("template"),
+                        F.array_join(F.slice("w", p, size), " ").alias("words"))
+
+    return words.select(*keys, F.explode(F.transform(places, window)).alias("x")).select(
+        *keys, "x.*")
 
 
 def literals(template: Column) -> Column:
@@ -103,30 +126,31 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     never found; repeated rows of a document or an item count once; NULL ids are ids; empty tables
     give no rows. Columns besides doc_id, item_id and text are not read.
     """
-    asked = with_words(windows(benchmark.select("item_id", "text"), "item_id", "text", size), size)
-    asked = (asked.filter(literals(F.col("template")) >= min_literals).distinct()
+    items = spelled(benchmark.select("item_id", "text"), "item_id", "text")
+    at = ["item_id", "content"]
+    asked = windows_at(items, at, F.sequence(F.lit(1), _windows(size)), size).join(
+        window_hashes(items, at, size).withColumnRenamed("item_id", "same_id"),
+        ["content", "place"])
+    asked = (asked.filter(F.col("item_id").eqNullSafe(F.col("same_id"))
+                          & (literals(F.col("template")) >= min_literals))
              .select("item_id", F.col("place").alias("item_place"), "template",
-                     F.col("words").alias("item_words")))
+                     F.col("words").alias("item_words"), "hash").distinct())
     totals = asked.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows"))
-    here = windows(docs.select("doc_id", "text"), "doc_id", "text", size)
-    # Beyond the bound the same join shuffles both sides by template.
-    if asked.count() <= BROADCAST_WINDOWS:
-        met = with_words(here.join(F.broadcast(asked), "template"), size)
-    else:
-        met = with_words(here, size).join(asked, "template")
+    # Beyond the bound the same join shuffles both sides by hash.
+    small = asked.count() <= BROADCAST_WINDOWS
+    here = spelled(docs.select("doc_id", "text"), "doc_id", "text")
     folder = session.scratch(docs.sparkSession, "template-hits")
-    met.select(
-        "doc_id", "item_id", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
-        "template", "words", "item_words").write.parquet(folder)
+    (window_hashes(here, ["doc_id", "content"], size)
+     .join(F.broadcast(asked) if small else asked, "hash")
+     .withColumn("shift", F.col("place") - F.col("item_place")).write.parquet(folder))
     hits = docs.sparkSession.read.parquet(folder)
-
     aligned = ["doc_id", "item_id", "shift"]
     words = F.filter(
         F.arrays_zip(F.split("template", " ", -1).alias("t"), values(F.col("item_words")).alias("a"),
                      values(F.col("words")).alias("b")),
         lambda w: F.startswith(w["t"], F.lit("<")))
     # Per alignment: which places matched, and each value of the item with the text's values for it.
-    slots = (hits.filter("words IS NOT NULL").select(*aligned, F.explode(words).alias("w"))
+    slots = (_with_words(docs, hits.filter(F.contains(F.col("template"), F.lit("<"))), size).select(*aligned, F.explode(words).alias("w"))
              .groupBy(*aligned, "w.t", "w.a")
              .agg(F.min("w.b").alias("low"), F.max("w.b").alias("high"))
              .groupBy(*aligned)
@@ -151,6 +175,31 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
                     "n_values", "n_changed"))
 
 
+def _with_words(docs: DataFrame, hits: DataFrame, size: int) -> DataFrame:
+    """Hits of windows with placeholders, with the ``words`` the documents have there."""
+    found = hits.groupBy(F.col("doc_id").alias("at_id"), F.col("content").alias("at_content")).agg(
+        F.collect_set("place").alias("places"))
+    folder = session.scratch(docs.sparkSession, "template-places")
+    found.write.parquet(folder)
+    found = docs.sparkSession.read.parquet(folder)
+    if found.count() <= BROADCAST_DOCS:
+        found = F.broadcast(found)
+    texts = docs.select("doc_id", "text").join(
+        found, F.col("doc_id").eqNullSafe(F.col("at_id"))
+        & (F.xxhash64("text") == F.col("at_content"))).select("doc_id", "text", "places")
+    places = texts.select("doc_id", "places", F.xxhash64("text").alias("content"),
+                          _spaced(F.col("text")).alias("s")).select(
+        F.col("doc_id").alias("at_id"), F.col("content").alias("at_content"), "places",
+        F.split(_template(F.col("s")), " ", -1).alias("t"), F.split("s", " ", -1).alias("w"))
+    words = windows_at(places, ["at_id", "at_content"], F.col("places"), size).select(
+        "at_id", "at_content", F.col("place").alias("at_place"),
+        F.col("template").alias("at_template"), "words").distinct()
+    return hits.join(words, F.col("doc_id").eqNullSafe(F.col("at_id"))
+                     & (F.col("content") == F.col("at_content"))
+                     & (F.col("place") == F.col("at_place"))
+                     & (F.col("template") == F.col("at_template")))
+
+
 def _windows_sql(table: str, key: str, size: int) -> str:
     """The same windows, made word by word instead of by one regex over the text."""
     def full(pattern: str) -> str:
