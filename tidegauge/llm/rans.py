@@ -20,8 +20,8 @@ import numpy as np
 
 MAGIC = b"TGIB"
 VERSION = 1
-LANES = 512
-CHECKPOINT_STEPS = 128
+LANES = 1024
+CHECKPOINT_STEPS = 64
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 # magic, version, lanes, scale, steps between checkpoints, documents, ids, words, first id's place in

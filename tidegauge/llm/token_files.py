@@ -8,8 +8,10 @@ decoded one by one, in any order, on any machine. Steps pass on tables in the sh
 from __future__ import annotations
 
 import os
+import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,8 +41,8 @@ def _byte_letters() -> list[str]:
 
 def _plain_letters(word: str) -> bool:
     """A run of Latin letters whose normal form is itself: one piece to the tokenizer."""
-    return word.isascii() and word.isalpha() or (
-        word.isalpha() and max(word) < "\u0250" and unicodedata.is_normalized("NFC", word))
+    return (word.isalpha() and max(word) < "\u0250"
+            and unicodedata.is_normalized("NFC", word))
 
 
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
@@ -57,34 +59,54 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    kind = id_type(tokenizer.get_vocab_size())
+    kind = "H" if id_type(tokenizer.get_vocab_size()) == "<u2" else "I"
     letters = _byte_letters()
+    merges = tokenizer.model.tokenize
     known: dict[bytes, bytes] = {}
-
-    def merged(piece: str) -> list[int]:
-        return [t.id for t in tokenizer.model.tokenize(
-            "".join([letters[b] for b in piece.encode("utf-8")]))]
-
-    def ids_of(word: str) -> list[int]:
-        stem, mark = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
-        if stem and _plain_letters(stem):
-            lower = "".join([c.lower() for c in stem])  # each by itself, as the tokenizer does
+    stems: dict[bytes, bytes] = {}
+
+    def packed(ids: list[int]) -> bytes:
+        out = array(kind, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def merged(piece: bytes) -> bytes:
+        ids = stems.get(piece)
+        if ids is None:
+            shown = piece.decode() if piece.isalpha() else "".join([letters[b] for b in piece])
+            ids = stems[piece] = packed([t.id for t in merges(shown)])
+        return ids
+
+    def ids_of(word: bytes) -> bytes:
+        stem, mark = (word[:-1], word[-1:]) if word[-1] in b".,;:!?" else (word, b"")
+        if stem.isalpha():  # ASCII letters only
+            return merged(stem.lower()) + (merged(mark) if mark else b"")
+        text = stem.decode("utf-8", "surrogatepass")
+        if stem and _plain_letters(text):
+            lower = "".join([c.lower() for c in text])  # each by itself, as the tokenizer does
             if lower.isalpha():
-                return merged(lower) + (merged(mark) if mark else [])
-        return tokenizer.encode(word, add_special_tokens=False).ids
+                return merged(lower.encode()) + (merged(mark) if mark else b"")
+        return packed(tokenizer.encode(word.decode("utf-8", "surrogatepass"),
+                                       add_special_tokens=False).ids)
 
     def encode(texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            words = (text or "").encode("utf-8", "surrogatepass").split()
+            data = (text or "").encode("utf-8", "surrogatepass")
+            # Lower case is the tokenizer's own; marks that combine (their bytes start with CC or CD)
+            # could make another letter of a capital, and special tokens are matched as written.
+            if b"\xcc" not in data and b"\xcd" not in data and b"<|" not in data:
+                data = data.lower()
+            words = data.split()
             found = list(map(known.get, words))
             if None in found:
                 if len(known) > KNOWN_WORDS:
                     known.clear()
+                    stems.clear()
                 for w in words:
                     if w not in known:
-                        known[w] = np.array(ids_of(w.decode("utf-8", "surrogatepass")),
-                                            kind).tobytes()
+                        known[w] = ids_of(w)
                 found = list(map(known.__getitem__, words))
             out.append(b"".join(found))
         return out
