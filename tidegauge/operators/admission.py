@@ -82,12 +82,11 @@ def rate_limit(df: DataFrame, capacity: int, node: str = "node", ms: str = "t_ms
         .withColumn("_missing", F.col("_base") + F.col("_level") - F.col("_period"))
     )
     dry = F.col("_missing") + F.col("_cost") > F.lit(capacity * 1000 - 1)
-    # Rows of a period meet in one place for the replay anyway; the same shuffle tells which
-    # periods need one, and serves both branches below.
-    period = Window.partitionBy(node, "_period")
-    marked = (levels.select(*columns, "_period", dry.alias("_dry"))
-              .withColumn("_doubt", F.max("_dry").over(period)))
-    sure = marked.filter(~F.col("_doubt")).select(*columns, F.lit(True).alias("accepted"))
+    # Only the rows of periods in doubt meet in one place; the others stay where they are.
+    marked = checkpointed(levels.select(*columns, "_period", dry.alias("_dry")))
+    doubt = marked.filter("_dry").select(node, "_period").distinct()
+    sure = marked.join(doubt, [node, "_period"], "left_anti").select(
+        *columns, F.lit(True).alias("accepted"))
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         period, bucket = None, None
@@ -99,7 +98,8 @@ def rate_limit(df: DataFrame, capacity: int, node: str = "node", ms: str = "t_ms
                 flags.append(bucket.accept(int(now), int(cost)))
             yield pdf[columns].assign(accepted=flags)
 
-    in_order = (marked.filter("_doubt").select(*columns, F.col("_period").cast("string"))
+    in_order = (marked.join(doubt, [node, "_period"], "left_semi")
+                .select(*columns, F.col("_period").cast("string")).repartition(node, "_period")
                 .sortWithinPartitions(node, "_period", ms, seq))
     replayed = in_order.mapInPandas(replay, df.withColumn("accepted", F.lit(True)).schema)
     return sure.unionByName(replayed).unionByName(free).unionByName(over)
@@ -177,10 +177,10 @@ def admit_streams(events: DataFrame, max_streams: int = S.MAX_STREAMS,
         return counted.select(*columns, F.lit(True).alias("accepted")).unionByName(nameless)
     empty = F.when(F.col("running") - F.col("delta") == 0, F.col("seq"))
     stretches = running_max(checkpointed(counted), ["node"], segment, "seq", empty, "_stretch")
-    together = Window.partitionBy("node", "_stretch")
-    marked = stretches.select(*columns, "_stretch", "running").withColumn(
-        "_full", F.max("running").over(together) > max_streams)
-    sure = marked.filter(~F.col("_full")).select(*columns, F.lit(True).alias("accepted"))
+    marked = checkpointed(stretches.select(*columns, "_stretch", "running"))
+    full = (marked.filter(F.col("running") > max_streams).select("node", "_stretch").distinct())
+    sure = marked.join(full, ["node", "_stretch"], "left_anti").select(
+        *columns, F.lit(True).alias("accepted"))
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stretch, open_streams = None, set()
@@ -200,8 +200,8 @@ def admit_streams(events: DataFrame, max_streams: int = S.MAX_STREAMS,
                     flags.append(False)
             yield pdf[columns].assign(accepted=flags)
 
-    in_order = (marked.filter("_full").select(*columns, "_stretch")
-                .sortWithinPartitions("node", "_stretch", "seq"))
+    in_order = (marked.join(full, ["node", "_stretch"], "left_semi").select(*columns, "_stretch")
+                .repartition("node", "_stretch").sortWithinPartitions("node", "_stretch", "seq"))
     replayed = in_order.mapInPandas(replay, sure.schema)
     return sure.unionByName(replayed).unionByName(nameless)
 

@@ -183,8 +183,11 @@ def resolve_next_hop(routes: DataFrame, targets: DataFrame | None = None) -> Dat
               .select("owner", F.col("node.id").alias("_via"), F.col("node.id").alias("_relay")))
     usable = F.col("state").isNotNull() & (F.col("state") != "bad")
     direct = usable & F.col("kcp_connected")
-    joined = known.withColumn("_via", F.when(usable & ~F.col("kcp_connected"), F.col("_via")))
-    joined = joined.join(relays, ["owner", "_via"], "left")
+    # Only targets that a relay could reach go and look for it: the others have no key to meet by.
+    wanting = F.coalesce(usable & ~F.col("kcp_connected") & F.col("_via").isNotNull(), F.lit(False))
+    none = F.lit(None).cast("string").alias("_relay")
+    joined = known.filter(wanting).join(relays, ["owner", "_via"], "left").unionByName(
+        known.filter(~wanting).select("*", none))
     via = F.col("_relay").isNotNull()
     return joined.select(
         "owner", "target_id",

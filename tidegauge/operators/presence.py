@@ -234,7 +234,7 @@ def dedupe_fixed(df: DataFrame, key: str, ms: str, seq: str,
     group = F.struct(F.col(key), F.col("_from"))
     # Read three times below, and small next to the input: written out once.
     points = checkpointed(
-        _rows_of(named, long, key, ms)
+        _rows_of(named, long, key, ms, ttl_ms)
         .groupBy(group.alias("_id"), F.col(ms).alias("_t"))
         .agg(F.min_by(F.struct(*df.columns), F.col(seq)).alias("_row"))
         .withColumn("_group", F.to_json("_id"))
@@ -254,11 +254,19 @@ def dedupe_fixed(df: DataFrame, key: str, ms: str, seq: str,
     return short.unionByName(medium).unionByName(accepted).unionByName(anonymous)
 
 
-def _rows_of(rows: DataFrame, sessions: DataFrame, key: str, ms: str) -> DataFrame:
-    """Rows that fall into the given sessions, with the session's start."""
-    spans = sessions.select(F.col(key).alias("_key"), "_from", "_to")
-    inside = (F.col(key) == F.col("_key")) & F.col(ms).between(F.col("_from"), F.col("_to"))
-    return rows.join(spans, inside)
+def _rows_of(rows: DataFrame, sessions: DataFrame, key: str, ms: str, ttl_ms: int) -> DataFrame:
+    """Rows that fall into the given sessions, with the session's start.
+
+    They meet by key and time cut: a session is named for every cut it reaches into, and a row looks
+    at the sessions of its own cut only, of which there are at most CUT_TTLS and one.
+    """
+    length = ttl_ms * CUT_TTLS
+    spans = sessions.select(F.col(key).alias("_key"), "_from", "_to", F.explode(F.expr(
+        f"sequence(_from DIV {length}, _to DIV {length})")).alias("_span_cut"))
+    cut = rows.withColumn("_cut", F.expr(f"{ms} DIV {length}"))
+    inside = ((F.col(key) == F.col("_key")) & (F.col("_cut") == F.col("_span_cut"))
+              & F.col(ms).between(F.col("_from"), F.col("_to")))
+    return cut.join(spans, inside).drop("_cut", "_span_cut")
 
 
 def _fold_sessions(rows: DataFrame, sessions: DataFrame, key: str, ms: str, seq: str,
@@ -267,7 +275,7 @@ def _fold_sessions(rows: DataFrame, sessions: DataFrame, key: str, ms: str, seq:
     columns = rows.columns
     ordered = F.sort_array(F.collect_list(F.struct(
         F.col(ms).alias("_t"), F.col(seq).alias("_s"), F.struct(*columns).alias("_row"))))
-    grouped = _rows_of(rows, sessions, key, ms).groupBy(key, "_from").agg(ordered.alias("_all"))
+    grouped = _rows_of(rows, sessions, key, ms, ttl_ms).groupBy(key, "_from").agg(ordered.alias("_all"))
     start = F.slice("_all", 1, 1)
     kept = F.aggregate("_all", start, lambda out, row: F.when(
         row["_t"] >= F.element_at(out, -1)["_t"] + ttl_ms, F.array_append(out, row)).otherwise(out))

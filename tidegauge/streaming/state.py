@@ -107,14 +107,17 @@ class PresenceChanges(_Keyed):
     def handleInputRows(self, key, rows, timerValues):
         pdf = _in_order(rows, [self.ms, self.seq])
         seen = self.state.get()[0] if self.state.exists() else None
+        changes = []
         for now in pdf[self.ms]:
             if seen is None or (self.ttl > 0 and now - seen >= self.ttl):
                 if seen is not None:
-                    yield self._row(key, seen + self.ttl, "offline")
-                yield self._row(key, int(now), "online")
+                    changes.append((key[0], seen + self.ttl, "offline"))
+                changes.append((key[0], int(now), "online"))
             seen = int(now)
         self.state.update((seen,))
         self._arm(seen + self.ttl)
+        if changes:
+            yield pd.DataFrame(changes, columns=[self.key, "at_ms", "status"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if self.state.exists():
