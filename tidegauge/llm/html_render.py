@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 # Element names by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = set("head script style template noscript iframe object audio video canvas svg math "
+HIDDEN = set("head title script style template noscript iframe object audio video canvas svg math "
              "datalist select noembed noframes textarea".split())
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset "
             "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu "

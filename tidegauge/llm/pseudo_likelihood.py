@@ -33,7 +33,7 @@ CHUNK = 4096
 RATE = 0.1
 
 _WHITE = r"[\x20\x09-\x0D]+"
-_KNOWN_WORDS = 1 << 19
+_KNOWN_WORDS = 1 << 18
 
 
 def words(text: str | None) -> list[bytes]:

@@ -27,7 +27,7 @@ SMOOTHING = 1.0
 PENALTY = 1.0
 EPOCHS = 10
 
-_KNOWN_WORDS = 1 << 20
+_KNOWN_WORDS = 1 << 18
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _LETTERS, _DIGITS, _MARKS = (re.compile(r"[^\W\d_]+"), re.compile(r"\d+"),
                              re.compile(r"([^\w])\1+"))
