@@ -7,14 +7,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidegauge.plans.segments import SEGMENT
 
 
-def device_stats(messages: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Messages, bytes and time range per device and time window."""
-    timed = messages.withColumn("_at", F.timestamp_millis("timestamp_ms"))
-    grouped = timed.groupBy("mac_addr", F.window("_at", width)).agg(
+def device_stats(messages: DataFrame, width_ms: int = 3_600_000) -> DataFrame:
+    """Messages, bytes and time range per device and window of ``width_ms``, also of late instants."""
+    start = F.col("timestamp_ms") - F.pmod("timestamp_ms", F.lit(width_ms))
+    return messages.groupBy("mac_addr", start.alias("window_ms")).agg(
         F.count("*").alias("messages"), F.sum(F.octet_length("payload")).alias("bytes"),
         F.min("timestamp_ms").alias("first_ms"), F.max("timestamp_ms").alias("last_ms"))
-    return grouped.select("mac_addr", F.unix_millis("window.start").alias("window_ms"),
-                          "messages", "bytes", "first_ms", "last_ms")
 
 
 def device_profile(messages: DataFrame) -> DataFrame:
