@@ -4,8 +4,10 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from tidegauge.queries import catalog
 
-QUERIES = entry.queries()
+# The corpus queries have tests of their own, beside their operators.
+QUERIES = dict(catalog.QUERIES)
 SQL = entry.oracle_sql()
 
 
@@ -21,6 +23,10 @@ def test_query_agrees_with_sql(spark, sf_dir, con, name):
     assert compare.differences(df, con, SQL[name]) == []
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.queries())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
