@@ -100,6 +100,17 @@ def test_scores_are_sums_of_conditionals_and_training_helps(spark, sf_dir):
             z[tokens[1][i]] - np.log(np.exp(z).sum()), rel=1e-4)
 
 
+def test_every_word_of_every_text_is_learned_from(spark):
+    """A token's offset rises where it is a target and falls where it is not."""
+    texts = [bytes(range(at, at + n)) for at, n in ((0, 1), (1, 7), (8, 8), (16, 40))]
+    for some in (texts, texts[:2]):
+        frame = spark.createDataFrame([(t,) for t in some], "tokens binary").coalesce(1)
+        for rounds in (1, P.ROUNDS):
+            offsets = P.train(frame, rounds).output_offset
+            held = list(b"".join(some))
+            assert (offsets[held] > 0).all() and (np.delete(offsets, held) < 0).all()
+
+
 def counters():
     return {"v1": lambda: (lambda text: len(text.split())), "v2": lambda: len}
 

@@ -3,7 +3,7 @@
 Words become 256 tokens: the most frequent words of the whole corpus, the rest in hashed groups. The
 network adds an embedding per token and place of the two words before and the two after, squashes
 the sum and predicts the hidden token by a softmax. Training goes in rounds: every task improves the
-shared weights on words from all of its texts by gradient steps in numpy, and the tasks' weights are
+shared weights on every word of its texts by gradient steps in numpy, and the tasks' weights are
 averaged by their numbers of words. A text's score is the sum of its words' log-probabilities.
 """
 
@@ -27,9 +27,9 @@ PLACES = (-2, -1, 1, 2)
 REACH = max(PLACES)
 HIDDEN = 16
 ROUNDS = 3
-TRAIN_EVERY = 16  # words of each text per word that a round learns from
+TRAIN_EVERY = 1  # words of each text per word that a round learns from
 BATCH = 512
-CHUNK = 4096
+CHUNK = 512
 RATE = 0.1
 
 _WHITE = r"[\x20\x09-\x0D]+"
@@ -109,9 +109,13 @@ class Network:
     def log_probabilities(self, stream: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Of the tokens at these places of a stream with REACH edges around each text."""
         out = np.empty(len(places), np.float64)
+        # One buffer for all chunks: large arrays made anew cost more than what is done with them.
+        buffer = np.empty((min(CHUNK, len(places)), TOKENS), np.float32)
+        turned = np.ascontiguousarray(self.output.T)
         for at in range(0, len(places), CHUNK):
             some = places[at:at + CHUNK]
-            logits = self.hidden(stream, some) @ self.output.T + self.output_offset
+            logits = np.matmul(self.hidden(stream, some), turned, out=buffer[:len(some)])
+            logits += self.output_offset
             logits -= logits.max(axis=1, keepdims=True)
             own = logits[np.arange(len(some)), stream[some]]
             out[at:at + CHUNK] = own - np.log(np.exp(logits, out=logits).sum(axis=1))
@@ -125,26 +129,32 @@ class Learner:
         self.net = replace(network, **{k: v.copy() for k, v in vars(network).items()})
         self.past = {k: np.full_like(v, 1e-6) for k, v in vars(network).items()}
         self.rate = rate
+        self._buffer = np.empty((BATCH, TOKENS), np.float32)
 
     def step(self, stream: np.ndarray, places: np.ndarray) -> None:
         n, net = len(places), self.net
+        if n > len(self._buffer):
+            self._buffer = np.empty((n, TOKENS), np.float32)
         h = net.hidden(stream, places)
-        p = h @ net.output.T + net.output_offset
+        p = np.matmul(h, net.output.T, out=self._buffer[:n])
+        p += net.output_offset
         p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), stream[places]] -= 1
-        p /= n
+        p /= p.sum(axis=1, keepdims=True) * n
+        p[np.arange(n), stream[places]] -= np.float32(1 / n)
         back = (p @ net.output) * (1 - h * h)
         self._move("output", p.T @ h)
         self._move("output_offset", p.sum(axis=0))
         self._move("hidden_offset", back.sum(axis=0))
-        embed = np.zeros_like(net.embed)
-        for k, o in enumerate(PLACES):
-            seen = np.zeros((TOKENS, n), np.float32)
-            seen[stream[places + o], np.arange(n)] = 1
-            embed[k] = seen @ back
-        self._move("embed", embed)
+        # Rows of the same place and token are summed next to each other.
+        rows = np.concatenate([stream[places + o] + np.uint16(k * TOKENS)
+                               for k, o in enumerate(PLACES)])
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        embed = np.zeros((len(PLACES) * TOKENS, HIDDEN), np.float32)
+        embed[rows[first]] = np.add.reduceat(back[order % n], first)
+        self._move("embed", embed.reshape(net.embed.shape))
 
     def _move(self, name: str, gradient: np.ndarray) -> None:
         past, weights = self.past[name], getattr(self.net, name)
@@ -179,8 +189,9 @@ def batches_of(batch: pd.Series) -> Iterator[list[bytes]]:
 def train(tokens: DataFrame, rounds: int = ROUNDS, every: int = TRAIN_EVERY) -> Network:
     """Rounds of local steps and averages over all of ``tokens (tokens binary)``.
 
-    Each round learns from the words whose place, counted from a start that the round and the text's
-    length give, divides by ``every``: all texts take part, in proportion to their words.
+    With ``every`` at 1 each round learns from every word of every text. A larger one leaves words
+    out: a round then learns from those whose place, counted from a start that the round and the
+    text's length give, divides by it, and texts of fewer words may miss rounds.
     """
     network = Network.start()
     spark = tokens.sparkSession
