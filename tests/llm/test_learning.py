@@ -1,7 +1,10 @@
 """The classifier, the window network and the rollups."""
 
 import random
+import zlib
+from collections import Counter
 
+import corpus
 import numpy as np
 import public_tokenizers
 import pytest
@@ -111,6 +114,46 @@ def test_every_word_of_every_text_is_learned_from(spark):
             assert (offsets[held] > 0).all() and (np.delete(offsets, held) < 0).all()
 
 
+@pytest.mark.parametrize("stored", [P.STORE_WORDS, 300, 0])
+def test_words_of_a_group_cost_as_their_counts_say(spark, sf_dir, monkeypatch, stored):
+    """The query adds, for each word of a hashed group, its share of the group's occurrences."""
+    monkeypatch.setattr(P, "STORE_WORDS", stored)
+    monkeypatch.setattr(P, "train", lambda *_: P.Network.start(3))
+    extra = corpus.documents(spark).select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").limit(60).unionByName(extra)
+    docs = spark.createDataFrame(docs.collect(), "doc_id long, text string")
+    monkeypatch.setattr(queries, "read", lambda *_: docs)
+    rows = queries.QUERIES["op5_pseudo_likelihood"](spark, sf_dir).collect()
+    texts = [r.text for r in docs.collect()]
+    counts = Counter(w for t in texts for w in P.words(t))
+    known = set(sorted(counts, key=lambda w: (-counts[w], w))[:P.VOCABULARY])
+    totals = Counter()
+    for w, n in counts.items():
+        totals[w if w in known else zlib.crc32(w) % P.GROUPS] += n
+
+    def shares(text):
+        return sum(np.log(counts[w] / totals[w if w in known else zlib.crc32(w) % P.GROUPS])
+                   for w in P.words(text))
+
+    def key(r):
+        return (-1 if r.doc_id is None else r.doc_id, r.n_words)
+
+    tokens = sorted(P.scored(docs).collect(), key=key)
+    inside = sorted(zip(docs.collect(), texts), key=lambda x: (
+        -1 if x[0].doc_id is None else x[0].doc_id, len(P.words(x[1]))))
+    assert len(rows) == len(tokens) == len(texts)
+    for got, by_token, (_, text) in zip(sorted(rows, key=key), tokens, inside):
+        assert key(got) == key(by_token)
+        assert got.log_likelihood - by_token.log_likelihood == pytest.approx(
+            shares(text), rel=1e-6, abs=1e-6)
+        assert got.mean_log_probability == (
+            pytest.approx(got.log_likelihood / got.n_words) if got.n_words else None)
+
+
+def test_words_of_an_empty_table(spark):
+    assert P.word_scored(corpus.documents(spark, [])).collect() == []
+
+
 def counters():
     return {"v1": lambda: (lambda text: len(text.split())), "v2": lambda: len}
 

@@ -4,18 +4,24 @@ Words become 256 tokens: the most frequent words of the whole corpus, the rest i
 network adds an embedding per token and place of the two words before and the two after, squashes
 the sum and predicts the hidden token by a softmax. Training goes in rounds: every task improves the
 shared weights on every word of its texts by gradient steps in numpy, and the tasks' weights are
-averaged by their numbers of words. A text's score is the sum of its words' log-probabilities.
+averaged by their numbers of words.
+
+A word's probability is that of its token by the network times its share of the token's occurrences,
+from the counts of all words of the corpus: a frequent word is its token, one of a hashed group has
+its own count over the group's. The shares of the ``STORE_WORDS`` most frequent words go to every
+task, those of the others are joined. A text's score is the sum of its words' log-probabilities.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge import session
 
@@ -34,6 +40,7 @@ RATE = 0.1
 
 _WHITE = r"[\x20\x09-\x0D]+"
 _KNOWN_WORDS = 1 << 18
+STORE_WORDS = 1 << 16
 
 
 def words(text: str | None) -> list[bytes]:
@@ -41,12 +48,40 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The most frequent words of all texts; ties go by the word."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word, n`` of every word of all texts."""
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    counts = (docs.select(F.explode(F.split(lowered, _WHITE)).alias("word")).filter("word <> ''")
-              .groupBy("word").count())
-    return [r.word for r in counts.orderBy(F.desc("count"), "word").limit(size).collect()]
+    return (docs.select(F.explode(F.split(lowered, _WHITE)).alias("word")).filter("word <> ''")
+            .groupBy("word").agg(F.count("*").alias("n")))
+
+
+def most_frequent(counts: DataFrame, size: int = VOCABULARY) -> list[str]:
+    """The most frequent words; ties go by the word."""
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+
+
+def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
+    return most_frequent(word_counts(docs), size)
+
+
+def log_shares(counts: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``word, n, log_share``: of the words beyond the vocabulary, in their hashed groups."""
+    group = F.crc32(F.col("word").cast("binary")) % GROUPS
+    others = counts.filter(~F.col("word").isin(vocabulary)) if vocabulary else counts
+    totals = {r.g: r.n for r in others.groupBy(group.alias("g")).agg(F.sum("n").alias("n")).collect()}
+    of_groups = F.array(*[F.lit(math.log(totals.get(g, 1))) for g in range(GROUPS)])
+    return others.select("word", "n", (F.log("n") - F.get(of_groups, group.cast("int"))).alias("log_share"))
+
+
+def least_stored(counts: DataFrame, size: int) -> int:
+    """The count from which on words are at most ``size``."""
+    least, held = 1 << 62, 0
+    for n, words_of in sorted(counts.groupBy("n").agg(F.count("*")).collect(), reverse=True):
+        held += words_of
+        if held > size:
+            break
+        least = n
+    return least
 
 
 class Tokenizer:
@@ -224,23 +259,77 @@ def train(tokens: DataFrame, rounds: int = ROUNDS, every: int = TRAIN_EVERY) ->
 
 
 def scored(docs: DataFrame, rounds: int = ROUNDS, every: int = TRAIN_EVERY) -> DataFrame:
+    """``doc_id, n_words, log_likelihood, mean_log_probability`` of each row's tokens.
+
+    This is the network's part alone: all words of a hashed group count as the group. NULLs, repeats
+    and empty tables are as in ``word_scored``.
+    """
+    narrow = _narrow(docs)
+    rows, _ = _scored(narrow, vocabulary(narrow), None, rounds, every)
+    return _named(rows, F.col("total"))
+
+
+def word_scored(docs: DataFrame, rounds: int = ROUNDS, every: int = TRAIN_EVERY) -> DataFrame:
     """``doc_id, n_words, log_likelihood, mean_log_probability`` of each row of ``docs``.
 
     NULL, empty and wordless texts have 0 words, sum 0 and mean NULL. Repeated rows repeat and train
     as often; a NULL id stays NULL; other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    folder = session.scratch(spark, "pseudo-likelihood-counts")
+    narrow = _narrow(docs)
+    word_counts(narrow).write.parquet(folder)
+    counts = spark.read.parquet(folder)
+    known = most_frequent(counts)
+    shares = log_shares(counts, known)
+    least = least_stored(counts, STORE_WORDS)
+    store = {r.word.encode("utf-8", "surrogatepass"): r.log_share
+             for r in shares.filter(F.col("n") >= least).collect()}
+    store |= {w.encode("utf-8", "surrogatepass"): 0.0 for w in known}
+    rows, tokens = _scored(narrow, known, store, rounds, every)
+    rare = (tokens.select("row", F.explode("rare").alias("word"))
+            .join(shares.filter(F.col("n") < least), "word")
+            .groupBy(F.col("row").alias("of_row")).agg(F.sum("log_share").alias("rare_total")))
+    joined = rows.join(rare, F.col("row") == F.col("of_row"), "left")
+    return _named(joined, F.col("total") + F.coalesce("rare_total", F.lit(0.0)))
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _named(rows: DataFrame, total: Column) -> DataFrame:
+    return rows.select("doc_id", "n_words", total.alias("log_likelihood"), F.when(
+        F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_probability"))
+
+
+def _scored(narrow: DataFrame, known: list[str], store: dict[bytes, float] | None, rounds: int,
+            every: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, row, n_words, total`` with the shares in ``store``, and ``row, rare``: the words
+    that it lacks. Without a store there are no shares."""
+    spark = narrow.sparkSession
     folder = session.scratch(spark, "pseudo-likelihood")
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    known = vocabulary(narrow)
+    stored = spark.sparkContext.broadcast(store)
 
     def tokenize(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = Tokenizer(known)
+        tokenizer, share_of = Tokenizer(known), stored.value
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"),
-                                "tokens": [tokenizer(t) for t in frame["text"]]})
-
-    narrow.mapInPandas(tokenize, "doc_id long, tokens binary").write.parquet(folder)
+            inside, rare = [], []
+            for text in frame["text"]:
+                logs = list(map(share_of.get, words(text))) if share_of is not None else []
+                lacking = []
+                if None in logs:
+                    lacking = [w.decode() for w, x in zip(words(text), logs) if x is None]
+                    logs = [x for x in logs if x is not None]
+                inside.append(math.fsum(logs))
+                rare.append(lacking)
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "row": frame["row"],
+                                "tokens": [tokenizer(t) for t in frame["text"]],
+                                "inside": np.array(inside, np.float64), "rare": rare})
+
+    narrow.withColumn("row", F.monotonically_increasing_id()).mapInPandas(
+        tokenize, "doc_id long, row long, tokens binary, inside double, rare array<string>"
+    ).write.parquet(folder)
     tokens = spark.read.parquet(folder)
     shared = spark.sparkContext.broadcast(train(tokens, rounds, every))
 
@@ -254,11 +343,11 @@ def scored(docs: DataFrame, rounds: int = ROUNDS, every: int = TRAIN_EVERY) -> D
                 sums.append(logs[ends] - logs[ends - sizes])
                 lengths.append(sizes)
             if sums:
-                total, n = np.concatenate(sums), np.concatenate(lengths)
                 yield pd.DataFrame({
-                    "doc_id": frame["doc_id"].astype("Int64"), "n_words": n,
-                    "log_likelihood": total, "mean_log_probability": [
-                        s / k if k else None for s, k in zip(total.tolist(), n.tolist())]})
+                    "doc_id": frame["doc_id"].astype("Int64"), "row": frame["row"],
+                    "n_words": np.concatenate(lengths),
+                    "total": np.concatenate(sums) + frame["inside"].to_numpy()})
 
-    return tokens.mapInPandas(score, "doc_id long, n_words long, log_likelihood double, "
-                                     "mean_log_probability double")
+    rows = tokens.select("doc_id", "row", "tokens", "inside").mapInPandas(
+        score, "doc_id long, row long, n_words long, total double")
+    return rows, tokens

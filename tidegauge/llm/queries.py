@@ -87,7 +87,7 @@ def op3_quality_model(spark, sf_dir):
 @register()
 def op5_pseudo_likelihood(spark, sf_dir):
     """Pseudo-likelihood of every document under a network trained on all of them."""
-    return pseudo_likelihood.scored(read(spark, sf_dir, "documents"))
+    return pseudo_likelihood.word_scored(read(spark, sf_dir, "documents"))
 
 
 @register()
