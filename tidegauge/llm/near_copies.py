@@ -1,0 +1,161 @@
+"""Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Pairs to look at come from SimHash fingerprints of the shingles, within the four bits that the pivot
+tables settle, and from bands of minimum hashes: at 0.8 some ten of 64 bits differ, which is no longer
+rare enough to name pairs by, while one of 25 bands of 5 minimum hashes agrees with a chance of
+0.99995. Every pair is verified on the exact sets before it links. In each band all are held against
+its smallest member first; pairs of one band are then made only across the components so found, so
+that a large group of copies is not paired with itself.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from tidegauge import session
+from tidegauge.llm import simhash
+from tidegauge.llm.components import connected_components
+
+SHINGLE_WORDS = 5
+LEAST_SIMILARITY = 0.8
+BANDS = 25
+BAND_ROWS = 5
+SEED = 42
+
+_CHUNK = 1 << 12
+_rng = np.random.default_rng(SEED)
+_FACTORS = _rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_OFFSETS = _rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted hashes of a text's different shingles; a shorter text is one, one without words none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    last = max(len(words) - SHINGLE_WORDS + 1, 1)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i:i + SHINGLE_WORDS]), SEED)
+                               for i in range(last)], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A 64-bit key for each band of minimum hashes; none for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), _CHUNK):
+        mixed = hashes[at:at + _CHUNK, None] * _FACTORS + _OFFSETS
+        np.minimum(least, mixed.min(axis=0), out=least)
+    return [_signed(xxhash.xxh64_intdigest(band.tobytes(), i))
+            for i, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """``doc_id, content, node, fp, bands``; the node is a hash of the set of shingles."""
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingles(t) for t in batch["text"]]
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"].astype("Int64"), "content": batch["content"].astype("Int64"),
+                "node": [_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets],
+                "fp": [_signed(simhash.fingerprint(t, SHINGLE_WORDS)) for t in batch["text"]],
+                "bands": [band_keys(s) for s in sets]})
+
+    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "content")
+    return narrow.mapInPandas(
+        rows, "doc_id long, content long, node long, fp long, bands array<long>")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, shingles`` of the texts named by ``wanted (node, content)``."""
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"],
+                                "shingles": [shingles(t).tobytes() for t in batch["text"]]})
+
+    texts = docs.select("content", F.col("text").cast("string")).join(wanted, "content")
+    return texts.select("node", "text").mapInPandas(rows, "node long, shingles binary").groupBy(
+        "node").agg(F.first("shingles").alias("shingles"))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, content, root`` of each row of ``docs``: rows of one root are near copies.
+
+    ``content`` is xxhash64 of the text. Texts without words are one group; rows without an id are
+    grouped like any other; repeated rows repeat; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    folder = session.scratch(spark, "near-copies")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    docs = docs.withColumn("content", F.xxhash64("text"))
+    rows = written(_sketches(docs), "rows")
+    nodes = written(rows.groupBy("node").agg(
+        F.min("content").alias("content"), F.min("fp").alias("fp"), F.first("bands").alias("bands")),
+        "nodes")
+    keyed = written(nodes.select("node", F.explode("bands").alias("band")), "keyed")
+    hubs = written(keyed.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("most"))
+                   .filter("hub <> most").select("band", "hub"), "hubs")
+
+    # Each node with the smallest of its band and of its fingerprint, and close fingerprints' smallest.
+    by_print = written(nodes.filter(F.size("bands") > 0).groupBy("fp").agg(F.min("node").alias("rep")), "prints")
+    close = simhash.links(by_print.select("fp"))
+    first = (keyed.join(hubs, "band").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+             .unionByName(nodes.join(by_print, "fp").select(F.col("rep").alias("a"), F.col("node").alias("b")))
+             .unionByName(close.join(by_print.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a")
+                          .join(by_print.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+                          .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")))
+             .filter("a <> b").distinct())
+    first = written(first, "first")
+    linked = written(_verified(docs, nodes, first, f"{folder}/first-sets"), "first-links")
+    roots = written(connected_components(linked), "first-roots")
+
+    rooted = (keyed.join(hubs, "band").join(roots, "node", "left")
+              .select("band", "node", "hub", F.coalesce("root", "node").alias("root")))
+    rooted = written(rooted, "rooted")
+    mixed = written(rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+                    .filter("low <> high").select("band"), "mixed")
+    open_ = written(rooted.join(mixed, "band").filter("node <> hub").select("band", "node", "root"), "open")
+    a, b = open_.alias("a"), open_.alias("b")
+    second = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node"))
+                    & (F.col("a.root") != F.col("b.root"))).select(
+        F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    second = written(second, "second")
+    across = written(_verified(docs, nodes, second, f"{folder}/second-sets"), "second-links")
+    roots = written(connected_components(linked.unionByName(across)), "roots")
+    return rows.select("doc_id", "content", "node").join(roots, "node", "left").select(
+        "doc_id", "content", F.coalesce("root", "node").alias("root"))
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
+    """The pairs ``a, b`` whose sets of shingles are similar enough."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    _sets(docs, nodes.join(named, "node").select("node", "content")).write.parquet(folder)
+    sets = docs.sparkSession.read.parquet(folder)
+
+    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            near = [similarity(x, y) >= LEAST_SIMILARITY for x, y in zip(batch["x"], batch["y"])]
+            yield batch.loc[near, ["a", "b"]]
+
+    held = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"))
+    return held.select("a", "b", "x", "y").mapInPandas(similar, "a long, b long")
