@@ -223,6 +223,22 @@ def test_other_values_are_found(spark):
     assert 4 not in got and 5 not in got
 
 
+def test_short_items_are_found_inside_documents(spark):
+    items = {1: "What is the capital of Peru?", 2: "Name the largest planet of all", 3: "Who wrote it?",
+             4: "Which river is the longest there", 5: "How far does light go within one"}
+    texts = {n: f"Some words come before this one here. {t} And a good many others come after it."
+             for n, t in items.items()}
+    texts |= {11: texts[1].replace("Peru", "Chile"), 12: items[2], 13: texts[2].replace("planet", "moon"),
+              14: "Which river is the", 15: items[1] + " " + items[5]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = T.matches(docs, spark.createDataFrame(
+        [*items.items(), (7, ITEM)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [
+        (1, 1), (2, 2), (4, 4), (5, 5), (11, 1), (12, 2), (15, 1), (15, 5)]  # 3 has too few words
+    assert all((r.n_windows, r.n_matched, r.share) == (1, 1, 1.0) for r in found)
+    assert {r.doc_id: r.n_changed for r in found if r.item_id == 1} == {1: 0, 11: 1, 15: 0}
+
+
 def test_planted_items_are_found_and_others_left(spark, sf_dir):
     docs, items = read(spark, sf_dir, "documents").collect(), read(spark, sf_dir, "benchmark").collect()
     whole = {(d.doc_id, i.item_id) for d in docs for i in items if i.text in (d.text or "")}

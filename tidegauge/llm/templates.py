@@ -77,33 +77,50 @@ def _with_neighbour(hashes: Column, others: Column, distance: int) -> Column:
     return F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(others, i + distance)))
 
 
-def window_hashes(words: DataFrame, keys: list[str], size: int = WINDOW) -> DataFrame:
-    """``keys, place, hash``: a 64-bit hash of every window of ``size`` template words.
+def window_hashes(words: DataFrame, keys: list[str], size: int = WINDOW,
+                  shorter: tuple[int, ...] = ()) -> DataFrame:
+    """``keys, size, place, hash``: a 64-bit hash of every window of ``size`` template words.
 
     Hashes of windows twice as long come from those of two neighbours, so a window costs a few steps
-    whatever its size. Each doubling is a column of its own, computed once.
+    whatever its size. Each doubling is a column of its own, computed once; windows of the sizes in
+    ``shorter`` are made of the same columns.
     """
-    level = words.select(*keys, _windows(size).alias("n"),
+    sizes = (size, *shorter)
+    level = words.select(*keys, *[_windows(s).alias(f"n{s}") for s in sizes],
                          F.transform("t", lambda t: F.xxhash64(t)).alias("p0"))
     bits = range(size.bit_length())
     for k in bits[1:]:
         half = F.col(f"p{k - 1}")
         level = level.withColumn(f"p{k}", _with_neighbour(half, half, 1 << (k - 1)))
-    first, *rest = sorted((k for k in bits if size >> k & 1), reverse=True)
-    whole, at = F.col(f"p{first}"), 1 << first
-    for k in rest:
-        whole = _with_neighbour(whole, F.col(f"p{k}"), at)
-        at += 1 << k
-    return level.select(*keys, F.posexplode(F.slice(whole, F.lit(1), F.col("n"))).alias(
-        "place", "hash")).withColumn("place", F.col("place") + 1)
 
+    def hashes(s: int) -> Column:
+        first, *rest = sorted((k for k in bits if s >> k & 1), reverse=True)
+        whole, at = F.col(f"p{first}"), 1 << first
+        for k in rest:
+            whole = _with_neighbour(whole, F.col(f"p{k}"), at)
+            at += 1 << k
+        return F.slice(whole, F.lit(1), F.col(f"n{s}"))
 
-def windows_at(words: DataFrame, keys: list[str], places: Column, size: int = WINDOW) -> DataFrame:
-    """``keys, place, template, words`` of the windows at the given places."""
+    if not shorter:
+        return level.select(*keys, F.lit(size).alias("size"), F.posexplode(hashes(size)).alias(
+            "place", "hash")).withColumn("place", F.col("place") + 1)
+
+    def marked(s: int) -> Column:
+        return F.transform(hashes(s), lambda h, i: F.struct(
+            F.lit(s).alias("size"), (i + 1).alias("place"), h.alias("hash")))
+
+    return level.select(*keys, F.explode(F.concat(*map(marked, sizes))).alias("x")).select(
+        *keys, "x.*")
+
+
+def windows_at(words: DataFrame, keys: list[str], places: Column, size: int | None = WINDOW) -> DataFrame:
+    """``keys, place, template, words`` of the windows at the given places; without a size the places
+    are pairs of a place and a size."""
     def window(p: Column) -> Column:
-        return F.struct(p.cast("int").alias("place"),
-                        F.array_join(F.slice("t", p, size), " ").alias("template"),
-                        F.array_join(F.slice("w", p, size), " ").alias("words"))
+        at, n = (p["place"], p["size"]) if size is None else (p, F.lit(size))
+        return F.struct(at.cast("int").alias("place"),
+                        F.array_join(F.slice("t", at, n), " ").alias("template"),
+                        F.array_join(F.slice("w", at, n), " ").alias("words"))
 
     return words.select(*keys, F.explode(F.transform(places, window)).alias("x")).select(
         *keys, "x.*")
@@ -123,25 +140,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     literal words) are found in it with consistent values; ``n_values`` counts the different values
     of the item that were compared, ``n_changed`` those that the document has otherwise. Documents
     that hold none give no row. NULL and empty texts hold nothing; an item without a usable window is
-    never found; repeated rows of a document or an item count once; NULL ids are ids; empty tables
+    never found; an item shorter than a window is one window of its own length; repeated rows of a document or an item count once; NULL ids are ids; empty tables
     give no rows. Columns besides doc_id, item_id and text are not read.
     """
     items = spelled(benchmark.select("item_id", "text"), "item_id", "text")
     at = ["item_id", "content"]
-    asked = windows_at(items, at, F.sequence(F.lit(1), _windows(size)), size).join(
-        window_hashes(items, at, size).withColumnRenamed("item_id", "same_id"),
-        ["content", "place"])
+    # A shorter item is one window of all its words, looked for at every place of a document.
+    short = tuple(sorted(r.n for r in items.select(F.size("t").alias("n")).filter(
+        F.col("n") < size).distinct().collect() if r.n >= max(min_literals, 1)))
+    own_size = F.least(F.size(F.split("template", " ", -1)), F.lit(size))
+    asked = windows_at(items, at, F.sequence(F.lit(1), _windows(size)), size).withColumn(
+        "size", own_size).join(
+        window_hashes(items, at, size, short).withColumnRenamed("item_id", "same_id"),
+        ["content", "place", "size"])
     asked = (asked.filter(F.col("item_id").eqNullSafe(F.col("same_id"))
                           & (literals(F.col("template")) >= min_literals))
-             .select("item_id", F.col("place").alias("item_place"), "template",
+             .select("item_id", F.col("place").alias("item_place"), "size", "template",
                      F.col("words").alias("item_words"), "hash").distinct())
     totals = asked.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows"))
     # Beyond the bound the same join shuffles both sides by hash.
     small = asked.count() <= BROADCAST_WINDOWS
     here = spelled(docs.select("doc_id", "text"), "doc_id", "text")
     folder = session.scratch(docs.sparkSession, "template-hits")
-    (window_hashes(here, ["doc_id", "content"], size)
-     .join(F.broadcast(asked) if small else asked, "hash")
+    (window_hashes(here, ["doc_id", "content"], size, short)
+     .join(F.broadcast(asked) if small else asked, ["hash", "size"])
      .withColumn("shift", F.col("place") - F.col("item_place")).write.parquet(folder))
     hits = docs.sparkSession.read.parquet(folder)
     aligned = ["doc_id", "item_id", "shift"]
@@ -150,7 +172,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
                      values(F.col("words")).alias("b")),
         lambda w: F.startswith(w["t"], F.lit("<")))
     # Per alignment: which places matched, and each value of the item with the text's values for it.
-    slots = (_with_words(docs, hits.filter(F.contains(F.col("template"), F.lit("<"))), size).select(*aligned, F.explode(words).alias("w"))
+    slots = (_with_words(docs, hits.filter(F.contains(F.col("template"), F.lit("<")))).select(*aligned, F.explode(words).alias("w"))
              .groupBy(*aligned, "w.t", "w.a")
              .agg(F.min("w.b").alias("low"), F.max("w.b").alias("high"))
              .groupBy(*aligned)
@@ -175,10 +197,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
                     "n_values", "n_changed"))
 
 
-def _with_words(docs: DataFrame, hits: DataFrame, size: int) -> DataFrame:
+def _with_words(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """Hits of windows with placeholders, with the ``words`` the documents have there."""
     found = hits.groupBy(F.col("doc_id").alias("at_id"), F.col("content").alias("at_content")).agg(
-        F.collect_set("place").alias("places"))
+        F.collect_set(F.struct("place", "size")).alias("places"))
     folder = session.scratch(docs.sparkSession, "template-places")
     found.write.parquet(folder)
     found = docs.sparkSession.read.parquet(folder)
@@ -191,7 +213,7 @@ def _with_words(docs: DataFrame, hits: DataFrame, size: int) -> DataFrame:
                           _spaced(F.col("text")).alias("s")).select(
         F.col("doc_id").alias("at_id"), F.col("content").alias("at_content"), "places",
         F.split(_template(F.col("s")), " ", -1).alias("t"), F.split("s", " ", -1).alias("w"))
-    words = windows_at(places, ["at_id", "at_content"], F.col("places"), size).select(
+    words = windows_at(places, ["at_id", "at_content"], F.col("places"), None).select(
         "at_id", "at_content", F.col("place").alias("at_place"),
         F.col("template").alias("at_template"), "words").distinct()
     return hits.join(words, F.col("doc_id").eqNullSafe(F.col("at_id"))
