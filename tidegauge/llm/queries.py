@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tidegauge import session
-from tidegauge.llm import html_render, pieces, pseudo_likelihood, quality_model, quality_rules, secret_scan, simhash, templates, token_files, token_rollup
+from tidegauge.llm import html_render, pieces, jaccard_join, pseudo_likelihood, quality_model, quality_rules, resampling, secret_scan, simhash, templates, token_files, token_rollup, word_runs
 from tidegauge.llm.catalog import QUERIES, SQL, register  # noqa: F401
 from tidegauge.llm.tables import read
 
@@ -95,3 +95,21 @@ def op10_piece_lattice(spark, sf_dir):
     """Pieces of every document: their number, checksum, and whether they decode to the text."""
     model = pieces.Model.load(public_tokenizers.path("piece_bpe_32k.model"))
     return pieces.encode(read(spark, sf_dir, "documents"), model, digest=True)
+
+
+@register()
+def op11_word_runs(spark, sf_dir):
+    """Runs of repeated words in every document, after the dealt rule has made one in ten periodic."""
+    return word_runs.digests(read(spark, sf_dir, "documents"))
+
+
+@register(resampling.resample_sql())
+def op12_resampling(spark, sf_dir):
+    """Importance of every document towards the benchmark, and the rank of those drawn."""
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@register(jaccard_join.components_sql())
+def op13_jaccard_join(spark, sf_dir):
+    """Component of every document under shingle sets with a Jaccard similarity of 0.9 or more."""
+    return jaccard_join.groups(read(spark, sf_dir, "documents"))
