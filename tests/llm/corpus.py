@@ -26,3 +26,13 @@ def documents(spark, rows=ROWS):
 
 def ids(rows):
     return sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in rows)
+
+
+LARGE = [(None, "a text without an id"), *[(2**60 + 1 + i, f"text number {i} of several, all of them apart "
+                                            f"x{i * 7919} y{i * 104729} z{i}") for i in range(40)]]
+
+
+def large_ids(spark):
+    """Ids that no float holds, beside a NULL, in one partition."""
+    return spark.createDataFrame(LARGE, "doc_id long, text string").withColumns(
+        {"source": F.lit("s"), "lang": F.lit("en"), "n_chars": F.length("text")}).coalesce(1)

@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tidegauge.llm.tables import numbered, spelled
+
 # Element names by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
@@ -430,9 +432,10 @@ def visible_text(pages: DataFrame, page_id: str = "page_id", page: str = "html")
         for batch in batches:
             texts = [page_text(x) for x in batch["page"]]
             yield pd.DataFrame({
-                "page_id": batch["page_id"].astype("Int64"), "text": texts,
+                "page_id": batch["page_id"], "text": texts,
                 "n_blocks": [len(re.split(r"\n\n+", t)) if t else 0 for t in texts],
                 "n_chars": list(map(len, texts))})
 
-    narrow = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(page).alias("page"))
-    return narrow.mapInPandas(rows, "page_id long, text string, n_blocks long, n_chars long")
+    narrow = pages.select(spelled(page_id)[0].alias("page_id"), F.col(page).alias("page"))
+    return numbered(narrow.mapInPandas(
+        rows, "page_id string, text string, n_blocks long, n_chars long"), "page_id")

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge import session
+from tidegauge.llm.tables import numbered, spelled
 
 TOKENS = 256
 GROUPS = 64
@@ -295,7 +296,7 @@ def word_scored(docs: DataFrame, rounds: int = ROUNDS, every: int = TRAIN_EVERY)
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return docs.select(spelled("doc_id")[0].alias("doc_id"), F.col("text").cast("string"))
 
 
 def _named(rows: DataFrame, total: Column) -> DataFrame:
@@ -323,12 +324,12 @@ def _scored(narrow: DataFrame, known: list[str], store: dict[bytes, float] | Non
                     logs = [x for x in logs if x is not None]
                 inside.append(math.fsum(logs))
                 rare.append(lacking)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "row": frame["row"],
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "row": frame["row"],
                                 "tokens": [tokenizer(t) for t in frame["text"]],
                                 "inside": np.array(inside, np.float64), "rare": rare})
 
     narrow.withColumn("row", F.monotonically_increasing_id()).mapInPandas(
-        tokenize, "doc_id long, row long, tokens binary, inside double, rare array<string>"
+        tokenize, "doc_id string, row long, tokens binary, inside double, rare array<string>"
     ).write.parquet(folder)
     tokens = spark.read.parquet(folder)
     shared = spark.sparkContext.broadcast(train(tokens, rounds, every))
@@ -344,10 +345,10 @@ def _scored(narrow: DataFrame, known: list[str], store: dict[bytes, float] | Non
                 lengths.append(sizes)
             if sums:
                 yield pd.DataFrame({
-                    "doc_id": frame["doc_id"].astype("Int64"), "row": frame["row"],
+                    "doc_id": frame["doc_id"], "row": frame["row"],
                     "n_words": np.concatenate(lengths),
                     "total": np.concatenate(sums) + frame["inside"].to_numpy()})
 
     rows = tokens.select("doc_id", "row", "tokens", "inside").mapInPandas(
-        score, "doc_id long, row long, n_words long, total double")
-    return rows, tokens
+        score, "doc_id string, row long, n_words long, total double")
+    return numbered(rows, "doc_id"), tokens

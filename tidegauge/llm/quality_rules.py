@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tidegauge.llm.tables import numbered, spelled
+
 # Characters counted as symbols, and the limits of the base rules.
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
@@ -29,7 +31,7 @@ MAX_SYMBOL_SHARE = 0.05
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
-SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+SCHEMA = ("doc_id string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
           "n_repeat_words long, base_failed boolean, kept boolean, dup_line_share double, "
           + ", ".join(f"dup{n}_share double" for n in MAX_SHARE))
 
@@ -154,8 +156,8 @@ def repetition(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         for batch in batches:
             out = pd.DataFrame([measure(t, rolling) for t in batch["text"]])
             if len(out):
-                out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object))
+                out.insert(0, "doc_id", batch["doc_id"])
                 yield out
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInPandas(rows, SCHEMA)
+    narrow = docs.select(spelled(doc_id)[0].alias("doc_id"), F.col(text).alias("text"))
+    return numbered(narrow.mapInPandas(rows, SCHEMA), "doc_id")

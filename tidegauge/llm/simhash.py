@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge import session
 from tidegauge.llm.components import connected_components
+from tidegauge.llm.tables import numbered, spelled
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -71,16 +72,14 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch["_text"]], dtype=np.uint64)
-            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"),
-                                "fp": fps.astype(np.int64)})
-            for name in carry:
-                out[name] = batch[name].astype("Int64")
-            yield out
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps.astype(np.int64),
+                                **{name: batch[name] for name in carry}})
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"),
-                         *[F.col(c).cast("long").alias(c) for c in carry])
-    return narrow.mapInPandas(rows, ", ".join(["doc_id long", "fp long",
-                                               *[f"{c} long" for c in carry]]))
+    narrow = docs.select(spelled(doc_id)[0].alias("doc_id"), F.col(text).alias("_text"),
+                         *[c.alias(n) for c, n in zip(spelled(*carry), carry)])
+    return numbered(narrow.mapInPandas(rows, ", ".join(["doc_id string", "fp long",
+                                                        *[f"{c} string" for c in carry]])),
+                    "doc_id", *carry)
 
 
 def _band(fp: Column, i: int) -> Column:
@@ -187,9 +186,13 @@ def _stars(many: DataFrame, bits: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-           carry: tuple[str, ...] = (), bits: int = MAX_BITS, crowd: int = CROWD) -> DataFrame:
+           carry: tuple[str, ...] = (), bits: int = MAX_BITS, crowd: int = CROWD,
+           root: bool = False) -> DataFrame:
     """``doc_id, fingerprint, component_id`` and the carried columns of each row of ``docs``.
 
+    ``root`` adds a column of that name: the smallest fingerprint of a group, which names the group
+    even if none of its rows has an id.
+
     Fingerprints are linked at ``bits`` or fewer differing bits; ``component_id`` is the smallest
     doc_id reachable. NULL, empty and wordless texts have fingerprint zero and are linked like any
     other. A NULL doc_id is never the smallest: a group without any id has component NULL. Repeated
@@ -208,7 +211,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     # Written, so that the join below reads both sides by their own shuffle and a fingerprint of very
     # many rows can be split.
-    rooted.join(least, "root").select("fp", "component_id").write.parquet(f"{folder}/components")
+    rooted.join(least, "root").select("fp", "component_id", "root").write.parquet(f"{folder}/components")
     components = spark.read.parquet(f"{folder}/components")
     return rows.join(components, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carry)
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carry,
+        *(["root"] if root else []))

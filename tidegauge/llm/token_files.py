@@ -19,12 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidegauge.llm import rans
-from tidegauge.llm.tables import tasks_for
+from tidegauge.llm.tables import spelled, tasks_for
 
 BLOCK_IDS = 1 << 18
 KNOWN_WORDS = 1 << 20
 BROADCAST_PARTS = 1 << 20
-RAW = "part int, block int, inside long, n_ids long, doc_ids array<long>, counts array<long>, ids binary"
+RAW = "part int, block int, inside long, n_ids long, doc_ids array<string>, counts array<long>, ids binary"
 
 # In a worker process: word ids by tokenizer file, and the coder by table.
 _words: dict[str, Callable[[list[str]], list[bytes]]] = {}
@@ -129,11 +129,11 @@ def raw_blocks(docs: DataFrame, path: str, end_id: int, vocabulary: int,
     order = [F.col("doc_id"), F.xxhash64("text")]
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     dealt = (narrow.repartitionByRange(n, *order).sortWithinPartitions(*order)
-             .withColumn("part", F.spark_partition_id()))
+             .withColumns({"part": F.spark_partition_id(), "doc_id": spelled("doc_id")[0]}))
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = word_encoder(path)
-        doc_ids: list[int | None] = []
+        doc_ids: list[str | None] = []
         ids: list[bytes] = []
         part = number = size = before = 0
 
@@ -145,11 +145,11 @@ def raw_blocks(docs: DataFrame, path: str, end_id: int, vocabulary: int,
 
         for batch in batches:
             part = int(batch["part"].iloc[0]) if len(batch) else part
-            numbers = batch["doc_id"].astype("Int64")
+            numbers = batch["doc_id"]
             for at in range(0, len(batch), 64):
                 texts = batch["text"].iloc[at:at + 64].tolist()
                 for doc_id, data in zip(numbers.iloc[at:at + 64], encode(texts)):
-                    doc_ids.append(None if doc_id is pd.NA else int(doc_id))
+                    doc_ids.append(doc_id if isinstance(doc_id, str) else None)
                     ids.append(data + end)
                     size += len(ids[-1]) // width
                     if size >= block_ids:
@@ -223,7 +223,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int) -> rans.Table:
         coder = _coder(shared.value)
         for batch in batches:
             for row in batch.itertuples(index=False):
-                missing = [None if d is None or d != d else int(d) for d in row.doc_ids]
+                missing = [None if d is None else int(d) for d in row.doc_ids]
                 data = rans.write_block(coder, row.first, missing, row.counts,
                                         np.frombuffer(row.ids, kind))
                 yield pd.DataFrame({"part": [row.part], "block": [row.block], "data": [data]})

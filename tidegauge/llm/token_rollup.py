@@ -17,8 +17,11 @@ from collections.abc import Callable, Iterator, Mapping
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidegauge.llm.tables import numbered, spelled
+
 KEYS = ("source", "lang", "version")
 LEDGER = "doc_id long, sign int, source string, lang string, version string, tokens long"
+BROADCAST_ROWS = 1 << 20
 SUMS = "source string, lang string, version string, n_docs long, n_tokens long"
 
 Counter = Callable[[], Callable[[str], int]]
@@ -43,7 +46,7 @@ class TokenRollup:
 
     Changes have the columns doc_id, seq, op (insert, revise or delete), source, lang, version, text;
     others are not read. Of several changes of one document in a batch the one with the largest seq
-    counts (ties: any, they should be equal). An insert of a known document is a revision, a delete
+    counts (ties: the largest op, source, language, version and number of tokens, in this order). An insert of a known document is a revision, a delete
     of an unknown one does nothing. A NULL id is one document; NULL sources, languages and versions
     are groups of their own; a NULL or empty text has 0 tokens but is a document. An empty batch
     commits. Batches are committed in rising order.
@@ -69,9 +72,17 @@ class TokenRollup:
         reader = self.spark.read.schema(schema)
         return reader.parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def live(self) -> DataFrame:
-        """The documents that count now, with their tokens."""
-        rows = self._read("ledger", LEDGER).groupBy("doc_id", *KEYS, "tokens")
+    def live(self, touched: DataFrame | None = None) -> DataFrame:
+        """The documents that count now, with their tokens; or only those ``touched (changed)``.
+
+        The ledger's rows are picked before they are grouped, so a commit regroups what it changes.
+        """
+        rows = self._read("ledger", LEDGER)
+        if touched is not None:
+            if touched.count() <= BROADCAST_ROWS:
+                touched = F.broadcast(touched)
+            rows = rows.join(touched, F.col("doc_id").eqNullSafe(F.col("changed")), "left_semi")
+        rows = rows.groupBy("doc_id", *KEYS, "tokens")
         return rows.agg(F.sum("sign").alias("n")).filter("n > 0").drop("n")
 
     def totals(self) -> DataFrame:
@@ -87,7 +98,7 @@ class TokenRollup:
             return False
         if done and batch < done[-1]:
             raise ValueError(f"batch {batch} comes after {done[-1]}")
-        self._signed(changes).write.mode("overwrite").parquet(self._folder("ledger", batch))
+        self._signed(changes, batch).write.mode("overwrite").parquet(self._folder("ledger", batch))
         rows = self.spark.read.schema(LEDGER).parquet(self._folder("ledger", batch))
         sums = rows.groupBy(*KEYS).agg(
             F.sum("sign").cast("long").alias("n_docs"),
@@ -97,18 +108,18 @@ class TokenRollup:
             "overwrite").parquet(self._folder("commits", batch))
         return True
 
-    def _signed(self, changes: DataFrame) -> DataFrame:
+    def _signed(self, changes: DataFrame, batch: int) -> DataFrame:
         counted = self._counted(changes)
         # Narrow rows only: the texts have been counted where they were read.
-        last = counted.groupBy("doc_id").agg(
-            F.max_by(F.struct("op", *KEYS, "tokens"), "seq").alias("c"))
+        counted.groupBy("doc_id").agg(
+            F.max_by(F.struct("op", *KEYS, "tokens"), F.struct("seq", "op", *KEYS, "tokens")).alias("c")
+        ).write.mode("overwrite").parquet(self._folder("changes", batch))
+        last = self.spark.read.parquet(self._folder("changes", batch))
         new = last.filter("c.op <> 'delete'").select(
             "doc_id", F.lit(1).alias("sign"), *[f"c.{k}" for k in KEYS], "c.tokens")
         if not self.committed():
             return new
-        known = self.live().alias("known")
-        touched = last.select(F.col("doc_id").alias("changed"))
-        old = known.join(touched, F.col("doc_id").eqNullSafe(F.col("changed")), "left_semi")
+        old = self.live(last.select(F.col("doc_id").alias("changed")))
         return old.select("doc_id", F.lit(-1).alias("sign"), *KEYS, "tokens").unionByName(new)
 
     def _counted(self, changes: DataFrame) -> DataFrame:
@@ -127,12 +138,12 @@ class TokenRollup:
             for batch in batches:
                 batch["tokens"] = [0 if o == "delete" else tokens(v, t) for o, v, t in
                                    zip(batch["op"], batch["version"], batch["text"])]
-                batch["doc_id"] = batch["doc_id"].astype("Int64")
                 yield batch.drop(columns="text")
 
         narrow = changes.select(
-            F.col("doc_id").cast("long"), F.col("seq").cast("long"),
+            spelled("doc_id")[0].alias("doc_id"), spelled("seq")[0].alias("seq"),
             F.coalesce("op", F.lit("insert")).alias("op"), *KEYS,
             F.when(F.col("op") == "delete", None).otherwise(F.col("text")).alias("text"))
-        return narrow.mapInPandas(rows, "doc_id long, seq long, op string, source string, "
-                                        "lang string, version string, tokens long")
+        return numbered(narrow.mapInPandas(
+            rows, "doc_id string, seq string, op string, source string, lang string, version string, "
+                  "tokens long"), "doc_id", "seq")
