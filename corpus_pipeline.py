@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge import session
-from tidegauge.llm import near_copies, pieces, quality_model, secret_scan, templates
+from tidegauge.llm import pieces, quality_model, secret_scan, simhash, templates
 from tidegauge.llm.tables import read
 
 PREFIX = "_stage_"  # of columns that a stage adds for itself and drops again
@@ -28,14 +28,15 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group: the smallest id, then the smallest content.
 
-    Near-duplicates have five-word shingles with a Jaccard similarity of 0.8 or more.
+    Near-duplicates are linked by SimHash: four-word shingles, at most four differing bits.
     Documents without an id come after all others of their group.
     """
     session.prepare(spark)
     marked = docs.withColumn(f"{PREFIX}content", F.xxhash64("text"))
-    found = near_copies.groups(docs)
+    found = simhash.groups(marked, carry=(f"{PREFIX}content",), root=True)
     best = found.groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "content")).alias("k"))
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id",
+                       F.col(f"{PREFIX}content").alias("content"))).alias("k"))
     kept = best.select(F.col("k.doc_id").alias(f"{PREFIX}id"), F.col("k.content").alias(
         f"{PREFIX}kept"))
     joined = marked.join(kept, F.col("doc_id").eqNullSafe(F.col(f"{PREFIX}id"))
