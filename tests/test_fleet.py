@@ -1,4 +1,5 @@
 import json
+from decimal import Decimal
 import random
 
 import pytest
@@ -82,7 +83,7 @@ def test_health_limits(spark, change, terrible, backoff):
 
 
 def test_capability_score_of_half_load(spark):
-    cap = (True, 512, 12, 4096, 128, 10485760, 5242880, NOW)
+    cap = (True, *map(Decimal, (512, 12, 4096, 128, 10485760, 5242880)), NOW)
     row = R.with_health(table(spark, route(1, capability=cap)), NOW).first()
     assert row.cap_score == pytest.approx(0.55)
 
@@ -94,15 +95,33 @@ def test_full_table_loses_its_weakest_route(spark):
     assert R.trim_routes(table(spark, *rows), NOW, max_routes=6).count() == 5
 
 
-def test_snapshots_of_a_large_table_are_split(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(S, "MAX_ROUTES", 10)
-    rows = [route(k, source=("s", 1, hexid(k + 1)), capability=(True, 1, 0, 1, 0, 1, 0, NOW))
-            for k in range(1, 60)]
+def test_a_snapshot_of_many_routes_is_one_document(spark, tmp_path):
+    most = Decimal(2**64 - 1)
+    rows = [route(k, owner=owner, source=("s", 1, hexid(k + 1)), capability=(
+                True, most, Decimal(0), Decimal(k), Decimal(0), Decimal(1), most - k, NOW))
+            for owner, n in (("many", 10_001), ('a "b"/c=d', 3), ("one", 2)) for k in range(1, n)]
+    rows += [rows[-1], route(0, owner="none")]
     path = SR.write_route_snapshots(table(spark, *rows), str(tmp_path / "snap"))
-    docs = [json.loads(r.value) for r in spark.read.text(path).collect()]
-    assert len(docs) > 1 and all(d["version"] == 1 for d in docs)
-    back = SR.read_route_snapshots(spark, path, NOW)
-    assert sorted(int(r.node.id, 16) for r in back.collect()) == list(range(1, 60))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).collect()
+    docs = {d["owner"]: d for d in (json.loads(r.value) for r in files)}
+    assert len(files) == 3 and {o: len(d["entries"]) for o, d in docs.items()} == {
+        "many": 10_000, 'a "b"/c=d': 2, "one": 2}
+    names = [e["node"]["public_key"] for e in docs["many"]["entries"]]
+    assert names == sorted(names)
+    back = SR.read_route_snapshots(spark, path, NOW).collect()
+    assert sorted((r.owner, r.node.id, r.capability, r.source.id) for r in back) == sorted(
+        (r[0], r[1][2], r[3], r[2][2]) for r in rows[:-1])
+
+
+def test_counters_of_snapshots(spark, tmp_path):
+    node = {"host": "h", "port": 1, "id": hexid(7)}
+    values = [0, 2**64 - 1, 2**64, 2**63, -1, 1.5, "x", None]
+    entries = [{"node": {**node, "id": hexid(i + 1)}, "capability": {"max_ingress_streams": v}}
+               for i, v in enumerate(values)]
+    (tmp_path / "a.json").write_text(json.dumps({"version": 1, "entries": entries}, indent=1))
+    got = SR.read_route_snapshots(spark, str(tmp_path), NOW).orderBy("node.id").collect()
+    found = [r.capability and int(r.capability.max_ingress_streams) for r in got]
+    assert found[:6] == [0, 2**64 - 1, 0, 2**63, 0, 0]
 
 
 def test_reading_odd_snapshots(spark, tmp_path):

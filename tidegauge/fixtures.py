@@ -245,7 +245,8 @@ def routes(spark, sf_dir) -> DataFrame:
         F.expr(f"""if(k % 5 = 0, NULL, named_struct(
               'accepting_ingress', k % 11 <> 0,
               'max_kcp_links', 512L, 'current_kcp_links', (k * 3) % 520,
-              'max_ingress_streams', if(k % 9 = 0, 0L, 4096L),
+              'max_ingress_streams', cast(CASE WHEN k % 9 = 0 THEN 0
+                WHEN k % 13 = 0 THEN 18446744073709551615 ELSE 4096 END AS decimal(20,0)),
               'current_ingress_streams', (k * 17) % 4200,
               'max_ingress_bytes_per_second', if(k % 4 = 1, 0L, 1048576L),
               'current_ingress_bytes_per_second', (k * 997) % 1100000,

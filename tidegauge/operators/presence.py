@@ -14,6 +14,12 @@ from tidegauge.session import checkpointed
 CUT_TTLS = 64
 
 
+def split_named(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with a key, and those whose key is empty or NULL: no rule on repeats applies to them."""
+    named = F.coalesce(F.col(key) != "", F.lit(False))
+    return df.filter(named), df.filter(~named)
+
+
 def _gap(ttl_ms: int) -> Column:
     # A session window keeps events together that are exactly one gap apart, while a key with a
     # time to live is gone at that very instant: hence one microsecond less. Events are whole
@@ -126,15 +132,15 @@ def alive(state: DataFrame, as_of: Column) -> DataFrame:
 def drop_seen(msgs: DataFrame, seen: DataFrame, ttl_ms: int = S.SEEN_TTL_MS) -> DataFrame:
     """Messages whose id is not held by ``seen`` (message_id, seen_ms) when they arrive.
 
-    Messages without id always pass; with a time to live of 0 an id is held for ever.
+    Messages without id (empty or NULL) always pass; with a time to live of 0 an id is held for ever.
     """
-    held = (seen.filter(F.col("message_id") != "").groupBy(F.col("message_id").alias("_id"))
+    held = (split_named(seen, "message_id")[0].groupBy(F.col("message_id").alias("_id"))
             .agg(F.max("seen_ms").alias("_seen_ms")))
     hit = F.col("message_id") == F.col("_id")
     if ttl_ms > 0:
         hit = hit & (F.col("arrival_ms") < F.col("_seen_ms") + ttl_ms)
-    named = msgs.filter(F.col("message_id") != "").join(held, hit, "left_anti")
-    return named.unionByName(msgs.filter(F.col("message_id") == ""))
+    named, nameless = split_named(msgs, "message_id")
+    return named.join(held, hit, "left_anti").unionByName(nameless)
 
 
 # --- fixed expiry -------------------------------------------------------------------------
@@ -213,10 +219,10 @@ def dedupe_fixed(df: DataFrame, key: str, ms: str, seq: str,
                  ttl_ms: int = S.SEEN_TTL_MS) -> DataFrame:
     """Rows that are no repeat of an earlier row whose expiry, set once, has not passed.
 
-    Rows with an empty key always pass; with a time to live of 0 only the first row passes.
+    Rows whose key is empty or NULL always pass; with a time to live of 0 only a key's first row
+    passes.
     """
-    anonymous = df.filter(F.col(key) == "")
-    named = df.filter(F.col(key) != "")
+    named, anonymous = split_named(df, key)
     rest = [c for c in df.columns if c != key]
     row = F.struct(*rest)
     if ttl_ms <= 0:

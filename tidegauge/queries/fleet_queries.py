@@ -279,7 +279,13 @@ def union_nodes(spark, d):
 SNAPSHOT = f"""SELECT owner, node_id, node.host AS host, node.port AS port,
     CASE WHEN state = 'tried' AND last_success_ms = 0 THEN 'new' ELSE state END AS state,
     attempts, failures, CAST(least(hop_count, 8) AS INTEGER) AS hop_count,
-    capability.current_ingress_streams AS current_streams,
+    capability.accepting_ingress AS accepting_ingress,
+    capability.max_kcp_links::VARCHAR AS max_kcp_links, capability.current_kcp_links::VARCHAR AS current_kcp_links,
+    capability.max_ingress_streams::VARCHAR AS max_ingress_streams,
+    capability.current_ingress_streams::VARCHAR AS current_ingress_streams,
+    capability.max_ingress_bytes_per_second::VARCHAR AS max_ingress_bytes_per_second,
+    capability.current_ingress_bytes_per_second::VARCHAR AS current_ingress_bytes_per_second,
+    capability.updated_at_ms AS updated_at_ms,
     CASE WHEN source.id <> '{ZERO}' THEN source.id END AS source_id,
     CASE WHEN last_seen_ms = 0 THEN {A} ELSE last_seen_ms END AS last_seen_ms,
     last_try_ms, last_success_ms, false AS kcp_connected FROM valid"""
@@ -291,7 +297,8 @@ def read_route_snapshots(spark, d):
     read = SR.read_route_snapshots(spark, path, A)
     return read.select("owner", F.col("node.id").alias("node_id"), "node.host", "node.port",
                        "state", "attempts", "failures", "hop_count",
-                       F.col("capability.current_ingress_streams").alias("current_streams"),
+                       "capability.accepting_ingress", "capability.updated_at_ms",
+                       *[F.col(f"capability.{f}").cast("string").alias(f) for f in CAP_FIELDS[1:-1]],
                        F.col("source.id").alias("source_id"), "last_seen_ms", "last_try_ms",
                        "last_success_ms", "kcp_connected")
 
@@ -301,7 +308,8 @@ def read_route_snapshots(spark, d):
 def write_route_snapshots(spark, d):
     """Entries, capability reports and sources per owner in the written text."""
     path = SR.write_route_snapshots(routes(spark, d), SR.snapshot_folder(spark))
-    docs = spark.read.text(path).select(F.try_parse_json("value").alias("doc"))
+    docs = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
+        F.try_parse_json("value").alias("doc"))
     entries = docs.select(
         F.try_variant_get("doc", "$.owner", "string").alias("owner"),
         F.explode(F.try_variant_get("doc", "$.entries", "array<variant>")).alias("e"))

@@ -247,7 +247,8 @@ SELECT owner, k, {node('k')} AS node,
   CASE WHEN k % 5 = 0 THEN NULL ELSE {{
     'accepting_ingress': k % 11 <> 0, 'max_kcp_links': 512::BIGINT,
     'current_kcp_links': (k * 3) % 520,
-    'max_ingress_streams': CASE WHEN k % 9 = 0 THEN 0::BIGINT ELSE 4096::BIGINT END,
+    'max_ingress_streams': CASE WHEN k % 9 = 0 THEN 0::UBIGINT
+      WHEN k % 13 = 0 THEN 18446744073709551615::UBIGINT ELSE 4096::UBIGINT END,
     'current_ingress_streams': (k * 17) % 4200,
     'max_ingress_bytes_per_second': CASE WHEN k % 4 = 1 THEN 0::BIGINT ELSE 1048576::BIGINT END,
     'current_ingress_bytes_per_second': (k * 997) % 1100000,

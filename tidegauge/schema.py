@@ -38,7 +38,6 @@ DEVICE_ONLINE_TTL_MS = 60_000
 DEVICE_LATEST_TTL_MS = 86_400_000
 SEEN_TTL_MS = 600_000
 FLUSH_MAX_ROWS = 50_000
-FLUSH_MAX_BYTES = 128 << 20
 FLUSH_IDLE_SECONDS = 60
 TARGET_FILE_BYTES = 128 << 20
 MAX_STREAMS = 4096
@@ -65,9 +64,9 @@ HELLO_SKEW_MS = 600_000
 CHAINS = {0: "INPUT", 1: "OUTPUT", 2: "FORWARD"}
 ACTIONS = {0: "DROP", 1: "ACCEPT", 2: "STOLEN", 3: "QUEUE", 4: "REPEAT", 5: "STOP"}
 PROTOCOLS = {6: "tcp", 17: "udp", 1: "icmp", 2: "igmp"}
-ACTION_CODES = {name: code for code, name in ACTIONS.items()}
 LOG_UTC_OFFSET_HOURS = 8
 
+# --- fixed values: field names of tables and documents --------------------------------------
 DEVICE_MESSAGE = T.StructType(
     [
         T.StructField("mac_addr", T.StringType(), False),
@@ -96,23 +95,17 @@ REGISTRY = T.StructType(
     ]
 )
 
+# Counters are unsigned 64-bit numbers, the time is a signed one.
+U64 = T.DecimalType(20, 0)
 CAPABILITY = T.StructType(
     [
         T.StructField("accepting_ingress", T.BooleanType()),
-        T.StructField("max_kcp_links", T.LongType()),
-        T.StructField("current_kcp_links", T.LongType()),
-        T.StructField("max_ingress_streams", T.LongType()),
-        T.StructField("current_ingress_streams", T.LongType()),
-        T.StructField("max_ingress_bytes_per_second", T.LongType()),
-        T.StructField("current_ingress_bytes_per_second", T.LongType()),
+        T.StructField("max_kcp_links", U64),
+        T.StructField("current_kcp_links", U64),
+        T.StructField("max_ingress_streams", U64),
+        T.StructField("current_ingress_streams", U64),
+        T.StructField("max_ingress_bytes_per_second", U64),
+        T.StructField("current_ingress_bytes_per_second", U64),
         T.StructField("updated_at_ms", T.LongType()),
     ]
 )
-
-NODE = T.StructType(
-    [
-        T.StructField("host", T.StringType()),
-        T.StructField("port", T.LongType()),
-        T.StructField("id", T.StringType()),
-    ]
-)

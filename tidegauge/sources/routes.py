@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidegauge import schema as S
 from tidegauge.functions.payload import hex_id
@@ -12,7 +12,10 @@ from tidegauge.session import scratch
 SNAPSHOT_VERSION = 1  # fixed value
 
 _NODE = "host STRING, port BIGINT, public_key STRING, id STRING, convid STRING"
-_CAPABILITY = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in S.CAPABILITY.fields)
+# Wider than the counters, so that what is none can be told from what is.
+_CAPABILITY = ", ".join(
+    f"{f.name}: {'DECIMAL(38,6)' if f.dataType == S.U64 else f.dataType.simpleString()}"
+    for f in S.CAPABILITY.fields)
 _ENTRY = (f"node STRUCT<{_NODE}>, state STRING, attempts BIGINT, failures BIGINT, "
           f"capability STRUCT<{_CAPABILITY}>, hop_count BIGINT, last_seen_ms BIGINT, "
           f"last_try_ms BIGINT, last_success_ms BIGINT, source STRUCT<{_NODE}>")
@@ -29,25 +32,35 @@ def _node_out(node: Column) -> Column:
 
 
 def write_route_snapshots(routes: DataFrame, path: str, local_id: Column | None = None) -> str:
-    """Write documents of an owner's valid routes to other nodes; absent parts are left out.
+    """Write one document for each owner, of its valid routes to other nodes in order of their ids;
+    absent parts are left out.
 
-    An owner with more routes than a node may hold is written as several documents, each of which
-    is a valid snapshot, so that no document grows with the data.
+    A document's lines are its head, one entry each and its foot. They are sorted by owner and
+    streamed into the owner's file, so a document of any number of routes needs no list in memory.
     """
     kept = valid_routes(routes)
     if local_id is not None:
         kept = kept.filter(F.col("node.id") != local_id)
-    parts = kept.groupBy("owner").agg(
-        F.ceil(F.count("*") / S.MAX_ROUTES).cast("bigint").alias("_parts"))
     source = F.col("source")
     entry = F.struct(
         _node_out(F.col("node")).alias("node"), "state", "attempts", "failures", "capability",
         "hop_count", "last_seen_ms", "last_try_ms", "last_success_ms",
         F.when(node_valid(source), _node_out(source)).alias("source"))
-    split = kept.join(parts, "owner").withColumn(
-        "_part", F.pmod(F.xxhash64("node.id"), F.col("_parts")))
-    docs = split.groupBy("owner", "_part").agg(F.collect_list(entry).alias("entries"))
-    docs.select("owner", F.lit(SNAPSHOT_VERSION).alias("version"), "entries").write.json(path)
+    lines = kept.select("owner", F.lit(1).alias("_line"), F.col("node.id").alias("_id"),
+                        F.to_json(entry).alias("value"))
+    owners = kept.select("owner").distinct()
+    name = F.regexp_extract(F.to_json(F.struct("owner")), r'^\{"owner":(.*)\}$', 1)
+    head = F.concat(F.lit('{"owner":'), name, F.lit(f',"version":{SNAPSHOT_VERSION},"entries":['))
+    rows = (lines.unionByName(owners.select("owner", F.lit(0).alias("_line"), F.lit("").alias("_id"),
+                                            head.alias("value")))
+            .unionByName(owners.select("owner", F.lit(2).alias("_line"), F.lit("").alias("_id"),
+                                       F.lit("]}").alias("value")))
+            .withColumn("owner", F.coalesce("owner", F.lit(""))))
+    # The window only counts lines as they pass; its order is the order of the file.
+    order = Window.partitionBy("owner").orderBy("_line", "_id", "value")
+    later = (F.row_number().over(order) > 2) & (F.col("_line") == 1)
+    (rows.select("owner", F.concat(F.when(later, ",").otherwise(""), "value").alias("value"))
+     .write.partitionBy("owner").text(path))
     return path
 
 
@@ -61,13 +74,14 @@ def _node_in(node: Column) -> Column:
 
 
 def read_route_snapshots(spark: SparkSession, path: str, as_of_ms: int,
-                         local_id: Column | None = None, multi_line: bool = False) -> DataFrame:
+                         local_id: Column | None = None, multi_line: bool = True) -> DataFrame:
     """Routes of snapshot documents of the supported version, one row per usable entry.
 
-    ``multi_line`` reads files that hold one indented document each. Links do not outlive a
-    restart, so none is connected; a tried route without success starts as new.
+    Files hold one document each, or with ``multi_line`` off one a line. Links do not outlive a
+    restart, so none is connected; a tried route without success starts as new. A counter that is no
+    unsigned 64-bit integer counts as 0.
     """
-    docs = spark.read.schema(SNAPSHOT_DDL).json(path, multiLine=multi_line)
+    docs = spark.read.schema(SNAPSHOT_DDL).json(path, multiLine=multi_line, recursiveFileLookup=True)
     me = local_id if local_id is not None else F.lit(None).cast("string")
     zero = F.lit(0).cast("bigint")
     entries = (
@@ -79,10 +93,18 @@ def read_route_snapshots(spark: SparkSession, path: str, as_of_ms: int,
                 & ~F.coalesce(F.col("node.id") == F.col("_me"), F.lit(False)))
     )
     cap = F.col("e.capability")
+    most = F.lit(str(2**64 - 1)).cast("decimal(20,0)")
+
+    def counter(field):
+        value = cap[field.name]
+        if field.dataType != S.U64:
+            return F.greatest(F.coalesce(value, zero), zero)
+        whole = (value >= 0) & (value <= most) & (value == F.floor(value))
+        return F.when(whole, value.cast(S.U64)).otherwise(F.lit(0).cast(S.U64))
+
     report = F.when(cap.isNotNull(), F.struct(
         F.coalesce(cap["accepting_ingress"], F.lit(True)).alias("accepting_ingress"),
-        *[F.greatest(F.coalesce(cap[f.name], zero), zero).alias(f.name)
-          for f in S.CAPABILITY.fields[1:]]))
+        *[counter(f).alias(f.name) for f in S.CAPABILITY.fields[1:]]))
     success = F.coalesce("e.last_success_ms", zero)
     state = route_state(F.col("e.state"))
     own = (F.col("_source.id") == F.col("node.id")) | F.coalesce(

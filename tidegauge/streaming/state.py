@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from tidegauge import schema as S
 from tidegauge.operators.admission import TokenBucket
 from tidegauge.operators.frames import FrameCutter
+from tidegauge.operators.presence import split_named
 
 LONG = T.LongType()
 
@@ -307,9 +308,9 @@ def _dedupe(kind, df, keys, ms, seq, ttl_ms, delay):
 
 def dedupe_fixed_stream(df: DataFrame, key: str, ms: str, seq: str,
                         ttl_ms: int = S.SEEN_TTL_MS, delay: str | None = None) -> DataFrame:
-    """Stream form of ``dedupe_fixed``. Rows without key pass beside the state."""
-    named = _dedupe(FixedExpiry, df.filter(F.col(key) != ""), key, ms, seq, ttl_ms, delay)
-    return named.union(df.filter(F.col(key) == "").select(*df.columns))
+    """Stream form of ``dedupe_fixed``. Rows without key, empty or NULL, pass beside the state."""
+    named, nameless = split_named(df, key)
+    return _dedupe(FixedExpiry, named, key, ms, seq, ttl_ms, delay).union(nameless.select(*df.columns))
 
 
 def dedupe_sliding_stream(df: DataFrame, keys, ms: str, seq: str, ttl_ms: int,
