@@ -212,7 +212,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int) -> rans.Table:
 
     spark = docs.sparkSession
     vocabulary = max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
-    (raw_blocks(docs, path, end_id, vocabulary).write.option("compression", "zstd")
+    # Ids in two bytes each hardly shrink: read twice below, they are not worth packing.
+    (raw_blocks(docs, path, end_id, vocabulary).write.option("compression", "uncompressed")
      .parquet(f"{folder}/raw"))
     raw = spark.read.schema(RAW).parquet(f"{folder}/raw")
     table = rans.Table.of_counts(symbol_counts(raw, vocabulary))
