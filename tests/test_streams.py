@@ -6,6 +6,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge import schema as S
 from tidegauge.operators import admission as A
@@ -13,10 +14,10 @@ from tidegauge.operators import fleet as R
 from tidegauge.operators import frames as FR
 from tidegauge.operators import presence as P
 from tidegauge.sources.landing import stream_landing
-from tidegauge.sources.registry_table import read_registry
 from tidegauge.sources.tables import read_device_messages
 from tidegauge.streaming import pipelines as L
 from tidegauge.streaming import state as ST
+from tidegauge.streaming.stores import read_registry, read_state
 
 
 def feed(spark, tmp_path, df, order, parts=3):
@@ -170,23 +171,76 @@ def test_failing_policy_stops_the_stream(spark, tmp_path):
 
 
 def test_registry_follows_arrival_and_keeps_ids(spark, tmp_path):
-    landing, registry = str(tmp_path / "landing"), str(tmp_path / "registry")
+    landing, checkpoint = str(tmp_path / "landing"), str(tmp_path / "checkpoint")
 
     def run():
-        L.registry_stream(stream_landing(spark, landing), registry,
-                          str(tmp_path / "checkpoint")).awaitTermination()
-        return {r.mac_addr: (int(r.id) - 9 * 10**24, r.timestamp) for r in read_registry(spark, registry).collect()}
+        L.registry_stream(stream_landing(spark, landing), checkpoint).awaitTermination()
+        return {r.mac_addr: (int(r.id) - 9 * 10**24, r.timestamp)
+                for r in read_registry(spark, checkpoint).collect()}
 
     def arrive(offset, mac, ts):
         value = json.dumps({"mac_hex": mac, "timestamp_ms": ts})
         spark.createDataFrame([(0, offset, mac, value, 9)], S.LANDING).write.mode("append").parquet(landing)
 
-    assert read_registry(spark, registry) is None
+    assert read_registry(spark, checkpoint) is None
     arrive(5, "02c4f1907be5", 100)
     assert run() == {"02:c4:f1:90:7b:e5": (5, 100)}
     arrive(6, "02c4f1907be5", 50)
     arrive(7, "02c4f1907b00", 70)
     assert run() == {"02:c4:f1:90:7b:e5": (5, 50), "02:c4:f1:90:7b:00": (7, 70)}
+    assert run() == {"02:c4:f1:90:7b:e5": (5, 50), "02:c4:f1:90:7b:00": (7, 70)}  # nothing new
+    assert [r.timestamp for r in read_registry(spark, checkpoint, 0).collect()] == [100]
+
+
+def test_device_state_is_renewed_and_leaves_the_store(spark, tmp_path):
+    landing, checkpoint, gone = (str(tmp_path / n) for n in ("landing", "checkpoint", "gone"))
+
+    def run(*rows):
+        spark.createDataFrame([(m, v, t, 0, t) for m, v, t in rows], L.DELIVERED).coalesce(1).write.mode(
+            "append").parquet(landing)
+        L.state_stream(stream_landing(spark, landing, L.DELIVERED, max_files=1), checkpoint, "0 seconds",
+                       gone, state_ttl_ms=100, latest_ttl_ms=0).awaitTermination()
+        state = {r.key.removeprefix("device:"): (r.value, r.expires_at_ms)
+                 for r in read_state(spark, checkpoint).collect()}
+        return state, spark.read.format("statestore").load(checkpoint).count()
+
+    assert read_state(spark, checkpoint) is None
+    state, held = run(("a", "v1", 10_000), ("a", "v2", 10_050), ("b", "w1", 10_050))
+    assert state == {"a:state": ("online", 10_150), "a:latest": ("v2", None),
+                     "b:state": ("online", 10_150), "b:latest": ("w1", None)} and held == 4
+    state, held = run(("a", "v3", 10_149))  # a day of its own: b goes on until the watermark passes
+    assert state["a:state"] == ("online", 10_249) and state["a:latest"] == ("v3", None) and held == 4
+    state, held = run(("c", "u", 10_200))
+    assert set(state) == {"a:state", "a:latest", "b:latest", "c:state", "c:latest"} and held == 5
+    ended = {r.key: r.written_ms for r in spark.read.parquet(gone).collect()}
+    assert ended == {"device:b:state": 10_050}
+    state, held = run(("b", "w2", 20_000))  # comes back after it had expired
+    assert state["b:state"] == ("online", 20_100) and state["b:latest"] == ("w2", None)
+    assert set(state) == {"a:latest", "b:state", "b:latest", "c:latest"} and held == 4
+
+
+def test_producing_goes_on_when_state_cannot_be_kept(spark, tmp_path):
+    """State is a query of its own: it may fail for good while the other goes on."""
+    produced = str(tmp_path / "produced")
+    rows = [(1, bytes.fromhex("02c4f1907be5") + (10_000 + i).to_bytes(8, "big") + b"\0\0\0\1x", f"f{i}", "o",
+             10_000 + i, i, 0) for i in range(4)]
+    schema = ("stream_id long, frame binary, frame_id string, origin_id string, arrival_ms long, "
+              "offset long, partition int")
+    landing = str(tmp_path / "frames")
+    for part in (rows[:2], rows[2:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(landing)
+        L.edge_stream(stream_landing(spark, landing, schema), produced,
+                      str(tmp_path / "edge")).awaitTermination()
+        held = stream_landing(spark, f"{produced}/batch_id=*", L.DELIVERED)
+        broken = L.state_stream(held.withColumn("value", F.raise_error(F.lit("no store"))),
+                                str(tmp_path / "state"), "0 seconds")
+        with pytest.raises(Exception, match="no store"):
+            broken.awaitTermination()
+    assert spark.read.parquet(f"{produced}/batch_id=*").count() == 4
+    held = stream_landing(spark, f"{produced}/batch_id=*", L.DELIVERED)
+    L.state_stream(held, str(tmp_path / "state-2"), "0 seconds").awaitTermination()
+    assert {r.key for r in read_state(spark, str(tmp_path / "state-2")).collect()} == {
+        "device:02c4f1907be5:state", "device:02c4f1907be5:latest"}
 
 
 def test_idle_sessions(spark, tmp_path):

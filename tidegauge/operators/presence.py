@@ -104,6 +104,15 @@ def device_online(df: DataFrame, key: str, ms: str, as_of: Column,
     return seen.withColumn("online", online)
 
 
+def state_entries(device: Column, value: Column, state_ttl_ms: int, latest_ttl_ms: int) -> Column:
+    """The two entries a message writes: key, value and time to live."""
+    def entry(name: str, content: Column, ttl: int) -> Column:
+        return F.struct(F.concat(F.lit("device:"), device, F.lit(f":{name}")).alias("key"),
+                        content.alias("value"), F.lit(ttl).cast("bigint").alias("ttl_ms"))
+
+    return F.array(entry("state", F.lit("online"), state_ttl_ms), entry("latest", value, latest_ttl_ms))
+
+
 def device_state(df: DataFrame, key: str, value: str, ms: str,
                  state_ttl_ms: int = S.DEVICE_ONLINE_TTL_MS,
                  latest_ttl_ms: int = S.DEVICE_LATEST_TTL_MS) -> DataFrame:
@@ -113,15 +122,10 @@ def device_state(df: DataFrame, key: str, value: str, ms: str,
     """
     last = df.groupBy(key).agg(F.max(ms).alias("written_ms"),
                                F.max_by(value, arrival_order()).alias(value))
-
-    def row(name: str, content: Column, ttl: int):
-        expiry = F.col("written_ms") + ttl if ttl > 0 else F.lit(None).cast("bigint")
-        return F.struct(F.concat(F.lit("device:"), F.col(key), F.lit(f":{name}")).alias("key"),
-                        content.alias("value"), expiry.alias("expires_at_ms"))
-
-    rows = F.array(row("state", F.lit("online"), state_ttl_ms),
-                   row("latest", F.col(value), latest_ttl_ms))
-    return last.select(F.inline(rows))
+    rows = last.select("written_ms", F.inline(
+        state_entries(F.col(key), F.col(value), state_ttl_ms, latest_ttl_ms)))
+    expiry = F.when(F.col("ttl_ms") > 0, F.col("written_ms") + F.col("ttl_ms"))
+    return rows.select("key", "value", expiry.alias("expires_at_ms"))
 
 
 def alive(state: DataFrame, as_of: Column) -> DataFrame:

@@ -8,13 +8,13 @@ from tidegauge import fixtures as X
 from tidegauge import schema as S
 from tidegauge.functions.payload import epoch_us
 from tidegauge.operators import envelopes as E
-from tidegauge.operators import registry as R
 from tidegauge.queries.catalog import register
-from tidegauge.queries.registry_queries import LATEST, connections, halves
+from tidegauge.queries.registry_queries import LATEST
 from tidegauge.session import scratch
 from tidegauge.sources import landing as L
-from tidegauge.sources import registry_table as RT
 from tidegauge.sources import tables as T
+from tidegauge.streaming import pipelines as P
+from tidegauge.streaming import stores
 
 MESSAGES = """SELECT mac_addr, timestamp_ms, event_us, lower(hex(payload)) AS payload_hex,
     created_at FROM storage WHERE error IS NULL"""
@@ -107,11 +107,12 @@ def quarantine(spark, d):
 
 @register(f"""SELECT CAST(first_seen AS VARCHAR) AS id, mac_addr, "timestamp" FROM ({LATEST})""")
 def read_registry(spark, d):
-    """The registry after two snapshots, the second one written twice. All rows of a device share
-    a topic partition here, so ids do not depend on where the batches are split."""
-    path = scratch(spark, "registry")
-    first, second = halves(spark, d)
-    RT.upsert_registry(R.latest_per_device(first), path, 0)
-    RT.upsert_registry(R.latest_per_device(second), path, 1)
-    RT.upsert_registry(R.latest_per_device(second), path, 1)
-    return RT.registry_rows(RT.read_registry(spark, path))
+    """The registry of a stream that stops, finds more rows when it starts again, and then none."""
+    path, checkpoint = scratch(spark, "landing"), scratch(spark, "registry-checkpoint")
+    rows = X.envelopes(spark, d)
+    middle = X.table(spark, d, "events").agg(F.expr("max(event_id) DIV 2")).scalar()
+    for part in (rows.filter(F.col("offset") < middle), rows.filter(F.col("offset") >= middle), None):
+        if part is not None:
+            part.write.mode("append").parquet(path)
+        P.registry_stream(L.stream_landing(spark, path), checkpoint).awaitTermination()
+    return stores.registry_rows(stores.read_registry(spark, checkpoint))

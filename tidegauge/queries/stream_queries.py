@@ -21,25 +21,27 @@ from tidegauge.queries.registry_queries import LATEST
 from tidegauge.queries.source_queries import MESSAGES, shown
 from tidegauge.session import scratch
 from tidegauge.sources.landing import stream_landing
-from tidegauge.sources.registry_table import read_registry, read_state, registry_rows
 from tidegauge.sources.tables import read_device_messages
 from tidegauge.streaming import pipelines as P
 from tidegauge.streaming import state as ST
+from tidegauge.streaming.stores import read_registry, read_state, registry_rows
 
 
 BATCHES = 3
+FILE_ROWS = 8_000  # rows of a file that a stream reads
 
 
 def streamed(spark, df, name, order):
     """A stream of the rows of a table in as many micro-batches, cut along ``order``."""
     path = scratch(spark, name)
-    low, high = df.agg(F.min(order), F.max(order)).first()
+    low, high, rows = df.agg(F.min(order), F.max(order), F.count("*")).first()
     step = ((high or 0) - (low or 0)) // BATCHES + 1
-    for i in range(BATCHES):  # one file each, one after the other: the source takes them by age
+    files = max(1, rows // (BATCHES * FILE_ROWS))
+    for i in range(BATCHES):  # one slice after the other: the source takes files by age
         first = (low or 0) + i * step
-        df.filter(F.col(order).between(first, first + step - 1)).coalesce(1).write.mode(
+        df.filter(F.col(order).between(first, first + step - 1)).repartition(files).write.mode(
             "append").parquet(path)
-    return stream_landing(spark, path, df.schema, max_files=1)
+    return stream_landing(spark, path, df.schema, max_files=files)
 
 
 def drained(spark, stream, name):
@@ -77,10 +79,9 @@ def ingest_stream_quarantine(spark, d):
 
 @register(f"""SELECT CAST(first_seen AS VARCHAR) AS id, mac_addr, "timestamp" FROM ({LATEST})""")
 def registry_stream(spark, d):
-    path = scratch(spark, "registry")
-    P.registry_stream(topic(spark, d), path,
-                      scratch(spark, "registry-checkpoint")).awaitTermination()
-    return registry_rows(read_registry(spark, path))
+    checkpoint = scratch(spark, "registry-checkpoint")
+    P.registry_stream(topic(spark, d), checkpoint).awaitTermination()
+    return registry_rows(read_registry(spark, checkpoint))
 
 
 def same_sql_as(name):
@@ -184,25 +185,37 @@ RELAY = {"ids": PQ.RELAY_IDS,
 def relay_stream(spark, d):
     """Peers each fresh message of the topic is passed on to."""
     sent = scratch(spark, "sent")
-    P.relay_stream(topic(spark, d), X.peers(spark, d), sent, scratch(spark, "relay-state"),
+    P.relay_stream(topic(spark, d), X.peers(spark, d), sent, scratch(spark, "delivered"),
                    scratch(spark, "relay-checkpoint")).awaitTermination()
     return spark.read.parquet(f"{sent}/batch_id=*").select("offset", "peer_id")
 
 
-STATE = """SELECT 'device:' || mac_hex || ':state' AS key, 'online' AS value,
+LATE = "10 minutes"
+STATE = """SELECT * FROM (
+    SELECT 'device:' || mac_hex || ':state' AS key, 'online' AS value,
       max(arrival_ms) + 60000 AS expires_at_ms FROM written GROUP BY mac_hex
     UNION ALL SELECT 'device:' || mac_hex || ':latest', arg_max(value, "offset"),
-      max(arrival_ms) + 86400000 FROM written GROUP BY mac_hex"""
+      max(arrival_ms) + 86400000 FROM written GROUP BY mac_hex)
+    WHERE expires_at_ms > (SELECT max(arrival_ms) - 600000 FROM written)"""
+
+
+def state_of(spark, table):
+    """Device state of the delivered rows, as a stream that is stopped and started again."""
+    checkpoint = scratch(spark, "state-checkpoint")
+    for _ in range(2):
+        rows = stream_landing(spark, f"{table}/batch_id=*", P.DELIVERED, max_files=1)
+        P.state_stream(rows, checkpoint, LATE).awaitTermination()
+    return read_state(spark, checkpoint)
 
 
 @register(STATE, recursive=True, extra={
     **RELAY, "written": """SELECT r.* FROM relay r JOIN fresh USING ("partition", "offset")"""})
 def relay_state(spark, d):
-    """The state of each device after all micro-batches, one row per key."""
-    state = scratch(spark, "relay-state")
-    P.relay_stream(topic(spark, d), X.peers(spark, d), scratch(spark, "sent"), state,
+    """The state of each device after all micro-batches, one row per key that has not expired."""
+    delivered = scratch(spark, "delivered")
+    P.relay_stream(topic(spark, d), X.peers(spark, d), scratch(spark, "sent"), delivered,
                    scratch(spark, "relay-checkpoint")).awaitTermination()
-    return read_state(spark, state)
+    return state_of(spark, delivered)
 
 
 @register("""SELECT "partition", "offset", mac_addr, timestamp_ms FROM storage
@@ -260,19 +273,16 @@ EDGE_VALUE = f"""to_json({{'mac_addr': {O.colon('mac12')}, 'mac_hex': mac12,
           recursive=True, extra=EDGE_CTES)
 def edge_stream(spark, d):
     """Topic rows made of device frames, without repeats."""
-    produced, _ = run_edge(spark, d)
-    return spark.read.parquet(f"{produced}/batch_id=*").select("key", "value")
+    return spark.read.parquet(f"{run_edge(spark, d)}/batch_id=*").select("key", "value")
 
 
-@register("""SELECT 'device:' || mac12 || ':state' AS key, 'online' AS value,
-      max(arrival_ms) + 60000 AS expires_at_ms FROM edge_kept GROUP BY mac12
-    UNION ALL SELECT 'device:' || mac12 || ':latest', arg_max(""" + EDGE_VALUE + """, "offset"),
-      max(arrival_ms) + 86400000 FROM edge_kept GROUP BY mac12""", recursive=True, extra={
+@register(STATE, recursive=True, extra={
     **EDGE_CTES, "edge_kept": PQ.fixed_sql("edge", "message_id", "arrival_ms", '"offset"',
-                                          S.SEEN_TTL_MS, EDGE_COLUMNS)})
+                                          S.SEEN_TTL_MS, EDGE_COLUMNS),
+    "written": f"""SELECT mac12 AS mac_hex, {EDGE_VALUE} AS value, arrival_ms, "offset" FROM edge_kept"""})
 def edge_state(spark, d):
-    """The state of each device after all micro-batches, one row per key."""
-    return read_state(spark, run_edge(spark, d)[1])
+    """The state of each device after all micro-batches, one row per key that has not expired."""
+    return state_of(spark, run_edge(spark, d))
 
 
 def run_edge(spark, d):
@@ -281,7 +291,7 @@ def run_edge(spark, d):
         F.col("ts_ms").alias("arrival_ms"), F.col("event_id").alias("offset"),
         F.lit(0).alias("partition"), F.lit("n1").alias("origin_id"))
     frames = X.frames(spark, d).join(events, "event_id").drop("event_id")
-    produced, state = scratch(spark, "produced"), scratch(spark, "edge-state")
-    P.edge_stream(streamed(spark, frames, "edge-frames", "offset"), produced, state,
+    produced = scratch(spark, "produced")
+    P.edge_stream(streamed(spark, frames, "edge-frames", "offset"), produced,
                   scratch(spark, "edge-checkpoint")).awaitTermination()
-    return produced, state
+    return produced

@@ -3,18 +3,24 @@ keep independent positions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidegauge import schema as S
 from tidegauge.functions.jsonfields import evaluated_once
 from tidegauge.operators import envelopes as E
 from tidegauge.operators import frames as R
 from tidegauge.operators import gossip as G
-from tidegauge.operators import registry as D
-from tidegauge.operators.presence import dedupe_sliding, device_state
-from tidegauge.sources.registry_table import upsert_registry, write_state
+from tidegauge.operators.presence import dedupe_sliding
 from tidegauge.sources.tables import append_batch, append_messages
 from tidegauge.streaming.state import dedupe_fixed_stream, dedupe_sliding_stream
+from tidegauge.streaming.stores import registry_rows_of, state_sessions
+
+
+# What device state is made of: the rows that the relay and the edge have let through.
+DELIVERED = T.StructType([
+    T.StructField("mac_hex", T.StringType()), T.StructField("value", T.StringType()),
+    T.StructField("arrival_ms", T.LongType()), T.StructField("partition", T.IntegerType()),
+    T.StructField("offset", T.LongType())])
 
 
 def _trigger(writer, available_now: bool):
@@ -33,8 +39,6 @@ def ingest_stream(topic: DataFrame, table: str, quarantine: str, checkpoint: str
     batch that is repeated after a crash overwrites them, so each row is kept once.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         parsed = E.parse_envelopes(batch)
         if on_error == "fail":
             append_messages(E.device_messages(E.apply_bad_message_policy(parsed, "fail")), table,
@@ -53,35 +57,44 @@ def ingest_stream(topic: DataFrame, table: str, quarantine: str, checkpoint: str
     return _trigger(writer, available_now).start()
 
 
-def registry_stream(topic: DataFrame, registry: str, checkpoint: str, available_now: bool = True,
+def registry_stream(topic: DataFrame, checkpoint: str, available_now: bool = True,
                     on_error: str = "skip"):
-    """Topic rows to the device registry, each micro-batch reduced to one row per device."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        parsed = E.connections(E.parse_connections(batch))
-        good = E.apply_bad_message_policy(parsed, on_error)
-        upsert_registry(D.latest_per_device(good), registry, batch_id)
+    """Topic rows to the device registry, which ``stores.read_registry`` reads from the checkpoint."""
+    parsed = E.connections(E.parse_connections(topic))
+    registry = registry_rows_of(E.apply_bad_message_policy(parsed, on_error))
+    writer = (registry.writeStream.format("noop").outputMode("update")
+              .option("checkpointLocation", checkpoint))
+    return _trigger(writer, available_now).start()
 
-    writer = topic.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+def state_stream(messages: DataFrame, checkpoint: str, delay: str, expired: str | None = None,
+                 available_now: bool = True, **ttls: int):
+    """Messages (mac_hex, value, arrival_ms, partition, offset) to device state, which
+    ``stores.read_state`` reads from the checkpoint.
+
+    A query of its own beside the one that writes the messages: state that cannot be kept holds
+    nothing else back. Entries that expire go to the table ``expired``, if it is named.
+    """
+    writer = state_sessions(messages, delay, **ttls).writeStream.outputMode("append").option(
+        "checkpointLocation", checkpoint)
+    writer = writer.format("parquet").option("path", expired) if expired else writer.format("noop")
     return _trigger(writer, available_now).start()
 
 
-def relay_stream(topic: DataFrame, peers: DataFrame, sent: str, state: str, checkpoint: str,
+def relay_stream(topic: DataFrame, peers: DataFrame, sent: str, delivered: str, checkpoint: str,
                  ttl_ms: int = S.SEEN_TTL_MS, available_now: bool = True):
-    """Topic rows, without repeats, to device state and to the peers each is passed on to.
+    """Topic rows, without repeats, to the table ``delivered`` and to the peers each is passed on to.
 
     A row that names no message is one of its own: it gets an id made of its place in the topic.
+    Device state follows from the delivered rows, by ``state_stream``.
     """
     parsed = E.parse_edge_json(topic).filter("accepted")
     fresh = dedupe_fixed_stream(parsed, "message_id", "arrival_ms", "offset", ttl_ms)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         kept = batch.persist()
         try:
-            write_state(device_state(kept, "mac_hex", "value", "arrival_ms"), state, batch_id)
+            append_batch(kept.select(*DELIVERED.fieldNames()), delivered, batch_id)
             place = F.concat_ws("-", F.lit("topic"), "partition", "offset")
             named = F.coalesce(F.nullif("message_id", F.lit("")), place).alias("message_id")
             routed = G.rendezvous_fanout(kept.select(named, "partition", "offset"), peers)
@@ -136,8 +149,6 @@ def gossip_inbound_stream(packets: DataFrame, local_id: str, peers: DataFrame, d
     fresh = dedupe_sliding_stream(heard, list(G.GOSSIP_KEY), "arrival_ms", "seq", seen_ttl_ms)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         kept = batch.persist()
         try:
             append_batch(kept, delivered, batch_id)
@@ -149,26 +160,19 @@ def gossip_inbound_stream(packets: DataFrame, local_id: str, peers: DataFrame, d
     return _trigger(writer, available_now).start()
 
 
-def edge_stream(frames: DataFrame, produced: str, state: str, checkpoint: str,
+def edge_stream(frames: DataFrame, produced: str, checkpoint: str,
                 ttl_ms: int = S.SEEN_TTL_MS, available_now: bool = True):
-    """Device frames (stream_id, frame, message_id, origin, arrival_ms, offset) to topic rows.
+    """Device frames (stream_id, frame, message_id, origin, arrival_ms, offset) to topic rows, with
+    the message's device, time and place beside them.
 
-    The produced rows are written first and on their own: state that cannot be written does not
-    hold them back, it only makes the query repeat the batch.
+    Device state follows from the produced rows, by ``state_stream``: producing never waits for it.
     """
     messages = R.frames_to_messages(frames, F.col("arrival_ms"), F.col("origin_id"), F.col("frame_id"))
     fresh = dedupe_fixed_stream(messages, "message_id", "arrival_ms", "offset", ttl_ms)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        kept = batch.withColumn("key", F.col("mac_hex")).withColumn(
-            "value", E.to_envelope_json()).persist()
-        try:
-            append_batch(kept.select("key", "value"), produced, batch_id)
-            write_state(device_state(kept, "mac_hex", "value", "arrival_ms"), state, batch_id)
-        finally:
-            kept.unpersist()
+        rows = batch.withColumns({"key": F.col("mac_hex"), "value": E.to_envelope_json()})
+        append_batch(rows.select("key", *DELIVERED.fieldNames()), produced, batch_id)
 
     writer = fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(writer, available_now).start()
