@@ -85,6 +85,32 @@ def presence(spark, sf_dir) -> DataFrame:
     return _events(spark, sf_dir).select("mac12", "ts_ms", "event_id")
 
 
+# Rules on payloads: rule_id, path, comparison, threshold and how long it has to hold.
+READING_RULES = [
+    (1, "$.load", ">", 9000.0, 0), (2, "$.load", ">=", 2500.0, 6 * 3_600_000),
+    (3, "$.status.k", "<", 50.0, 12 * 3_600_000), (4, "$.status.k", "<>", 7.0, 3 * 86_400_000),
+    (5, "$.load", "<=", 12_000.0, 2 * 86_400_000), (6, "$.status.k", "=", 13.0, 0),
+    (7, "$.none", ">", 0.0, 0),
+]
+
+
+def reading_rules(spark) -> DataFrame:
+    return spark.createDataFrame(
+        READING_RULES, "rule_id int, path string, op string, threshold double, hold_ms bigint")
+
+
+def readings(spark, sf_dir) -> DataFrame:
+    """Messages with a JSON payload; some lack the metric, some are no JSON."""
+    return _events(spark, sf_dir).select(
+        "mac12", "ts_ms", "event_id",
+        F.expr("""CASE WHEN event_id % 61 = 0 THEN 'no json' WHEN event_id % 50 = 0
+              THEN concat('{"load":"', event_id, '","status":', props, '}')
+              ELSE concat('{"load":', cast(round(value * 100) AS bigint), ',"status":', props, '}')
+              END""").alias("payload"),
+        F.expr("if(event_id % 61 = 0 OR event_id % 50 = 0, NULL, cast(round(value * 100) AS bigint))")
+        .alias("load"))
+
+
 def frames(spark, sf_dir) -> DataFrame:
     """Binary device frames, some with a wrong length and some cut short."""
     return _events(spark, sf_dir).select(

@@ -35,5 +35,5 @@ def register(sql: str | None = None, recursive: bool = False, extra: dict[str, s
 def load_all() -> None:
     from tidegauge.queries import (  # noqa: F401
         admission_queries, envelope_queries, fleet_queries, frame_queries, gossip_queries,
-        packet_queries, presence_queries, profile_queries, registry_queries, source_queries,
+        packet_queries, presence_queries, profile_queries, registry_queries, rule_queries, source_queries,
         stream_queries)

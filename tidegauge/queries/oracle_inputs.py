@@ -25,6 +25,10 @@ def node(k: str) -> str:
 EV = """SELECT event_id, user_id, event_type, value, props, printf('%012x', user_id) AS mac12,
                epoch_us(ts) // 1000 AS ts_ms FROM events"""
 
+READINGS = """SELECT mac12, ts_ms, event_id,
+  CASE WHEN event_id % 61 <> 0 AND event_id % 50 <> 0 THEN CAST(round(value * 100) AS BIGINT) END AS load,
+  CASE WHEN event_id % 61 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM ev"""
+
 TOPIC = f"('iota/node-' || (user_id % 4) || '/devices/' || {colon('mac12', '-')} || '/telemetry')"
 
 ENVELOPES = f"""
@@ -332,7 +336,7 @@ CTES = {
     "fx_frames": FRAMES, "fx_tunnel": TUNNEL, "fx_gossip": GOSSIP, "fx_arrivals": ARRIVALS,
     "fx_mqtt": MQTT, "fx_packets": PACKETS, "fx_rules": RULES_SQL, "fx_routes": ROUTES,
     "fx_adverts": ADVERTS, "fx_route_events": ROUTE_EVENTS, "fx_ingress": INGRESS,
-    "fx_links": LINKS, "fx_origins": ORIGINS, "fx_peers": PEERS, "fx_hellos": HELLOS,
+    "fx_readings": READINGS, "fx_links": LINKS, "fx_origins": ORIGINS, "fx_peers": PEERS, "fx_hellos": HELLOS,
 }
 
 
