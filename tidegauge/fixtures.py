@@ -320,6 +320,15 @@ def route_events(spark, sf_dir) -> DataFrame:
     )
 
 
+def fleet_log(spark, sf_dir) -> DataFrame:
+    """Adverts and health events of the owners' routes in one order."""
+    return adverts(spark, sf_dir).join(
+        _events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.expr(
+            """CASE WHEN event_id % 3 = 0 OR event_type = 'signup' THEN 'advert'
+                 WHEN event_type = 'click' THEN 'attempt' WHEN event_type = 'view' THEN 'success'
+                 WHEN event_type = 'error' THEN 'failure' ELSE 'disconnect' END""").alias("kind")), "seq")
+
+
 def ingress(spark, sf_dir) -> DataFrame:
     return _events(spark, sf_dir).select(
         F.expr("user_id % 10").alias("node"),

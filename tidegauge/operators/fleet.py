@@ -198,6 +198,16 @@ def resolve_next_hop(routes: DataFrame, targets: DataFrame | None = None) -> Dat
 
 # --- merging and health -------------------------------------------------------------------
 
+def heard_adverts(adverts: DataFrame, max_hops: int = S.MAX_ROUTE_HOPS) -> DataFrame:
+    """Adverts that count: of a valid node within the hop limit, with ``hops`` as seen from here and
+    without a source that is none."""
+    source_valid = node_valid(F.col("source"))
+    return (adverts.filter(node_valid(F.col("node")))
+            .withColumn("hops", local_hops(source_valid, F.col("connected"), F.col("advertised_hops")))
+            .filter(F.col("hops") <= max_hops)
+            .withColumn("source", F.when(source_valid, F.col("source"))))
+
+
 def merge_routes(adverts: DataFrame) -> DataFrame:
     """Route table that adverts add up to, one row per (owner, node).
 
@@ -207,13 +217,11 @@ def merge_routes(adverts: DataFrame) -> DataFrame:
     a first advert that is linked keeps its own; adverts after a link change no path. Adverts over
     the hop limit do not count.
     """
-    source_valid = node_valid(F.col("source"))
-    heard = (
-        adverts.filter(node_valid(F.col("node")))
-        .withColumn("hops", local_hops(source_valid, F.col("connected"), F.col("advertised_hops")))
-        .filter(F.col("hops") <= S.MAX_ROUTE_HOPS)
-        .withColumn("source", F.when(source_valid, F.col("source")))
-    )
+    return _merged(heard_adverts(adverts))
+
+
+def _merged(heard: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """``links`` (owner, node, seq) are the times at which a route was found to be linked."""
     path = F.struct("hops", "source")
     sourced = F.col("source").isNotNull()
     merged = heard.groupBy("owner", F.col("node.id").alias("node_id")).agg(
@@ -226,6 +234,10 @@ def merge_routes(adverts: DataFrame) -> DataFrame:
         F.min("seq").alias("_born"), F.min_by("connected", "seq").alias("_born_linked"),
         F.max(F.when(F.col("connected"), F.col("seq"))).alias("_linked"),
     )
+    if links is not None:
+        again = links.groupBy("owner", F.col("node.id").alias("node_id")).agg(F.max("seq").alias("_again"))
+        merged = merged.join(again, ["owner", "node_id"], "left").withColumn(
+            "_linked", F.greatest("_linked", "_again"))
     linked_later = F.coalesce(F.col("_linked") > F.col("_born"), F.lit(False))
     better = F.col("_best").isNotNull() & ~F.col("_born_linked") & (
         (F.col("_first.hops") == 0) | (F.col("_best.hops") < F.col("_first.hops")))
@@ -236,6 +248,27 @@ def merge_routes(adverts: DataFrame) -> DataFrame:
         F.when(~linked_later, chosen["source"]).alias("source"))
 
 
+def route_table(log: DataFrame) -> DataFrame:
+    """What each owner knows of each node after all adverts, attempts, successes, failures and
+    disconnects: address, path, report, state, counters, link and times.
+
+    ``log`` has owner, node, seq, ts_ms, kind and connected, and for adverts source,
+    advertised_hops and capability. Events before a node's first advert do not count. A link, also
+    one that a success tells of, puts the node one hop away for good: no later path is shorter.
+
+    All parts are aggregations that combine before they shuffle, so the events of one route may be
+    spread over any number of tasks.
+    """
+    known = log.filter(node_valid(F.col("node")))
+    heard = heard_adverts(known.filter("kind = 'advert'"))
+    others = known.filter("kind <> 'advert'")
+    links = others.filter("kind = 'success' AND connected").select("owner", "node", "seq")
+    columns = ["owner", F.col("node.id").alias("node"), "kind", "connected", "ts_ms", "seq"]
+    health = route_health(heard.select(*columns).unionByName(others.select(*columns)))
+    paths = _merged(heard, links).drop("last_seen_ms")
+    return paths.join(health.withColumnRenamed("node", "node_id"), ["owner", "node_id"])
+
+
 def route_health(events: DataFrame) -> DataFrame:
     """State of each (owner, node) after its events: advert, attempt, success, failure, disconnect.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import fixtures as X
 from tidegauge import schema as S
+from tidegauge.operators import bounded_routes as BR
 from tidegauge.operators import fleet as R
 from tidegauge.queries.catalog import register
 from tidegauge.sources import routes as SR
@@ -320,3 +321,74 @@ def write_route_snapshots(spark, d):
     return entries.groupBy("owner").agg(F.count("*").alias("entries"),
                                         present("capability").alias("capabilities"),
                                         present("source").alias("sources"))
+
+
+# A walk along each route's events, adverts and others, from its first advert on.
+TABLE_WALK = {
+    "lived": """SELECT *, row_number() OVER (PARTITION BY owner, node_id ORDER BY seq) AS rn FROM (
+        SELECT *, min(seq) FILTER (WHERE kind = 'advert') OVER (PARTITION BY owner, node_id) AS born
+        FROM fx_fleet_log WHERE kind <> 'advert' OR hops <= 8) WHERE seq >= born""",
+    "table_walk": """SELECT owner, node_id, rn, node, current_streams, hops AS hop_count,
+          source.id AS source_id, CASE WHEN connected THEN 'tried' ELSE 'new' END AS state,
+          0::BIGINT AS attempts, 0::BIGINT AS failures, connected AS linked, ts_ms AS seen,
+          0::BIGINT AS tried, CASE WHEN connected THEN ts_ms ELSE 0 END AS success
+        FROM lived WHERE rn = 1
+      UNION ALL
+      SELECT w.owner, w.node_id, e.rn, CASE WHEN e.kind = 'advert' THEN e.node ELSE w.node END,
+        CASE WHEN e.kind = 'advert' THEN coalesce(e.current_streams, w.current_streams)
+          ELSE w.current_streams END,
+        CASE WHEN e.kind IN ('advert', 'success') AND e.connected THEN 1
+          WHEN e.kind = 'advert' AND e.source IS NOT NULL AND NOT w.linked
+            AND (w.hop_count = 0 OR e.hops < w.hop_count) THEN e.hops ELSE w.hop_count END,
+        CASE WHEN e.kind IN ('advert', 'success') AND e.connected THEN NULL
+          WHEN e.kind = 'advert' AND e.source IS NOT NULL AND NOT w.linked
+            AND (w.hop_count = 0 OR e.hops < w.hop_count) THEN e.source.id ELSE w.source_id END,
+        CASE WHEN e.kind = 'success' OR e.kind = 'advert' AND e.connected THEN 'tried'
+          WHEN e.kind = 'advert' AND w.state = 'bad' THEN 'new'
+          WHEN e.kind = 'failure' AND w.failures + 1 >= 10 THEN 'bad'
+          WHEN e.kind = 'failure' AND w.success = 0 THEN 'new' ELSE w.state END,
+        CASE e.kind WHEN 'success' THEN 0 WHEN 'attempt' THEN w.attempts + 1 ELSE w.attempts END,
+        CASE WHEN e.kind = 'success' OR e.kind = 'advert' AND e.connected THEN 0
+          WHEN e.kind = 'failure' THEN w.failures + 1 ELSE w.failures END,
+        CASE WHEN e.kind IN ('failure', 'disconnect') THEN false
+          WHEN e.kind IN ('advert', 'success') AND e.connected THEN true ELSE w.linked END,
+        CASE WHEN e.kind IN ('advert', 'success') THEN e.ts_ms ELSE w.seen END,
+        CASE WHEN e.kind IN ('attempt', 'success', 'failure') THEN e.ts_ms ELSE w.tried END,
+        CASE WHEN e.kind = 'success' OR e.kind = 'advert' AND e.connected THEN e.ts_ms ELSE w.success END
+      FROM table_walk w JOIN lived e ON e.owner = w.owner AND e.node_id = w.node_id AND e.rn = w.rn + 1""",
+}
+TABLE_SQL = """SELECT owner, node_id, node.host AS host, node.port AS port, current_streams, hop_count,
+    source_id, state, attempts, failures, linked AS kcp_connected, seen AS last_seen_ms,
+    tried AS last_try_ms, success AS last_success_ms
+    FROM (SELECT *, max(rn) OVER (PARTITION BY owner, node_id) AS last_rn FROM table_walk)
+    WHERE rn = last_rn"""
+
+
+def shown_table(table):
+    return table.select(
+        "owner", "node_id", "node.host", "node.port",
+        F.col("capability.current_ingress_streams").cast("bigint").alias("current_streams"), "hop_count",
+        F.col("source.id").alias("source_id"), "state", F.col("attempts").cast("bigint").alias("attempts"),
+        F.col("failures").cast("bigint").alias("failures"), "kcp_connected", "last_seen_ms",
+        "last_try_ms", "last_success_ms")
+
+
+@register(TABLE_SQL, recursive=True, extra=TABLE_WALK)
+def route_table(spark, d):
+    """Adverts and health events folded into one table."""
+    return shown_table(R.route_table(X.fleet_log(spark, d)))
+
+
+@register(TABLE_SQL, recursive=True, extra=TABLE_WALK)
+def bounded_routes_room(spark, d):
+    """Tables with room for all their nodes: no route is ever dropped."""
+    return shown_table(BR.bounded_routes(X.fleet_log(spark, d)))
+
+
+ROOM = 4
+
+
+@register()
+def bounded_routes(spark, d):
+    """Tables that are full from their fifth node on."""
+    return shown_table(BR.bounded_routes(X.fleet_log(spark, d), ROOM))

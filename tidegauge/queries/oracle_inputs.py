@@ -284,6 +284,14 @@ SELECT 'n' || (user_id % 25) AS owner, user_id AS node,
   event_type = 'view' AND event_id % 2 = 0 AS connected, ts_ms, event_id AS seq
 FROM ev"""
 
+FLEET_LOG = """
+SELECT a.*, a.node.id AS node_id, CASE WHEN event_id % 3 = 0 OR event_type = 'signup' THEN 'advert'
+    WHEN event_type = 'click' THEN 'attempt' WHEN event_type = 'view' THEN 'success'
+    WHEN event_type = 'error' THEN 'failure' ELSE 'disconnect' END AS kind,
+  CAST(CASE WHEN connected THEN 1 WHEN source IS NULL THEN advertised_hops ELSE advertised_hops + 1 END
+    AS INTEGER) AS hops
+FROM fx_adverts a JOIN ev ON event_id = seq"""
+
 INGRESS = f"""
 SELECT user_id % 10 AS node, (user_id % 10) * 4294967296 + user_id + 1 AS stream_id,
   CASE event_type WHEN 'signup' THEN 'Connected' WHEN 'purchase' THEN 'Closed' ELSE 'Data' END
@@ -335,7 +343,7 @@ CTES = {
     "storage": STORAGE_CHECKED, "registry": REGISTRY, "relay": RELAY, "fx_presence": PRESENCE,
     "fx_frames": FRAMES, "fx_tunnel": TUNNEL, "fx_gossip": GOSSIP, "fx_arrivals": ARRIVALS,
     "fx_mqtt": MQTT, "fx_packets": PACKETS, "fx_rules": RULES_SQL, "fx_routes": ROUTES,
-    "fx_adverts": ADVERTS, "fx_route_events": ROUTE_EVENTS, "fx_ingress": INGRESS,
+    "fx_adverts": ADVERTS, "fx_route_events": ROUTE_EVENTS, "fx_fleet_log": FLEET_LOG, "fx_ingress": INGRESS,
     "fx_readings": READINGS, "fx_links": LINKS, "fx_origins": ORIGINS, "fx_peers": PEERS, "fx_hellos": HELLOS,
 }
 

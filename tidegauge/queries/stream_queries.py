@@ -10,7 +10,7 @@ from tidegauge import schema as S
 from tidegauge.operators import envelopes as E
 from tidegauge.operators import gossip as G
 from tidegauge.queries import admission_queries as AQ
-from tidegauge.queries import fleet_queries  # noqa: F401
+from tidegauge.queries import fleet_queries
 from tidegauge.queries import frame_queries  # noqa: F401
 from tidegauge.queries import gossip_queries as GQ
 from tidegauge.queries import oracle_inputs as O
@@ -23,6 +23,7 @@ from tidegauge.session import scratch
 from tidegauge.sources.landing import stream_landing
 from tidegauge.sources.tables import read_device_messages
 from tidegauge.streaming import pipelines as P
+from tidegauge.streaming import routes as ST_ROUTES
 from tidegauge.streaming import state as ST
 from tidegauge.streaming.stores import read_registry, read_state, registry_rows
 
@@ -150,6 +151,15 @@ def route_health_stream(spark, d):
     return last_of(health, ["owner", "node"], "upto_seq").drop("upto_seq")
 
 
+@register()
+def bounded_routes_stream(spark, d):
+    """The tables of ``bounded_routes`` as adverts arrive."""
+    rows = streamed(spark, X.fleet_log(spark, d), "fleet-log", "seq")
+    tables = drained(spark, ST_ROUTES.bounded_routes_stream(rows, fleet_queries.ROOM), "tables")
+    last = tables.groupBy("owner").agg(F.max("upto_seq").alias("upto_seq"))
+    return fleet_queries.shown_table(tables.join(last, ["owner", "upto_seq"]))
+
+
 @same_sql_as("reassemble_frames")
 def reassemble_frames_stream(spark, d):
     rows = streamed(spark, X.chunks(spark, d), "chunks", "seq")
