@@ -50,7 +50,7 @@ def first(p, rules):
     return None
 
 
-@pytest.mark.parametrize("unrolled, per_block, n", [(64, 1024, 40), (0, 1024, 40), (0, 7, 40), (64, 1024, 0)])
+@pytest.mark.parametrize("unrolled, per_block, n", [(64, 1024, 40), (0, 1024, 40), (0, 7, 40), (64, 1024, 0), (0, 1024, 400), (0, 50, 400)])
 def test_first_match_equals_a_plain_search(spark, monkeypatch, unrolled, per_block, n):
     monkeypatch.setattr(K, "RULES_UNROLLED", unrolled)
     monkeypatch.setattr(K, "RULES_PER_BLOCK", per_block)
@@ -65,6 +65,19 @@ def test_first_match_equals_a_plain_search(spark, monkeypatch, unrolled, per_blo
     assert {r.packet_id: r.rule_no for r in ranked} == {p: m and m[0] for p, m in want.items()}
 
 
+def test_work_per_packet_follows_the_sets_of_fields(spark):
+    """Ten thousand rules that ask for the same fields are one join."""
+    rules = spark.range(10_000).selectExpr(
+        "0 AS chain", "cast(id AS int) AS rule_no", "1 AS action", "concat('s', id) AS src", "'' AS dst",
+        "0 AS sport", "0 AS dport", "17 AS protocol", "'' AS ifname", "false AS extra", "0 AS syn", "0 AS ack",
+        "0 AS fin", "0 AS rst", "0 AS type", "0 AS code")
+    packets = spark.createDataFrame([("p", 0, "s9999", "d", 1, 2, 17, 0, 0, 0, 0, 0, 0, "i", "o", 5)], PACKET)
+    out = K.classify_packets(packets, rules)
+    assert out.first().rule_no == 9999
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1
+
+
 def test_log_lines_round_trip(spark, tmp_path):
     rnd = random.Random(2)
     packets = spark.createDataFrame(random_packets(rnd, 50), PACKET).selectExpr(

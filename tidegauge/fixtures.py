@@ -252,6 +252,20 @@ def rules(spark) -> DataFrame:
     return spark.createDataFrame(RULES, RULE_SCHEMA)
 
 
+def many_rules(spark, sf_dir) -> DataFrame:
+    """A rule for every customer, most of them narrow."""
+    return table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey").cast("bigint")).selectExpr(
+        "cast(k % 3 AS int) AS chain", "cast(k AS int) AS rule_no", "cast(k % 6 AS int) AS action",
+        "if(k % 11 = 0, '', concat('10.0.0.', k % 8)) AS src",
+        "if(k % 7 = 0, '', concat('10.1.0.', (k DIV 8) % 8)) AS dst",
+        "cast(if(k % 5 = 0, 0, 1024 + k % 5) AS int) AS sport",
+        "if(k % 4 = 0, 0, element_at(array(22, 80, 443, 53), cast((k DIV 3) % 4 AS int) + 1)) AS dport",
+        "if(k % 13 = 0, 0, element_at(array(6, 17, 1, 2, 50), cast((k DIV 5) % 5 AS int) + 1)) AS protocol",
+        "if(k % 10 = 1, concat('eth', k % 2), '') AS ifname", "k % 9 = 0 AS extra",
+        "cast(k % 2 AS int) AS syn", "cast((k DIV 2) % 2 AS int) AS ack", "0 AS fin", "0 AS rst",
+        "if(k % 4 = 1, 8, 0) AS type", "0 AS code")
+
+
 def _node(k: str) -> str:
     return (f"named_struct('host', concat('h', {k}), 'port', 9000 + {k} % 1000, "
             f"'id', lpad(lower(hex({k})), 64, '0'))")

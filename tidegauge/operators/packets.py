@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge import schema as S
+from tidegauge.session import checkpointed
 
 RULES_UNROLLED = 64
 RULES_PER_BLOCK = 1024
+BROADCAST_RULES = 200_000
 LOG_PATTERN = (r"^Time: (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})  From (\S+) To (\S+) "
                r"(\S+) PROTOCOL was (\S+)$")
 
@@ -96,28 +98,76 @@ def _unrolled(rules: list) -> Column:
 def classify_packets(packets: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``rule_no`` and ``rule_action`` of the first rule of the packet's chain to match.
 
-    Packets are neither multiplied nor shuffled. A short rule table, the usual case, becomes one
-    conditional expression. A longer one is joined by chain as an ordered list and searched in
-    place, in blocks: a later block counts only where the earlier ones had no match.
+    Packets are not multiplied. A short rule table, the usual case, becomes one conditional
+    expression. Of a longer one, rules that ask for the same fields are found by one equi-join.
     """
     few = rules.limit(RULES_UNROLLED + 1).collect()
     if len(few) <= RULES_UNROLLED:
         out = packets.withColumn("_hit", F.when(packet_ok(F.col), _unrolled(few)))
-        return out.select(*packets.columns, "_hit.rule_no", "_hit.rule_action")
-    out = packets.withColumn("_hit", F.lit(None).cast("struct<rule_no:int,rule_action:int>"))
-    for block in _rule_blocks(rules):
-        hits = F.filter("_rules", lambda r: matches(lambda f: r[f], F.col))
-        first = F.try_element_at(hits, F.lit(1))
-        found = F.when(
-            packet_ok(F.col) & first.isNotNull(),
-            F.struct(first["rule_no"].alias("rule_no"), first["action"].alias("rule_action")))
-        out = (out.join(F.broadcast(block), "chain", "left")
-               .withColumn("_hit", F.coalesce("_hit", found)).drop("_rules"))
+    else:
+        out = _tuple_space(packets, rules)
     return out.select(*packets.columns, "_hit.rule_no", "_hit.rule_action")
 
 
+# Packet columns that a group of rules may ask for, beside chain and protocol.
+_ASKED = {"src": ["src"], "dst": ["dst"], "sport": ["sport"], "dport": ["dport"],
+          "flags": ["syn", "ack", "fin", "rst"], "kind": ["type", "code"],
+          "in_if": ["in_if"], "out_if": ["out_if"]}
+
+
+def _asking(rules: DataFrame) -> DataFrame:
+    """Each rule once for every protocol and side it applies to, with ``_asks``: what it asks for.
+
+    The protocols are those that any rule can match. Ports mean nothing to ICMP and IGMP, flags are
+    TCP's, kinds those of ICMP and IGMP. A rule on the interface of a forwarded packet applies to
+    either side.
+    """
+    protocol = F.explode(F.when(F.col("protocol") == 0, F.array(*map(F.lit, S.PROTOCOLS))).otherwise(
+        F.array("protocol"))).alias("protocol")
+    rest = [c for c in ("chain", *RULE_FIELDS) if c != "protocol"]
+    each = rules.select(*rest, protocol).filter(F.col("protocol").isin(*S.PROTOCOLS))
+    side = F.when(F.col("ifname") == "", F.array(F.lit(""))).when(
+        F.col("chain") == 0, F.array(F.lit("in_if"))).when(
+        F.col("chain") == 1, F.array(F.lit("out_if"))).otherwise(F.array(F.lit("in_if"), F.lit("out_if")))
+    each = each.withColumn("_side", F.explode(side))
+    ported = F.col("protocol").isin(6, 17)
+    asked = {"src": F.col("src") != "", "dst": F.col("dst") != "",
+             "sport": ported & (F.col("sport") != 0), "dport": ported & (F.col("dport") != 0),
+             "flags": F.col("extra") & (F.col("protocol") == 6),
+             "kind": F.col("extra") & F.col("protocol").isin(1, 2)}
+    names = [F.when(on, F.lit(n)) for n, on in asked.items()]
+    return each.withColumns({"in_if": F.col("ifname"), "out_if": F.col("ifname")}).withColumn(
+        "_asks", F.concat_ws(",", *names, F.nullif("_side", F.lit(""))))
+
+
+def _tuple_space(packets: DataFrame, rules: DataFrame) -> DataFrame:
+    """Add ``_hit`` by tuple-space search: one equi-join for each set of fields that rules ask for.
+
+    The work per packet follows the number of such sets, at most 144, and not that of the rules. A
+    set's rules with the same values are one: the first of them. Its table is broadcast if it is
+    small, else joined by its keys.
+    """
+    asking = checkpointed(_asking(rules))
+    sets = {r["_asks"]: r["n"] for r in asking.groupBy("_asks").agg(F.count("*").alias("n")).collect()}
+    hit = F.lit(None).cast("struct<rule_no:int,rule_action:int>")
+    out = packets.withColumn("_hit", hit)
+    for asks in sorted(sets):
+        keys = ["chain", "protocol", *[c for n in asks.split(",") if n for c in _ASKED[n]]]
+        first = asking.filter(F.col("_asks") == asks).groupBy(*keys).agg(
+            F.min(F.struct("rule_no", F.col("action").alias("rule_action"))).alias("_found"))
+        first = F.broadcast(first) if sets[asks] <= BROADCAST_RULES else first
+        out = out.join(first, keys, "left").withColumn("_hit", F.least("_hit", "_found")).drop("_found")
+    return out.withColumn("_hit", F.when(packet_ok(F.col), F.col("_hit")))
+
+
 def first_match(packets: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same choice as a ranking: the smallest number among the matching rules."""
+    """The same choice as a ranking: the smallest number among the matching rules.
+
+    Rules are searched one by one in blocks; of more rules than a block has, by the sets of fields
+    they ask for.
+    """
+    if len(rules.select("chain").limit(RULES_PER_BLOCK + 1).collect()) > RULES_PER_BLOCK:
+        return _tuple_space(packets, rules).select(*packets.columns, "_hit.rule_no")
     out = packets.withColumn("rule_no", F.lit(None).cast("int"))
     for block in _rule_blocks(rules):
         numbers = F.transform("_rules", lambda r: F.when(

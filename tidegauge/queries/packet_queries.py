@@ -159,3 +159,25 @@ def code_name(spark, d):
         K.code_name(F.col("protocol"), S.PROTOCOLS, "unknown").alias("protocol_name"),
         K.code_name(F.col("action"), S.ACTIONS, "UNKNOWN").alias("action_name"))
     return named.withColumn("chain_code", K.name_code(F.col("chain_name"), S.CHAINS))
+
+
+MANY_RULES = """SELECT CAST(k % 3 AS INTEGER) AS chain, CAST(k AS INTEGER) AS rule_no,
+    CAST(k % 6 AS INTEGER) AS action, CASE WHEN k % 11 = 0 THEN '' ELSE '10.0.0.' || (k % 8) END AS src,
+    CASE WHEN k % 7 = 0 THEN '' ELSE '10.1.0.' || ((k // 8) % 8) END AS dst,
+    CASE WHEN k % 5 = 0 THEN 0 ELSE 1024 + k % 5 END AS sport,
+    CASE WHEN k % 4 = 0 THEN 0 ELSE [22, 80, 443, 53][CAST((k // 3) % 4 AS INTEGER) + 1] END AS dport,
+    CASE WHEN k % 13 = 0 THEN 0 ELSE [6, 17, 1, 2, 50][CAST((k // 5) % 5 AS INTEGER) + 1] END AS protocol,
+    CASE WHEN k % 10 = 1 THEN 'eth' || (k % 2) ELSE '' END AS ifname, k % 9 = 0 AS extra,
+    CAST(k % 2 AS INTEGER) AS syn, CAST((k // 2) % 2 AS INTEGER) AS ack, 0 AS fin, 0 AS rst,
+    CASE WHEN k % 4 = 1 THEN 8 ELSE 0 END AS type, 0 AS code
+    FROM (SELECT c_custkey AS k FROM customer)"""
+
+
+@register("""SELECT p.packet_id, p.chain, min(r.rule_no) AS rule_no, arg_min(r.action, r.rule_no) AS rule_action
+    FROM fx_packets p LEFT JOIN many_rules r ON r.chain = p.chain AND p.hdr_words >= 5 AND """
+          + f"{IFNAME} AND {IP} AND {TRANSPORT} GROUP BY p.packet_id, p.chain",
+          extra={"many_rules": MANY_RULES})
+def classify_packets_many(spark, d):
+    """A rule table as long as that of the customers."""
+    return K.classify_packets(X.packets(spark, d), X.many_rules(spark, d)).select(
+        "packet_id", "chain", "rule_no", "rule_action")
