@@ -17,6 +17,7 @@ from tidegauge.sources.landing import stream_landing
 from tidegauge.sources.tables import read_device_messages
 from tidegauge.streaming import pipelines as L
 from tidegauge.streaming import state as ST
+from tidegauge.streaming import stats as STATS
 from tidegauge.streaming.stores import read_registry, read_state
 
 
@@ -243,6 +244,34 @@ def test_producing_goes_on_when_state_cannot_be_kept(spark, tmp_path):
         "device:02c4f1907be5:state", "device:02c4f1907be5:latest"}
 
 
+def test_seen_ids_as_a_join_of_streams(spark, tmp_path):
+    rnd = random.Random(12)
+    seen = [(rnd.choice(["a", "b", "c", "", None]), 100_000 + 7 * i) for i in range(60)]
+    late = max(t for _, t in seen)
+    msgs = [(rnd.choice(["a", "b", "c", "d", "", None]), late + 3 * i, i) for i in range(200)]
+    sdf = spark.createDataFrame(seen, "message_id string, seen_ms long")
+    mdf = spark.createDataFrame(msgs, "message_id string, arrival_ms long, s long")
+    # Both streams go on long after the rows that count, so that all of them are decided.
+    s_end = spark.createDataFrame([("z", 10**9)], "message_id string, seen_ms long")
+    m_end = spark.createDataFrame([("z", 10**9, -1)], "message_id string, arrival_ms long, s long")
+    stream = ST.drop_seen_stream(feed(spark, tmp_path / "m", mdf.union(m_end), "arrival_ms"),
+                                 feed(spark, tmp_path / "n", sdf.union(s_end), "seen_ms"), "10 seconds", 300)
+    got = drain(spark, tmp_path, stream).filter("s >= 0")
+    columns = ("message_id", "arrival_ms", "s")
+    assert rows_of(got, *columns) == rows_of(P.drop_seen(mdf, sdf, 300), *columns)
+    with pytest.raises(ValueError):
+        ST.drop_seen_stream(mdf, sdf, "1 hour", 0)
+
+
+def test_batch_stats_are_those_of_the_batches(spark, tmp_path):
+    df = envelope_rows(spark, 0, 90)
+    got = STATS.batch_stats(spark, feed(spark, tmp_path, df, "offset"), str(tmp_path / "checkpoint")).collect()
+    sizes = [len(r.key) + len(r.value) for r in df.orderBy("offset").collect()]
+    assert [tuple(r) for r in got] == [(i, 30, sum(sizes[30 * i:30 * i + 30])) for i in range(3)]
+    assert STATS.batch_stats(spark, stream_landing(spark, str(tmp_path / "in")),
+                             str(tmp_path / "checkpoint")).count() == 0
+
+
 def test_idle_sessions(spark, tmp_path):
     df = spark.createDataFrame([("a", 0), ("a", 900), ("a", 1900), ("b", 50_000), ("b", 90_000)], "k string, t long")
     stream = ST.idle_sessions_stream(feed(spark, tmp_path, df, "t"), ["k"], "t", 1000,

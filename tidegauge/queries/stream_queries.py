@@ -21,10 +21,11 @@ from tidegauge.queries.registry_queries import LATEST
 from tidegauge.queries.source_queries import MESSAGES, shown
 from tidegauge.session import scratch
 from tidegauge.sources.landing import stream_landing
-from tidegauge.sources.tables import read_device_messages
+from tidegauge.sources.tables import read_device_messages, round_trip
 from tidegauge.streaming import pipelines as P
 from tidegauge.streaming import routes as ST_ROUTES
 from tidegauge.streaming import state as ST
+from tidegauge.streaming import stats as STATS
 from tidegauge.streaming.stores import read_registry, read_state, registry_rows
 
 
@@ -108,6 +109,35 @@ def dedupe_sliding_stream(spark, d):
                                                    PQ.GOSSIP_TTL_MS), "sliding")
 
 
+# What the join can have decided: rows well before the end of both streams.
+DECIDED = "(SELECT max(arrival_ms) - 7200000 FROM ids)"
+
+
+@register(f"""SELECT message_id, arrival_ms, "offset" FROM ids m
+    WHERE "offset" % 2 = 1 AND arrival_ms < {DECIDED} AND (coalesce(message_id, '') = '' OR NOT EXISTS (
+      SELECT 1 FROM ids s WHERE s."offset" % 2 = 0 AND s.message_id = m.message_id
+        AND s.arrival_ms <= m.arrival_ms AND s.arrival_ms > m.arrival_ms - {PQ.TTL}))""",
+          extra={"ids": PQ.IDS})
+def drop_seen_stream(spark, d):
+    """Every second message of the topic, unless the others have shown its id before."""
+    rows = round_trip(PQ.relay_ids(spark, d), "relay-ids")
+    msgs = streamed(spark, rows.filter("offset % 2 = 1"), "msgs", "offset")
+    seen = streamed(spark, rows.filter("offset % 2 = 0").select(
+        "message_id", F.col("arrival_ms").alias("seen_ms"), "offset"), "seen", "offset")
+    passed = drained(spark, ST.drop_seen_stream(msgs, seen, "1 hour", PQ.TTL), "passed")
+    last = rows.agg(F.max("arrival_ms") - 7_200_000).scalar()
+    return passed.filter(F.col("arrival_ms") < last).select("message_id", "arrival_ms", "offset")
+
+
+@register(f"""SELECT "offset" // step AS batch_id, count(*) AS "rows",
+    CAST(sum(octet_length(encode(key)) + octet_length(encode(value))) AS BIGINT) AS bytes
+    FROM fx_envelopes, (SELECT (max(event_id) - min(event_id)) // {BATCHES} + 1 AS step FROM events)
+    GROUP BY 1""")
+def stream_batch_stats(spark, d):
+    """Rows and bytes of each micro-batch, as a listener hears of them."""
+    return STATS.batch_stats(spark, topic(spark, d), scratch(spark, "stats-checkpoint"))
+
+
 SESSIONS = PQ.sessions_sql("mac12", "ts_ms", "fx_presence", PQ.TTL)
 
 

@@ -318,6 +318,29 @@ def dedupe_sliding_stream(df: DataFrame, keys, ms: str, seq: str, ttl_ms: int,
     return _dedupe(SlidingExpiry, df, keys, ms, seq, ttl_ms, delay)
 
 
+def drop_seen_stream(msgs: DataFrame, seen: DataFrame, delay: str,
+                     ttl_ms: int = S.SEEN_TTL_MS) -> DataFrame:
+    """Messages (message_id, arrival_ms, ...) whose id is not held by ``seen`` (message_id, seen_ms)
+    when they arrive: seen no later, and less than ``ttl_ms`` before.
+
+    A stream-stream outer join with a time range; both sides' state leaves with the watermark. A
+    message that nothing holds comes out once no earlier sighting can arrive any more, that is when
+    the slower stream has passed it by ``delay``. Messages without id, empty or NULL, pass at once.
+    """
+    if ttl_ms <= 0:
+        raise ValueError("a stream cannot hold ids for ever: name a time to live")
+    named, nameless = split_named(msgs, "message_id")
+    left = named.withColumn("_at", F.timestamp_millis("arrival_ms")).withWatermark("_at", delay)
+    held = (split_named(seen, "message_id")[0]
+            .select(F.col("message_id").alias("_id"), F.timestamp_millis("seen_ms").alias("_seen"))
+            .withWatermark("_seen", delay))
+    # Times are whole milliseconds: less than the time to live is at most one millisecond less.
+    held_at_arrival = ((F.col("message_id") == F.col("_id")) & (F.col("_seen") <= F.col("_at"))
+                       & (F.col("_seen") >= F.col("_at") - F.expr(f"INTERVAL {ttl_ms - 1} MILLISECOND")))
+    joined = left.join(held, held_at_arrival, "left_outer")
+    return joined.filter(F.col("_id").isNull()).select(*msgs.columns).union(nameless.select(*msgs.columns))
+
+
 def presence_changes(df: DataFrame, key: str, ms: str, seq: str,
                      ttl_ms: int = S.DEVICE_ONLINE_TTL_MS, delay: str | None = None) -> DataFrame:
     schema = T.StructType([df.schema[key], T.StructField("at_ms", LONG),
