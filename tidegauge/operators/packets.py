@@ -10,6 +10,7 @@ from tidegauge.session import checkpointed
 RULES_UNROLLED = 64
 RULES_PER_BLOCK = 1024
 BROADCAST_RULES = 200_000
+JOINS_PER_STAGE = 6
 LOG_PATTERN = (r"^Time: (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})  From (\S+) To (\S+) "
                r"(\S+) PROTOCOL was (\S+)$")
 
@@ -150,13 +151,18 @@ def _tuple_space(packets: DataFrame, rules: DataFrame) -> DataFrame:
     asking = checkpointed(_asking(rules))
     sets = {r["_asks"]: r["n"] for r in asking.groupBy("_asks").agg(F.count("*").alias("n")).collect()}
     hit = F.lit(None).cast("struct<rule_no:int,rule_action:int>")
-    out = packets.withColumn("_hit", hit)
-    for asks in sorted(sets):
-        keys = ["chain", "protocol", *[c for n in asks.split(",") if n for c in _ASKED[n]]]
-        first = asking.filter(F.col("_asks") == asks).groupBy(*keys).agg(
-            F.min(F.struct("rule_no", F.col("action").alias("rule_action"))).alias("_found"))
-        first = F.broadcast(first) if sets[asks] <= BROADCAST_RULES else first
-        out = out.join(first, keys, "left").withColumn("_hit", F.least("_hit", "_found")).drop("_found")
+    out, names = packets.withColumn("_hit", hit), sorted(sets)
+    for at in range(0, len(names), JOINS_PER_STAGE):
+        found = []
+        for i, asks in enumerate(names[at:at + JOINS_PER_STAGE]):
+            keys = ["chain", "protocol", *[c for n in asks.split(",") if n for c in _ASKED[n]]]
+            first = asking.filter(F.col("_asks") == asks).groupBy(*keys).agg(
+                F.min(F.struct("rule_no", F.col("action").alias("rule_action"))).alias(f"_found{i}"))
+            out = out.join(F.broadcast(first) if sets[asks] <= BROADCAST_RULES else first, keys, "left")
+            found.append(f"_found{i}")
+        # The lambda ends the generated method here: with all joins in one, it would not be compiled.
+        known = F.filter(F.array("_hit", *found), lambda x: x.isNotNull())
+        out = out.withColumn("_hit", F.array_min(known)).drop(*found)
     return out.withColumn("_hit", F.when(packet_ok(F.col), F.col("_hit")))
 
 
