@@ -197,7 +197,7 @@ HELD = {
        + " And more follows here.",
     3: ITEM.replace("from Hull", "from  Hull").upper().lower(),
     4: "Nothing of this kind is to be found in a text about gardens and the 120 flowers in them.",
-    5: ITEM.replace("drove 120", "drove 75").replace("60", "31"),  # the second 120 stays: torn
+    5: ITEM.replace("drove 120", "drove 75").replace("60", "31"),  # the second 120 stays: its windows do not count
 }
 
 
@@ -207,7 +207,32 @@ def test_other_values_are_found(spark):
     got = {r.doc_id: r for r in T.matches(docs, items).collect()}
     assert got[1].share == 1.0 and got[1].n_changed == 0 and got[1].n_values > 2
     assert got[2].n_changed == 3 and got[2].share == 1.0
-    assert 4 not in got and 5 not in got
+    assert 4 not in got
+    words = ITEM.split()
+    marked = {"120", "60", "2", "km", "hours", "Hull", "York", "Leeds,", "Ann"}
+    usable = [words[i:i + 8] for i in range(len(words) - 7)
+              if sum(w not in marked or i + k == 0 for k, w in enumerate(words[i:i + 8])) >= T.MIN_LITERALS]
+    assert got[5].n_windows == len(usable) and got[5].n_changed == 1
+    assert got[5].n_matched == sum("120" not in w for w in usable)
+
+
+def test_one_torn_value_does_not_lose_the_rest(spark):
+    item = "Tom bought 2 apples at 2 dollars and gave all of them to his old aunt."
+    text = item.replace("2 apples", "3 apples").replace("2 dollars", "4 dollars")
+    docs = spark.createDataFrame([(1, text), (2, text.replace("aunt", "uncle").replace("gave", "sold"))],
+                                 "doc_id long, text string")
+    got = T.matches(docs, spark.createDataFrame([(9, item)], "item_id long, text string"),
+                    min_share=0.2).collect()
+    assert [(r.doc_id, r.n_windows, r.n_matched) for r in got] == [(1, 9, 3)]  # those without a 2
+
+
+def test_a_long_run_counts_beside_the_share(spark):
+    item = " ".join(f"word{i} of" for i in range(60))
+    part = " ".join(item.split()[40:60])
+    docs = spark.createDataFrame([(1, f"Before it. {part} and after"), (2, " ".join(item.split()[40:59]))],
+                                 "doc_id long, text string")
+    got = T.matches(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.longest_run) for r in got] == [(1, 13)] and got[0].share < T.MIN_SHARE
 
 
 def test_short_items_are_found_inside_documents(spark):

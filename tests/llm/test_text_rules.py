@@ -64,7 +64,13 @@ def test_junk_goes_and_prose_stays():
 PAGES = {
     "<p>One<p>Two <b>bold</b><br>line": "One\n\nTwo bold\nline",
     "<ul><li>a<li>b<ol><li>x<li value=7>y</ol><li>c</ul>": "* a\n* b\n    1. x\n    7. y\n* c",
-    "a<div hidden>no</div><p style='display: none'>no</p><span aria-hidden=true>no</span>b": "ab",
+    "a<div hidden>no</div><p style='display: none'>no</p><span aria-hidden=true>yes</span>b": "ayesb",
+    "<p>Size <select><optgroup><option>small<option selected>large</select> now": "Size\nsmall\nlarge\nnow",
+    "<form>Name<textarea>two  \nlines &amp;</textarea>end</form>": "Name\ntwo\nlines &\nend",
+    "a<svg><title>no</title><defs><text>no</text></defs><text>Axis <tspan>x</tspan></text><text>y</text></svg>b":
+        "a\nAxis x\ny\nb",
+    "so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> holds": "so x=2 holds",
+    "<p>a<xmp>if (a<b)\n  &amp;</xmp>b": "a\n\nif (a<b)\n  &amp;\nb",
     "<title>no</title><script>if(a<b)</script><style>p{}</style>yes": "yes",
     "<table><caption>Cap</caption><tr><td>Name<td>Long value<tr><td>x<td>y<td>z</table>":
         "Cap\nName  Long value\nx     y           z",

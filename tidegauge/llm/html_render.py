@@ -21,11 +21,14 @@ from tidegauge.llm.tables import numbered, spelled
 # Element names by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = set("head title script style template noscript iframe object audio video canvas svg math "
-             "datalist select noembed noframes textarea".split())
+# What a browser never paints: heads, code, fallbacks for what it can show itself, and the parts of
+# drawings and formulas that only describe them.
+HIDDEN = set("head title script style template noscript iframe object audio video canvas datalist "
+             "noembed noframes defs desc metadata symbol annotation annotation-xml".split())
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset "
             "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu "
-            "nav ol p pre section summary table ul caption tr".split())
+            "nav ol option optgroup p pre section summary table text textarea ul xmp caption "
+            "tr".split())
 SPACED = set("p blockquote h1 h2 h3 h4 h5 h6 ul ol dl pre table figure".split())
 # A start tag closes open elements of these names, searched for no further than the stops.
 CLOSES = {
@@ -42,7 +45,8 @@ CLOSES = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, set()),
 }
-ENDS_PARAGRAPH = BLOCK - {"body", "html", "tr", "caption"}
+ENDS_PARAGRAPH = BLOCK - {"body", "html", "tr", "caption", "option", "optgroup", "text", "textarea"}
+KEEPS_SPACE = {"pre", "textarea", "xmp"}
 WALLS = {"td", "th", "table", "caption", "button", "body", "html"}
 
 _BEGIN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
@@ -118,8 +122,9 @@ def tree(page: str) -> Node:
         _open(stack, tag, page[found.end():inside])
         if tag in RAW and stack[-1].tag == tag:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            if tag in ("title", "textarea"):
-                _add_text(stack, html.unescape(page[at:close.start() if close else len(page)]))
+            if tag in ("title", "textarea", "xmp"):
+                raw = page[at:close.start() if close else len(page)]
+                _add_text(stack, raw if tag == "xmp" else html.unescape(raw))
             at = close.end() if close else len(page)
             stack.cut(len(stack) - 1)
 
@@ -184,7 +189,7 @@ def visible(node: Node) -> bool:
         return False
     if not node.attributes:
         return True
-    if node.tag == "input" or node.attribute("aria-hidden") == "true":
+    if node.tag == "input":
         return False
     names = [m[0].lower() for m in _ATTRIBUTE.findall(node.attributes)]
     if "hidden" in names or node.tag == "dialog" and "open" not in names:
@@ -317,7 +322,7 @@ def _walk(root: Node, page: Page) -> None:
                 number += 1
                 children.append(("enter", _marked(child, mark), inner, pre))
             else:
-                children.append(("enter", child, inner, pre or tag == "pre"))
+                children.append(("enter", child, inner, pre or tag in KEEPS_SPACE))
         if tag == "li":
             mark = node.attributes if node.attributes.startswith("\0") else "* "
             page.mark = mark.lstrip("\0")
@@ -424,6 +429,10 @@ def page_text(page: str | None) -> str:
 def visible_text(pages: DataFrame, page_id: str = "page_id", page: str = "html") -> DataFrame:
     """``page_id, text, n_blocks, n_chars`` of each row of ``pages``.
 
+    Left out is what a browser does not paint: elements named in ``HIDDEN``, closed dialogs, and what
+    the ``hidden`` attribute or an inline style hides (style sheets are not read). Forms, drawings and
+    formulas show their text: options, text areas and labels of drawings on lines of their own.
+
     A NULL or empty page gives an empty text without blocks (paragraphs between blank lines). Rows
     are rendered each by itself and whole: repeated rows repeat, a NULL id stays NULL, other columns
     are not read, an empty table gives no rows. Broken markup never fails: what is not a tag is text.

@@ -4,18 +4,20 @@ Texts and benchmark items are brought to one template form: white space runs to
 numbers, capitalised words inside a sentence and units after a number to typed placeholders, the
 rest to lower case without punctuation. Windows of template words are joined by equality. What the
 placeholders stand for must then fit: along one alignment of an item and a text, equal values of the
-item must have equal values in the text. All of it is SQL expressions.
+item must have equal values in the text. Windows that touch a value for which they do not are left
+out, the others count. All of it is SQL expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge import session
 
 WINDOW = 8
 MIN_LITERALS = 4
 MIN_SHARE = 0.3
+MIN_RUN = 13  # windows in a row: 20 words
 BROADCAST_WINDOWS = 1 << 18
 BROADCAST_DOCS = 1 << 16
 
@@ -133,12 +135,15 @@ def literals(template: Column) -> Column:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
-            min_literals: int = MIN_LITERALS, min_share: float = MIN_SHARE) -> DataFrame:
-    """``doc_id, item_id, n_windows, n_matched, share, n_values, n_changed`` of contaminated texts.
+            min_literals: int = MIN_LITERALS, min_share: float = MIN_SHARE,
+            min_run: int = MIN_RUN) -> DataFrame:
+    """``doc_id, item_id, n_windows, n_matched, share, longest_run, n_values, n_changed`` of
+    contaminated texts.
 
     A document holds an item if at least ``min_share`` of the item's windows (those with enough
-    literal words) are found in it with consistent values; ``n_values`` counts the different values
-    of the item that were compared, ``n_changed`` those that the document has otherwise. Documents
+    literal words) are found in it with consistent values, or ``min_run`` windows in a row;
+    ``n_values`` counts the different values of the item that are consistent along an alignment,
+    ``n_changed`` those that the document has otherwise. Documents
     that hold none give no row. NULL and empty texts hold nothing; an item without a usable window is
     never found; an item shorter than a window is one window of its own length; repeated rows of a document or an item count once; NULL ids are ids; empty tables
     give no rows. Columns besides doc_id, item_id and text are not read.
@@ -174,26 +179,40 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     # Per alignment: which places matched, and each value of the item with the text's values for it.
     slots = (_with_words(docs, hits.filter(F.contains(F.col("template"), F.lit("<")))).select(*aligned, F.explode(words).alias("w"))
              .groupBy(*aligned, "w.t", "w.a")
-             .agg(F.min("w.b").alias("low"), F.max("w.b").alias("high"))
-             .groupBy(*aligned)
-             .agg(F.max(F.col("low") != F.col("high")).alias("torn"),
-                  F.count("*").alias("n_values"),
-                  F.count_if((F.col("low") != F.col("a")) | (F.col("high") != F.col("a")))
-                  .alias("n_changed")))
-    fits = hits.select(*aligned, "item_place").distinct().join(
+             .agg(F.min("w.b").alias("low"), F.max("w.b").alias("high")))
+    folder = session.scratch(docs.sparkSession, "template-slots")
+    slots.groupBy(*aligned).agg(
+        F.collect_set(F.when(F.col("low") != F.col("high"), F.struct("t", "a"))).alias("torn"),
+        F.count_if(F.col("low") == F.col("high")).alias("n_values"),
+        F.count_if((F.col("low") == F.col("high")) & (F.col("low") != F.col("a"))).alias("n_changed")
+    ).write.parquet(folder)
+    slots = docs.sparkSession.read.parquet(folder)
+    # An item has a bounded number of values, so a list of those that are torn is short.
+    own = F.arrays_zip(F.split("template", " ", -1).alias("t"), values(F.col("item_words")).alias("a"))
+    fits = hits.select(*aligned, "item_place", own.alias("own")).distinct().join(
         slots.select(*[F.col(c).alias(f"s_{c}") for c in aligned], "torn", "n_values", "n_changed"),
         F.col("doc_id").eqNullSafe(F.col("s_doc_id"))
         & F.col("item_id").eqNullSafe(F.col("s_item_id"))
         & F.col("shift").eqNullSafe(F.col("s_shift")), "left")
-    found = (fits.filter("NOT coalesce(torn, false)").groupBy("doc_id", "item_id")
+    fits = fits.filter(~F.coalesce(F.arrays_overlap("own", "torn"), F.lit(False)))
+    # Places of an alignment that follow each other: as many rows as the item has windows.
+    place = F.row_number().over(Window.partitionBy(*aligned).orderBy("item_place"))
+    runs = (fits.select(*aligned, "item_place").distinct()
+            .withColumn("run", F.col("item_place") - place).groupBy("doc_id", "item_id", "shift", "run")
+            .count().groupBy("doc_id", "item_id").agg(F.max("count").alias("longest_run"))
+            .withColumnsRenamed({"doc_id": "r_doc_id", "item_id": "r_item_id"}))
+    found = (fits.groupBy("doc_id", "item_id")
              .agg(F.countDistinct("item_place").alias("n_matched"),
                   F.max(F.coalesce("n_values", F.lit(0))).alias("n_values"),
-                  F.max(F.coalesce("n_changed", F.lit(0))).alias("n_changed")))
+                  F.max(F.coalesce("n_changed", F.lit(0))).alias("n_changed"))
+             .join(runs, F.col("doc_id").eqNullSafe(F.col("r_doc_id"))
+                   & F.col("item_id").eqNullSafe(F.col("r_item_id"))))
     totals = totals.withColumnRenamed("item_id", "t_item_id")
     return (found.join(totals, F.col("item_id").eqNullSafe(F.col("t_item_id")))
-            .filter(F.col("n_matched") >= min_share * F.col("n_windows"))
+            .filter((F.col("n_matched") >= min_share * F.col("n_windows"))
+                    | (F.col("longest_run") >= min_run))
             .select("doc_id", "item_id", "n_windows", "n_matched",
-                    (F.col("n_matched") / F.col("n_windows")).alias("share"),
+                    (F.col("n_matched") / F.col("n_windows")).alias("share"), "longest_run",
                     "n_values", "n_changed"))
 
 
@@ -255,7 +274,7 @@ def _windows_sql(table: str, key: str, size: int) -> str:
 
 
 def matches_sql(size: int = WINDOW, min_literals: int = MIN_LITERALS,
-                min_share: float = MIN_SHARE) -> str:
+                min_share: float = MIN_SHARE, min_run: int = MIN_RUN) -> str:
     return f"""
 WITH {_windows_sql('benchmark', 'item_id', size)}, {_windows_sql('documents', 'doc_id', size)},
 asked AS (
@@ -273,17 +292,29 @@ by_value AS (
   SELECT doc_id, item_id, shift, t, a, count(DISTINCT b) AS n, count_if(a <> b) > 0 AS changed
   FROM pairs GROUP BY ALL),
 slots AS (
-  SELECT doc_id, item_id, shift, max(n) > 1 AS torn, count(*) AS n_values,
-         count_if(changed) AS n_changed FROM by_value GROUP BY ALL),
-found AS (
-  SELECT h.doc_id, h.item_id, count(DISTINCT item_place) AS n_matched,
-         CAST(max(coalesce(n_values, 0)) AS BIGINT) AS n_values,
-         CAST(max(coalesce(n_changed, 0)) AS BIGINT) AS n_changed
+  SELECT doc_id, item_id, shift, list(t || ' ' || a) FILTER (n > 1) AS torn,
+         count(*) FILTER (n = 1) AS n_values, count(*) FILTER (n = 1 AND changed) AS n_changed
+  FROM by_value GROUP BY ALL),
+fits AS (
+  SELECT h.doc_id, h.item_id, h.shift, item_place, n_values, n_changed
   FROM hits h LEFT JOIN slots s
     ON h.doc_id IS NOT DISTINCT FROM s.doc_id AND h.item_id IS NOT DISTINCT FROM s.item_id
        AND h.shift = s.shift
-  WHERE NOT coalesce(torn, false) GROUP BY h.doc_id, h.item_id)
-SELECT doc_id, found.item_id, n_windows, n_matched, n_matched / n_windows AS share, n_values,
+  WHERE NOT coalesce(list_has_any(
+    [ts[i] || ' ' || item_values[i] FOR i IN range(1, len(ts) + 1)], torn), false)),
+runs AS (
+  SELECT doc_id, item_id, max(n) AS longest_run FROM (
+    SELECT doc_id, item_id, shift, run, count(*) AS n FROM (
+      SELECT *, item_place - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY item_place)
+             AS run FROM (SELECT DISTINCT doc_id, item_id, shift, item_place FROM fits))
+    GROUP BY ALL) GROUP BY doc_id, item_id),
+found AS (
+  SELECT doc_id, item_id, count(DISTINCT item_place) AS n_matched,
+         CAST(max(coalesce(n_values, 0)) AS BIGINT) AS n_values,
+         CAST(max(coalesce(n_changed, 0)) AS BIGINT) AS n_changed
+  FROM fits GROUP BY doc_id, item_id)
+SELECT f.doc_id, f.item_id, n_windows, n_matched, n_matched / n_windows AS share, longest_run, n_values,
        n_changed
-FROM found JOIN totals ON found.item_id IS NOT DISTINCT FROM totals.item_id
-WHERE n_matched >= {min_share} * n_windows"""
+FROM found f JOIN totals ON f.item_id IS NOT DISTINCT FROM totals.item_id
+JOIN runs r ON f.doc_id IS NOT DISTINCT FROM r.doc_id AND f.item_id IS NOT DISTINCT FROM r.item_id
+WHERE n_matched >= {min_share} * n_windows OR longest_run >= {min_run}"""
