@@ -123,3 +123,51 @@ REACH_CTE = f"""SELECT origin, origin AS node, 0 AS hops FROM fx_origins
 @register(REACH, recursive=True, extra={"reach": REACH_CTE})
 def gossip_reach(spark, d):
     return G.gossip_reach(X.links(spark, d), X.origins(spark, d))
+
+
+FRAME_BUDGET = 16_000
+# Frames that are neither invalid nor our own nor seen before, in the order they arrive; then a walk
+# along the byte budget, and one along the ids of the messages it admits.
+INBOUND_TOPIC = {
+    "arrived": f"""SELECT event_id AS seq, {X.AS_OF_MS} + (ts_ms - {X.AS_OF_MS}) // 100000 AS arrival_ms,
+          event_id % 3 AS kind, event_id % 11 = 0 AS plain, (event_id // 6) % 2 + 1 AS stream_id,
+          printf('%064x', (event_id // 6) % 5 + 1) AS origin,
+          printf('%064x', CASE WHEN event_id % 4 = 0 THEN event_id + 1000000000 ELSE event_id // 6 + 1 END)
+            AS gossip_id, event_id % 6 AS hops, r.accepted, r.message_id, r.mac_hex,
+          CASE WHEN event_id % 3 <> 2 THEN octet_length(encode(props)) WHEN event_id % 37 = 0 THEN 0
+            ELSE octet_length(encode(r.value)) END AS bytes
+        FROM ev JOIN relay r ON r."offset" = event_id""",
+    "heard_once": f"""SELECT * FROM (
+        SELECT *, NOT plain AND lag(seq) OVER (PARTITION BY plain, kind, stream_id, origin, gossip_id
+            ORDER BY arrival_ms, seq) IS NOT NULL AS again FROM arrived
+        WHERE plain OR seq % 13 <> 0 AND origin <> '{LOCAL}') WHERE NOT again""",
+    "asked_bytes": """SELECT *, row_number() OVER (ORDER BY arrival_ms, seq) AS rn FROM heard_once
+        WHERE bytes > 0""",
+    "spending": f"""SELECT seq, rn, arrival_ms, true AS ok, {FRAME_BUDGET}::DOUBLE - bytes AS tokens
+          FROM asked_bytes WHERE rn = 1
+        UNION ALL SELECT seq, rn, arrival_ms, have >= bytes,
+          CASE WHEN have >= bytes THEN have - bytes ELSE have END
+        FROM (SELECT a.*, least({FRAME_BUDGET}::DOUBLE, s.tokens
+                + {FRAME_BUDGET}::DOUBLE * (a.arrival_ms - s.arrival_ms)::DOUBLE / 1000.0) AS have
+              FROM spending s JOIN asked_bytes a ON a.rn = s.rn + 1)""",
+    "topic_frames": """SELECT h.* FROM heard_once h LEFT JOIN spending s USING (seq)
+        WHERE kind = 2 AND (bytes = 0 OR s.ok)""",
+    "readable": """SELECT seq, arrival_ms, mac_hex, hops, plain, gossip_id,
+          CASE WHEN message_id <> '' THEN message_id WHEN plain THEN '' ELSE gossip_id END AS message_id
+        FROM topic_frames WHERE bytes > 0 AND accepted""",
+}
+
+
+@register(f"""SELECT seq, mac_hex, message_id, CASE WHEN plain THEN 'frame-' || seq ELSE gossip_id END
+      AS frame_id, CAST(CASE WHEN plain OR hops = 0 THEN {S.GOSSIP_TTL} WHEN hops > 1 THEN hops - 1 END
+      AS INTEGER) AS ttl FROM (
+        SELECT *, min(seq) OVER (PARTITION BY message_id) AS first_seq FROM readable)
+      WHERE message_id = '' OR seq = first_seq
+    UNION ALL SELECT seq, NULL, '', CASE WHEN plain THEN 'frame-' || seq ELSE gossip_id END,
+      CAST(CASE WHEN plain OR hops = 0 THEN {S.GOSSIP_TTL} WHEN hops > 1 THEN hops - 1 END AS INTEGER)
+      FROM topic_frames WHERE bytes = 0""", recursive=True, extra=INBOUND_TOPIC)
+def inbound_topic(spark, d):
+    """Topic messages in frames, within the byte budget, readable and not seen before. The time to
+    live is longer than the frames take, so that of each id only the first one counts."""
+    found = L.inbound_topic(X.topic_packets(spark, d), LOCAL, INBOUND_TTL_MS, FRAME_BUDGET)
+    return found.select("seq", "mac_hex", "message_id", "frame_id", "ttl")

@@ -10,7 +10,8 @@ from tidegauge.functions.jsonfields import evaluated_once
 from tidegauge.operators import envelopes as E
 from tidegauge.operators import frames as R
 from tidegauge.operators import gossip as G
-from tidegauge.operators.presence import dedupe_sliding
+from tidegauge.operators.admission import rate_limit
+from tidegauge.operators.presence import dedupe_fixed, dedupe_sliding
 from tidegauge.sources.tables import append_batch, append_messages
 from tidegauge.streaming.state import dedupe_fixed_stream, dedupe_sliding_stream
 from tidegauge.streaming.stores import registry_rows_of, state_sessions
@@ -142,6 +143,57 @@ def gossip_inbound(packets: DataFrame, local_id: str, peers: DataFrame, seen_ttl
     return outbound_gossip(fresh, peers)
 
 
+def received_frames(packets: DataFrame, local_id: str, seen_ttl_ms: int) -> DataFrame:
+    """Valid frames of any type that are neither our own nor a repeat, with their bodies.
+
+    Only frames with an envelope can be recognised as repeats.
+    """
+    frames = evaluated_once(R.decode_tunnel_frames(packets)).filter("valid")
+    decoded = evaluated_once(R.decode_gossip(frames))
+    relayed = F.col("type").isin(*G.RELAYED, "kafka_broadcast")
+    enveloped = relayed & (F.col("status") == "envelope")
+    columns = ["seq", "arrival_ms", "type", F.col("stream_id").cast("bigint").alias("stream_id"), "origin",
+               "message_id", "ttl"]
+    heard = decoded.filter(enveloped & (F.col("origin") != local_id)).select(*columns, "body")
+    fresh = dedupe_sliding(heard, list(G.GOSSIP_KEY), "arrival_ms", "seq", seen_ttl_ms)
+    none = F.lit(None).cast("string")
+    plain = decoded.filter(~relayed | (F.col("status") == "plain")).withColumns(
+        {"origin": none, "message_id": none, "ttl": F.lit(0),
+         "body": F.when(relayed, F.col("body")).otherwise(F.col("payload"))}).select(*columns, "body")
+    return fresh.unionByName(plain)
+
+
+def inbound_topic(packets: DataFrame, local_id: str, seen_ttl_ms: int, capacity: int,
+                  ttl_ms: int = S.SEEN_TTL_MS, segment_ms: int = 50_000) -> DataFrame:
+    """Topic messages in received frames that are recorded here and passed on.
+
+    All frames draw on the node's byte budget in the order they arrive, and those it does not admit
+    are lost. A topic message that cannot be read stops here; of one id, only the first within
+    ``ttl_ms`` is recorded and passed on. The columns are those that device state is made of, the
+    message's own id (``message_id``), and for the way on the envelope's id (``frame_id``) and the hops
+    it has left (``ttl``, NULL at the last hop).
+    """
+    received = received_frames(packets, local_id, seen_ttl_ms).withColumns(
+        {"node": F.lit(local_id), "_bytes": F.octet_length("body")})
+    admitted = rate_limit(received, capacity, ms="arrival_ms", seq="seq", size="_bytes",
+                          segment_ms=segment_ms).filter(
+        (F.col("type") == "kafka_broadcast") & F.col("accepted"))
+    frame = F.coalesce("message_id", F.concat_ws("-", F.lit("frame"), "seq")).alias("frame_id")
+    topic = admitted.select(
+        "seq", "arrival_ms", frame, F.col("message_id").alias("meta_id"), F.col("origin").alias("meta_origin"),
+        G.relay_kafka_ttl(F.col("ttl")).alias("ttl"), F.col("body").cast("string").alias("value"))
+    # An empty message has nothing to record, and nothing to be recognised by: it only goes on.
+    empty = F.col("value") == ""
+    parsed = E.parse_edge_json(topic.filter(~empty), "arrival_ms", F.col("meta_origin"),
+                               F.col("meta_id")).filter("accepted")
+    kept = ["seq", "arrival_ms", "frame_id", "ttl", "value", "mac_hex", "message_id"]
+    fresh = dedupe_fixed(parsed.select(*kept), "message_id", "arrival_ms", "seq", ttl_ms)
+    bare = topic.filter(empty).withColumns(
+        {"mac_hex": F.lit(None).cast("string"), "message_id": F.lit("")}).select(*kept)
+    return fresh.unionByName(bare).withColumns(
+        {"partition": F.lit(0), "offset": F.col("seq"), "ttl": F.col("ttl").cast("int")})
+
+
 def gossip_inbound_stream(packets: DataFrame, local_id: str, peers: DataFrame, delivered: str,
                           sent: str, checkpoint: str, seen_ttl_ms: int, available_now: bool = True):
     """Stream form: fresh messages to the ``delivered`` table, and what is passed on to ``sent``."""
