@@ -1,7 +1,10 @@
 import random
 import struct
 
+import pytest
+
 from tidegauge.operators import frames as R
+from tidegauge.operators import long_streams as LS
 
 
 def frame(payload, length=None):
@@ -18,11 +21,11 @@ def cut(rnd, data):
     return out
 
 
-def run(spark, streams, max_payload=100):
+def run(spark, streams, max_payload=100, cut=R.reassemble_frames):
     rows = [(s, i, c) for s, chunks in streams.items() for i, c in enumerate(chunks)]
     random.Random(0).shuffle(rows)
     df = spark.createDataFrame(rows, "stream_id long, seq long, bytes binary")
-    got = R.reassemble_frames(df, max_payload=max_payload).collect()
+    got = cut(df, max_payload=max_payload).collect()
     out = {}
     for r in sorted(got, key=lambda r: (r.stream_id, r.frame_no)):
         out.setdefault(r.stream_id, []).append(bytes(r.frame))
@@ -49,6 +52,41 @@ def test_too_large_a_chunk_ends_the_stream(spark):
         1: [good], 2: [good]}
 
 
+@pytest.mark.parametrize("range_bytes", [1, 19, 64, 500, 10**6])
+def test_long_streams_are_cut_as_by_one_reader(spark, range_bytes):
+    """Frames, garbage, headers that declare too much and chunks that overflow, in small ranges."""
+    rnd = random.Random(range_bytes)
+    streams = {}
+    for s in range(24):
+        parts = [frame(rnd.choice([b"", bytes(rnd.choice([1, 18, 40])), rnd.randbytes(rnd.choice([5, 90, 200]))]))
+                 for _ in range(rnd.choice([1, 10, 25]))]
+        if s % 4 == 1:
+            parts.insert(rnd.randrange(len(parts) + 1), frame(b"", rnd.choice([201, 2**31])))
+        if s % 4 == 2:
+            parts.append(rnd.randbytes(rnd.choice([3, 17, 18, 60])))
+        chunks = cut(rnd, b"".join(parts))
+        if s % 6 == 5:
+            at = rnd.randrange(len(chunks))
+            chunks[at:at + 9] = [b"".join(chunks[at:at + 9])]  # perhaps too much at once
+        if s % 5 == 0:
+            chunks.insert(rnd.randrange(len(chunks)), b"")
+        streams[s + 1] = chunks
+    streams[99] = [b"", b""]
+
+    def long(df, max_payload):
+        return LS.reassemble(df, max_payload, long_bytes=1, range_bytes=range_bytes)
+
+    want = run(spark, streams, max_payload=200)
+    assert run(spark, streams, 200, long) == want and sum(map(len, want.values())) > 50
+
+
+def test_chains_through_a_range():
+    data = frame(b"abc") + frame(b"") + frame(b"x" * 30)
+    entry, leaves = LS.exits(data[:50], data[50:], 100)
+    assert dict(zip(entry.tolist(), leaves.tolist()))[0] == len(data)
+    assert LS.next_starts(data[:20], data[20:], 2)[0] == -1
+
+
 def test_edge_frames(spark):
     rows = [(1, frame(b"hello")), (2, frame(b"hello", 6)), (3, b"\x01" * 17), (4, frame(b"")),
             (5, struct.pack(">6sQI", b"\xff" * 6, 2**64 - 1, 0))]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegauge import fixtures as X
 from tidegauge.functions.payload import hex_id as hex_id_of
 from tidegauge.operators import frames as R
+from tidegauge.operators import long_streams as LS
 from tidegauge.queries import oracle_inputs as O
 from tidegauge.queries.catalog import register
 
@@ -70,10 +71,13 @@ def split_stream_id(spark, d):
     return X.frames(spark, d).select("stream_id", "event_id", *R.split_stream_id(F.col("stream_id")))
 
 
-@register(f"""SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY event_id) - 1
+REASSEMBLED = f"""SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY event_id) - 1
     AS frame_no, lower(hex(frame)) AS frame_hex
     FROM (SELECT f.* FROM fx_frames f JOIN ev USING (event_id)
-          WHERE {VALID} AND user_id % 25 <> 24)""")
+          WHERE {VALID} AND user_id % 25 <> 24)"""
+
+
+@register(REASSEMBLED)
 def reassemble_frames(spark, d):
     return R.reassemble_frames(X.chunks(spark, d)).select(
         "stream_id", "frame_no", F.lower(F.hex("frame")).alias("frame_hex"))
@@ -86,3 +90,10 @@ def hex_id(spark, d):
         WHEN 1 THEN lower(lpad(hex(event_id), 64, '0')) WHEN 2 THEN concat('xyz', event_id)
         ELSE lower(lpad(hex(event_id), 62, '0')) END""")
     return X.table(spark, d, "events").select("event_id", hex_id_of(text).alias("id"))
+
+
+@register(REASSEMBLED)
+def reassemble_long_streams(spark, d):
+    """The same frames, every stream cut in ranges of 512 bytes."""
+    return LS.reassemble(X.chunks(spark, d), long_bytes=1, range_bytes=512).select(
+        "stream_id", "frame_no", F.lower(F.hex("frame")).alias("frame_hex"))
