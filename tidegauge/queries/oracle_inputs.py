@@ -306,7 +306,7 @@ SELECT DISTINCT s AS a, b FROM (
   SELECT s, (11 * s + 5) % n AS b FROM (SELECT s_suppkey AS s, count(*) OVER () AS n FROM supplier))
 WHERE s <> b"""
 
-ORIGINS = "SELECT s_suppkey AS origin FROM supplier WHERE s_nationkey < 5"
+ORIGINS = "SELECT s_suppkey AS origin FROM supplier"
 
 PEERS = f"""
 SELECT lower({hexn('s_suppkey + 1', 64)}) AS peer_id,
