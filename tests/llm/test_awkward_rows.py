@@ -33,7 +33,7 @@ def quality(spark, docs):
 
 
 def likelihood(spark, docs):
-    return pseudo_likelihood.scored(docs, rounds=1, every=2)
+    return pseudo_likelihood.word_scored(docs, rounds=1, every=2)
 
 
 def secrets(spark, docs):

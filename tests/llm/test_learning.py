@@ -221,3 +221,17 @@ def test_rollup_of_the_documents(spark, sf_dir):
     got = {(r.source, r.lang, r.version): (r.n_docs, r.n_tokens)
            for r in queries.QUERIES["op4_token_rollup"](spark, sf_dir).collect()}
     assert got == want and tiktoken
+
+
+def test_log_count_ratios_are_those_of_plain_counts(spark, sf_dir):
+    """Indicators of every labelled row that is not held out, counted one by one."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = Q.train(docs.select("doc_id", "text"), labels)
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    counts = np.ones((Q.DIMENSIONS, 2))
+    for row in docs.collect():
+        if row.doc_id in label and zlib.crc32(str(row.doc_id).encode()) % 5:
+            for feature in set(Q.features(row.text).tolist()):
+                counts[feature, label[row.doc_id]] += 1
+    shares = counts / counts.sum(axis=0)
+    assert np.allclose(model.ratios, np.log(shares[:, 1] / shares[:, 0]))
