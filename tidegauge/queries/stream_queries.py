@@ -295,6 +295,13 @@ def gossip_inbound_stream(spark, d):
     return spark.read.parquet(f"{sent}/batch_id=*").select("seq", "type", "message_id", "ttl", "peer_id")
 
 
+@same_sql_as("inbound_topic")
+def inbound_topic_stream(spark, d):
+    packets = streamed(spark, X.topic_packets(spark, d), "topic-packets", "seq")
+    found = P.inbound_topic_stream(packets, GQ.LOCAL, GQ.INBOUND_TTL_MS, GQ.FRAME_BUDGET)
+    return drained(spark, found, "inbound").select("seq", "mac_hex", "message_id", "frame_id", "ttl")
+
+
 EDGE = """SELECT 'x' || (event_id // 4) AS message_id, ts_ms AS arrival_ms, event_id AS "offset",
     mac12, props, user_id FROM ev WHERE event_id % 11 <> 0 AND event_id % 13 <> 0"""
 EDGE_CTES = {"edge": EDGE, **PQ.fixed_ctes("edge", "message_id", "arrival_ms", '"offset"', S.SEEN_TTL_MS)}

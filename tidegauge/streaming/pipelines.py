@@ -13,7 +13,7 @@ from tidegauge.operators import gossip as G
 from tidegauge.operators.admission import rate_limit
 from tidegauge.operators.presence import dedupe_fixed, dedupe_sliding
 from tidegauge.sources.tables import append_batch, append_messages
-from tidegauge.streaming.state import dedupe_fixed_stream, dedupe_sliding_stream
+from tidegauge.streaming.state import dedupe_fixed_stream, dedupe_sliding_stream, rate_limit_stream
 from tidegauge.streaming.stores import registry_rows_of, state_sessions
 
 
@@ -148,6 +148,13 @@ def received_frames(packets: DataFrame, local_id: str, seen_ttl_ms: int) -> Data
 
     Only frames with an envelope can be recognised as repeats.
     """
+    heard, plain = _heard_frames(packets, local_id)
+    fresh = dedupe_sliding(heard, list(G.GOSSIP_KEY), "arrival_ms", "seq", seen_ttl_ms)
+    return fresh.unionByName(plain)
+
+
+def _heard_frames(packets: DataFrame, local_id: str) -> tuple[DataFrame, DataFrame]:
+    """Frames in an envelope of another node, and those without envelope."""
     frames = evaluated_once(R.decode_tunnel_frames(packets)).filter("valid")
     decoded = evaluated_once(R.decode_gossip(frames))
     relayed = F.col("type").isin(*G.RELAYED, "kafka_broadcast")
@@ -155,12 +162,11 @@ def received_frames(packets: DataFrame, local_id: str, seen_ttl_ms: int) -> Data
     columns = ["seq", "arrival_ms", "type", F.col("stream_id").cast("bigint").alias("stream_id"), "origin",
                "message_id", "ttl"]
     heard = decoded.filter(enveloped & (F.col("origin") != local_id)).select(*columns, "body")
-    fresh = dedupe_sliding(heard, list(G.GOSSIP_KEY), "arrival_ms", "seq", seen_ttl_ms)
     none = F.lit(None).cast("string")
     plain = decoded.filter(~relayed | (F.col("status") == "plain")).withColumns(
         {"origin": none, "message_id": none, "ttl": F.lit(0),
          "body": F.when(relayed, F.col("body")).otherwise(F.col("payload"))}).select(*columns, "body")
-    return fresh.unionByName(plain)
+    return heard, plain
 
 
 def inbound_topic(packets: DataFrame, local_id: str, seen_ttl_ms: int, capacity: int,
@@ -174,10 +180,27 @@ def inbound_topic(packets: DataFrame, local_id: str, seen_ttl_ms: int, capacity:
     it has left (``ttl``, NULL at the last hop).
     """
     received = received_frames(packets, local_id, seen_ttl_ms).withColumns(
-        {"node": F.lit(local_id), "_bytes": F.octet_length("body")})
-    admitted = rate_limit(received, capacity, ms="arrival_ms", seq="seq", size="_bytes",
-                          segment_ms=segment_ms).filter(
-        (F.col("type") == "kafka_broadcast") & F.col("accepted"))
+        {"node": F.lit(local_id), "size": F.octet_length("body")})
+    admitted = rate_limit(received, capacity, ms="arrival_ms", seq="seq", size="size", segment_ms=segment_ms)
+    parsed, bare = _topic_messages(admitted)
+    return _recorded(dedupe_fixed(parsed, "message_id", "arrival_ms", "seq", ttl_ms).unionByName(bare))
+
+
+def inbound_topic_stream(packets: DataFrame, local_id: str, seen_ttl_ms: int, capacity: int,
+                         ttl_ms: int = S.SEEN_TTL_MS) -> DataFrame:
+    """Stream form of ``inbound_topic``: three stateful steps one after the other."""
+    heard, plain = _heard_frames(packets, local_id)
+    fresh = dedupe_sliding_stream(heard, list(G.GOSSIP_KEY), "arrival_ms", "seq", seen_ttl_ms)
+    received = fresh.unionByName(plain).withColumns(
+        {"node": F.lit(local_id), "size": F.octet_length("body")})
+    admitted = rate_limit_stream(received, capacity, "node", "arrival_ms", "seq", "size")
+    parsed, bare = _topic_messages(admitted)
+    return _recorded(dedupe_fixed_stream(parsed, "message_id", "arrival_ms", "seq", ttl_ms).unionByName(bare))
+
+
+def _topic_messages(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Admitted topic messages that can be read, and those that are empty."""
+    admitted = marked.filter((F.col("type") == "kafka_broadcast") & F.col("accepted"))
     frame = F.coalesce("message_id", F.concat_ws("-", F.lit("frame"), "seq")).alias("frame_id")
     topic = admitted.select(
         "seq", "arrival_ms", frame, F.col("message_id").alias("meta_id"), F.col("origin").alias("meta_origin"),
@@ -187,10 +210,13 @@ def inbound_topic(packets: DataFrame, local_id: str, seen_ttl_ms: int, capacity:
     parsed = E.parse_edge_json(topic.filter(~empty), "arrival_ms", F.col("meta_origin"),
                                F.col("meta_id")).filter("accepted")
     kept = ["seq", "arrival_ms", "frame_id", "ttl", "value", "mac_hex", "message_id"]
-    fresh = dedupe_fixed(parsed.select(*kept), "message_id", "arrival_ms", "seq", ttl_ms)
     bare = topic.filter(empty).withColumns(
         {"mac_hex": F.lit(None).cast("string"), "message_id": F.lit("")}).select(*kept)
-    return fresh.unionByName(bare).withColumns(
+    return parsed.select(*kept), bare
+
+
+def _recorded(fresh: DataFrame) -> DataFrame:
+    return fresh.withColumns(
         {"partition": F.lit(0), "offset": F.col("seq"), "ttl": F.col("ttl").cast("int")})
 
 
