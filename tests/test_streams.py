@@ -130,7 +130,7 @@ def envelope_rows(spark, first, n):
     for i in range(first, first + n):
         mac = f"{i % 7:012x}"
         value = "broken" if i % 5 == 4 else json.dumps(
-            {"mac_hex": mac, "timestamp_ms": 1000 + i, "payload_base64": "aGVsbG8="})
+            {"mac_hex": mac, "timestamp_ms": 1000 + i, "payload_base64": "dGlkZQ=="})
         rows.append((0, i, mac, value, 2000 + i))
     return spark.createDataFrame(rows, S.LANDING).coalesce(1)
 
