@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from tidegauge import schema as S
 from tidegauge.operators.bounded_routes import TABLE, RouteTable, table_rows, take, walk_events
-from tidegauge.streaming.state import _in_order, _run, _struct
+from tidegauge.streaming.state import _in_order, _run_processor, _struct
 
 
 class BoundedTable(StatefulProcessor):
@@ -40,4 +40,4 @@ def bounded_routes_stream(log: DataFrame, max_routes: int = S.MAX_ROUTES) -> Dat
     """Stream form of ``bounded_routes``: the tables that a micro-batch has touched, each whole, with
     the last event they have seen (``upto_seq``)."""
     schema = f"{TABLE}, upto_seq bigint"
-    return _run(walk_events(log), ["owner"], BoundedTable(max_routes), schema, False)
+    return _run_processor(walk_events(log), ["owner"], BoundedTable(max_routes), schema)

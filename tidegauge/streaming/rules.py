@@ -2,98 +2,66 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor
 
 from tidegauge.operators.rules import conditions, decisive
-from tidegauge.streaming.state import LONG, _in_order, _run, _struct, _watermarked
+from tidegauge.streaming.state import LONG, Keyed, _run, _struct, _watermarked
 
 
-class _Timed(StatefulProcessor):
-    """One value per key and at most one timer, at the next instant that matters."""
+class _Open(Keyed):
+    """What is open at a key: since when, and how much of it has been told."""
 
     state_schema = _struct(since=LONG, done=LONG)
 
     def __init__(self, ms: str, seq: str):
-        self.ms, self.seq = ms, seq
-
-    def init(self, handle):
-        self.handle = handle
-        self.state = handle.getValueState("state", self.state_schema)
-
-    def _keep(self, since, done, timer):
-        """Store what is open, and wait for ``timer`` if there is one."""
-        for old in list(self.handle.listTimers()):
-            if old != timer:
-                self.handle.deleteTimer(old)
-            else:
-                timer = None
-        if since is None:
-            self.state.clear()
-            return
-        self.state.update((since, done))
-        if timer is not None:
-            self.handle.registerTimer(timer)
-
-    def close(self):
-        pass
+        self.ms = ms
+        self.order = [ms, seq]
 
 
-class RuleTimer(_Timed):
+class RuleTimer(_Open):
     """A hit per stretch, when the condition has held for its time: at a row or at the timer."""
 
-    def __init__(self, key: str, ms: str, seq: str):
-        super().__init__(ms, seq)
-        self.key = key
+    def _hit(self, key, since):
+        return key[0], key[1], since, since + key[2]
 
-    def _rows(self, key, hits):
-        return pd.DataFrame([(key[0], key[1], since, since + key[2]) for since in hits],
-                            columns=[self.key, "rule_id", "since_ms", "hit_ms"])
-
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _in_order(rows, [self.ms, self.seq])
-        hold = int(key[2])
-        since, done = self.state.get() if self.state.exists() else (None, 0)
+    def take(self, key, rows, held):
+        hold = key[2]
+        since, done = held or (None, 0)
         hits = []
-        for now, holds in zip(pdf[self.ms], pdf["holds"]):
+        for row in rows:
+            now, holds = row[self.ms], row["holds"]
             if holds and since is None:
-                since, done = int(now), 0
+                since, done = now, 0
             if since is not None and not done and since + hold <= now:
-                hits.append(since)
+                hits.append(self._hit(key, since))
                 done = 1
             if not holds:
                 since = None
-        self._keep(since, done, None if since is None or done else since + hold)
-        if hits:
-            yield self._rows(key, hits)
+        if since is None:
+            return hits, None, None
+        return hits, (since, done), None if done else since + hold
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        since, done = self.state.get() if self.state.exists() else (None, 1)
-        if since is not None and not done:
-            self.state.update((since, 1))
-            yield self._rows(key, [since])
+    def expire(self, key, held, watermark_ms):
+        since, done = held
+        return [] if done else [self._hit(key, since)], (since, 1), None
 
 
-class AlertTimer(_Timed):
+class AlertTimer(_Open):
     """Raises, repeats and clears the alert of a key; the timer stands at the next repeat."""
 
-    def __init__(self, key: str, ms: str, seq: str, renotify_ms: int):
+    def __init__(self, ms: str, seq: str, renotify_ms: int):
         super().__init__(ms, seq)
-        self.key, self.every = key, renotify_ms
-
-    def _frame(self, key, events):
-        return pd.DataFrame([(key[0], *e) for e in events], columns=[self.key, "at_ms", "kind", "n"])
+        self.every = renotify_ms
 
     def _repeats(self, since, done, upto):
         return [(since + n * self.every, "repeat", n)
                 for n in range(done + 1, max(done, (upto - since) // self.every) + 1)]
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _in_order(rows, [self.ms, self.seq])
-        since, done = self.state.get() if self.state.exists() else (None, 0)
+    def take(self, key, rows, held):
+        since, done = held or (None, 0)
         events = []
-        for now, raised in zip(pdf[self.ms].tolist(), pdf["mark"].tolist()):
+        for row in rows:
+            now, raised = row[self.ms], row["mark"]
             clears = raised == "no"
             if since is not None:
                 repeats = self._repeats(since, done, now - 1 if clears else now)
@@ -105,20 +73,16 @@ class AlertTimer(_Timed):
             elif raised == "yes":
                 since, done = now, 0
                 events.append((now, "raise", 0))
-        self._keep(since, done, None if since is None else since + (done + 1) * self.every)
-        if events:
-            yield self._frame(key, events)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if not self.state.exists():
-            return
-        since, done = self.state.get()
-        repeats = self._repeats(since, done, timerValues.getCurrentWatermarkInMs())
+        out = [(key[0], *e) for e in events]
+        if since is None:
+            return out, None, None
+        return out, (since, done), since + (done + 1) * self.every
+
+    def expire(self, key, held, watermark_ms):
+        since, done = held
+        repeats = self._repeats(since, done, watermark_ms)
         done += len(repeats)
-        self.state.update((since, done))
-        self.handle.registerTimer(since + (done + 1) * self.every)
-        if repeats:
-            yield self._frame(key, repeats)
+        return [(key[0], *e) for e in repeats], (since, done), since + (done + 1) * self.every
 
 
 def rule_hits_stream(messages: DataFrame, rules: DataFrame, delay: str, key: str, ms: str, seq: str,
@@ -128,7 +92,7 @@ def rule_hits_stream(messages: DataFrame, rules: DataFrame, delay: str, key: str
     schema = T.StructType([messages.schema[key], rules.schema["rule_id"],
                            T.StructField("since_ms", LONG), T.StructField("hit_ms", LONG)])
     return _run(_watermarked(checked, ms, delay), [key, "rule_id", "hold_ms"],
-                RuleTimer(key, ms, seq), schema, True)
+                RuleTimer(ms, seq), schema, True)
 
 
 def alerts_stream(readings: DataFrame, delay: str, key: str, ms: str, seq: str, value: str,
@@ -139,4 +103,4 @@ def alerts_stream(readings: DataFrame, delay: str, key: str, ms: str, seq: str,
         key, ms, seq, F.when(raised, "yes").when(~raised, "no").otherwise("").alias("mark"))
     schema = T.StructType([readings.schema[key], T.StructField("at_ms", LONG),
                            T.StructField("kind", T.StringType()), T.StructField("n", LONG)])
-    return _run(_watermarked(marked, ms, delay), [key], AlertTimer(key, ms, seq, renotify_ms), schema, True)
+    return _run(_watermarked(marked, ms, delay), [key], AlertTimer(ms, seq, renotify_ms), schema, True)
