@@ -6,7 +6,8 @@ lies in the state store (RocksDB, by ``session.prepare``) below the query's chec
 partitions when a query first starts.
 
 A device's state is a session that every write renews: the watermark drops it from the store once
-its time to live has passed without a write.
+its time to live has passed without a write. Without a watermark nothing leaves the store, which then
+holds one row per entry, expired or not.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ FOREVER_DAYS = 36_500  # longer than any stream: a time to live of 0 never ends
 # aggregates of a query may be of one kind, or their names would be the same.
 _REGISTRY = ("mac_addr", "timestamp", "_position", "id")
 _STATE = ("key", "_start", "_key", "_window", "written_ms", "e", "_order")
+_ENTRIES = ("key", "written_ms", "e", "_order")  # without watermark
 
 
 def registry_rows_of(connections: DataFrame) -> DataFrame:
@@ -32,22 +34,25 @@ def registry_rows_of(connections: DataFrame) -> DataFrame:
         F.max_by("timestamp", arrival_order()).alias("timestamp"), F.min(seen_order()).alias("id"))
 
 
-def state_sessions(messages: DataFrame, delay: str, key: str = "mac_hex", value: str = "value",
+def state_sessions(messages: DataFrame, delay: str | None, key: str = "mac_hex", value: str = "value",
                    ms: str = "arrival_ms", state_ttl_ms: int = S.DEVICE_ONLINE_TTL_MS,
                    latest_ttl_ms: int = S.DEVICE_LATEST_TTL_MS) -> DataFrame:
     """Sessions of the ``state`` and ``latest`` entries of each device, as a stream aggregation.
 
     ``delay`` is how late a message may be behind the newest. What leaves the aggregation, in append
-    mode, are the entries that have expired.
+    mode, are the entries that have expired. With a delay of None no message is late and no entry ever
+    leaves: the last write of each, however messages are ordered, to be run in update mode.
     """
     rows = messages.select(F.inline(state_entries(F.col(key), F.col(value), state_ttl_ms, latest_ttl_ms)),
                            F.col(ms).alias("written_ms"), arrival_order().alias("position"))
+    last = [F.max("written_ms").alias("written_ms"),
+            F.max_by(F.struct("value", "ttl_ms"), "position").alias("entry")]
+    if delay is None:
+        return rows.groupBy("key").agg(*last)
     gap = F.when(F.col("ttl_ms") > 0, F.concat(F.col("ttl_ms").cast("string"), F.lit(" milliseconds"))
                  ).otherwise(f"{FOREVER_DAYS} days")
     timed = rows.withColumn("_at", F.timestamp_millis("written_ms")).withWatermark("_at", delay)
-    return timed.groupBy("key", F.session_window("_at", gap)).agg(
-        F.max("written_ms").alias("written_ms"),
-        F.max_by(F.struct("value", "ttl_ms"), "position").alias("entry"))
+    return timed.groupBy("key", F.session_window("_at", gap)).agg(*last)
 
 
 def _store(spark: SparkSession, checkpoint: str, version: int | None) -> DataFrame | None:
@@ -84,7 +89,9 @@ def read_state(spark: SparkSession, checkpoint: str, version: int | None = None)
     rows = _store(spark, checkpoint, version)
     if rows is None:
         return None
-    rows = rows.select("key.*", "value.*").toDF(*_STATE).groupBy("key").agg(
+    held = rows.select("key.*", "value.*")
+    names = _STATE if len(held.columns) == len(_STATE) else _ENTRIES
+    rows = held.toDF(*names).groupBy("key").agg(
         F.max_by(F.struct("e.*", "written_ms"), F.struct("written_ms", "_order")).alias("e"))
     return rows.select("key", "e.value", F.when(
         F.col("e.ttl_ms") > 0, F.col("e.written_ms") + F.col("e.ttl_ms")).alias("expires_at_ms"))
