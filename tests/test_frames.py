@@ -112,3 +112,25 @@ def test_gossip_and_tunnel_edges(spark):
     got = R.decode_tunnel_frames(spark.createDataFrame(rows, "id long, packet binary"))
     assert [(r.valid, r.type) for r in got.orderBy("id").collect()] == [
         (True, "control"), (False, None), (False, None)]
+
+
+def test_short_ranges_are_streamed_and_not_groups_of_their_own(spark):
+    rnd = random.Random(8)
+    rows, want = [], {}
+    for stream in (1, 2):
+        low = 0
+        for seq in range(300):
+            data = rnd.randbytes(rnd.randint(1, 40))
+            rows.append((stream, seq, low, low + len(data), data))
+            want.setdefault((stream, low // 64), []).append(rows[-1])
+            low += len(data)
+    rnd.shuffle(rows)
+    chunks = spark.createDataFrame(rows, "stream long, seq long, low long, high long, bytes binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # ranges go on over batches
+    try:
+        ranges = LS._ranges(chunks, 64)
+        got = {(r.stream, r.low, r.high, bytes(r.data)) for r in ranges.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(k[0], p[0][2], p[-1][3], b"".join(r[4] for r in p)) for k, p in want.items()}
+    assert "FlatMapGroupsInPandas" not in ranges._jdf.queryExecution().toString()

@@ -61,14 +61,31 @@ _RANGES = "stream bigint, low bigint, high bigint, data binary"
 
 
 def _ranges(chunks: DataFrame, range_bytes: int) -> DataFrame:
-    """The chunks (stream, seq, low, high, bytes) of each range of bytes, put together."""
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["low", "seq"])
-        return pd.DataFrame({"stream": pdf["stream"].iloc[:1], "low": [int(pdf["low"].min())],
-                             "high": [int(pdf["high"].max())], "data": [b"".join(map(bytes, pdf["bytes"]))]})
-
-    return (chunks.withColumn("range", F.expr(f"low DIV {range_bytes}")).groupBy("stream", "range")
-            .applyInPandas(join, _RANGES))
+    """The chunks (stream, seq, low, high, bytes) of each range of bytes, put together.
+
+    Chunks are sorted by the shuffle and streamed through: ranges may be many and short.
+    """
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, low, high, parts = None, 0, 0, []
+        for batch in batches:
+            out = []
+            for stream, place, start, end, data in zip(
+                    batch["stream"], batch["range"], batch["low"], batch["high"], batch["bytes"]):
+                if (stream, place) != key:
+                    if parts:
+                        out.append((key[0], low, high, b"".join(parts)))
+                    key, low, high, parts = (stream, place), start, end, []
+                high = max(high, end)
+                parts.append(data)
+            yield pd.DataFrame(out, columns=["stream", "low", "high", "data"])
+        if parts:
+            yield pd.DataFrame([(key[0], low, high, b"".join(parts))],
+                               columns=["stream", "low", "high", "data"])
+
+    ordered = (chunks.select("stream", F.expr(f"low DIV {range_bytes}").alias("range"), "seq", "low", "high",
+                             "bytes").repartition("stream", "range")
+               .sortWithinPartitions("stream", "range", "low", F.asc_nulls_last("seq")))
+    return ordered.mapInPandas(join, _RANGES)
 
 
 def _maps(ranges: DataFrame, max_payload: int) -> DataFrame:
