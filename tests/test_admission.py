@@ -72,3 +72,19 @@ def test_repeated_connects_count_once(spark):
     rows = [(0, 1, "Connected", 0, i, i) for i in range(3)] + [(0, 1, "Closed", 0, 9, 9)] * 1
     got = A.peak_streams(spark.createDataFrame(rows, SCHEMA)).first()
     assert (got.peak, got.opened) == (1, 1)
+
+
+def test_rows_in_one_moment_are_judged_without_their_bodies(spark, monkeypatch):
+    """Windows and the replay see numbers only, in short segments."""
+    rows = traffic(7)
+    want = bucket(rows, 1000)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("body", F.repeat(F.lit("x"), 200))
+    kept, cut = [], []
+    monkeypatch.setattr(A, "SEGMENT_ROWS", 50)
+    monkeypatch.setattr(A, "checkpointed", lambda d: kept.append(d.columns) or d.localCheckpoint())
+    floor = F.floor
+    monkeypatch.setattr(A.F, "floor", lambda c: cut.append(str(c)) or floor(c))
+    got = A.rate_limit_ingress(df, 1000, segment_ms=10**9).collect()
+    assert {r.seq: r.accepted for r in got} == want and {len(r.body) for r in got} == {200}
+    assert "body" in kept[0] and not any("body" in columns for columns in kept[1:])
+    assert cut and "1000000000" not in cut[0]
