@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.plans import segments as G
+from tidegauge.plans.spread import spread
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +55,18 @@ def test_top_per_key(spark, rows):
         mine = sorted((v, t) for k, t, v in rows if k == key)[:7]
         want |= {(key, t, i + 1) for i, (v, t) in enumerate(mine)}
     assert {(r.k, r.t, r.n) for r in got} == want
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    """A file of one row group has as many splits as cores, but only one of them has rows."""
+    path = str(tmp_path / "one")
+    spark.range(200_000).coalesce(1).write.parquet(path)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(16 << 10))
+    try:
+        rows = spark.read.parquet(path)
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        parts = spread(rows, "id").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert max(r["count"] for r in parts) < 200_000 / 16
