@@ -89,3 +89,23 @@ def test_log_lines_round_trip(spark, tmp_path):
     assert lines.first().value.startswith("Time: 2024-01-02 04:30:00  From ")
     assert K.parse_hit_log(lines).count() == lines.count()
     assert K.hit_log_lines(applied, paused=True).count() == 0
+
+
+def test_many_rules_of_few_values_are_broadcast(spark, monkeypatch):
+    """The size of a set is that of its values, not of the rules that have them."""
+    monkeypatch.setattr(K, "RULES_UNROLLED", 2)
+    monkeypatch.setattr(K, "BROADCAST_RULES", 20)
+    rnd = random.Random(5)
+    rules = [(c, i + 1, a, s, "", 0, 0, 6, "", False, 0, 0, 0, 0, 0, 0)
+             for i, (c, a, s) in enumerate((rnd.randrange(3), rnd.randrange(4), rnd.choice(["", "a", "b"]))
+                                           for _ in range(400))]
+    packets = random_packets(rnd, 300)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = K.classify_packets(spark.createDataFrame(packets, PACKET), spark.createDataFrame(rules, X.RULE_SCHEMA))
+        plan = found._jdf.queryExecution().toString()
+        got = {r.packet_id: (r.rule_no, r.rule_action) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {p[0]: first(p, rules) or (None, None) for p in packets}
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

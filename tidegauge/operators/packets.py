@@ -141,23 +141,32 @@ def _asking(rules: DataFrame) -> DataFrame:
         "_asks", F.concat_ws(",", *names, F.nullif("_side", F.lit(""))))
 
 
+def _firsts(asking: DataFrame) -> DataFrame:
+    """The first rule of each set and its values; what a set does not ask for is NULL."""
+    asks = F.split("_asks", ",")
+    values = [F.when(F.array_contains(asks, n), F.col(c)).alias(c) for n, cols in _ASKED.items() for c in cols]
+    named = asking.select("_asks", "chain", "protocol", *values, F.struct(
+        "rule_no", F.col("action").alias("rule_action")).alias("_rule"))
+    keys = [c for c in named.columns if c != "_rule"]
+    return named.groupBy(*keys).agg(F.min("_rule").alias("_first"))
+
+
 def _tuple_space(packets: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``_hit`` by tuple-space search: one equi-join for each set of fields that rules ask for.
 
     The work per packet follows the number of such sets, at most 144, and not that of the rules. A
-    set's rules with the same values are one: the first of them. Its table is broadcast if it is
-    small, else joined by its keys.
+    set's rules with the same values are one: the first of them. A set's table is broadcast if these
+    are few, however many rules they stand for, else joined by its keys.
     """
-    asking = checkpointed(_asking(rules))
-    sets = {r["_asks"]: r["n"] for r in asking.groupBy("_asks").agg(F.count("*").alias("n")).collect()}
+    firsts = checkpointed(_firsts(_asking(rules)))
+    sets = {r["_asks"]: r["n"] for r in firsts.groupBy("_asks").agg(F.count("*").alias("n")).collect()}
     hit = F.lit(None).cast("struct<rule_no:int,rule_action:int>")
     out, names = packets.withColumn("_hit", hit), sorted(sets)
     for at in range(0, len(names), JOINS_PER_STAGE):
         found = []
         for i, asks in enumerate(names[at:at + JOINS_PER_STAGE]):
             keys = ["chain", "protocol", *[c for n in asks.split(",") if n for c in _ASKED[n]]]
-            first = asking.filter(F.col("_asks") == asks).groupBy(*keys).agg(
-                F.min(F.struct("rule_no", F.col("action").alias("rule_action"))).alias(f"_found{i}"))
+            first = firsts.filter(F.col("_asks") == asks).select(*keys, F.col("_first").alias(f"_found{i}"))
             out = out.join(F.broadcast(first) if sets[asks] <= BROADCAST_RULES else first, keys, "left")
             found.append(f"_found{i}")
         # The lambda ends the generated method here: with all joins in one, it would not be compiled.
