@@ -129,3 +129,20 @@ def test_unigram_fold_is_the_best_path(spark):
     for unit, parts in got.items():
         assert value(parts) == pytest.approx(max(map(value, ways(unit))))
         assert value(pieces.heap_pieces(unit, unigram)) == pytest.approx(value(parts))
+
+
+def test_stored_units_change_no_ids(spark, model, monkeypatch):
+    """Units with ids from the store and units from their bucket's lattice, against no store."""
+    rows = [(i, t) for i, t in enumerate(texts() * 3)] + [(None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, pieces.encode(docs, model, digest=True).collect()), key=str)
+    asked = []
+    counted = pieces.frequent_units
+    monkeypatch.setattr(pieces, "STORE_BUCKETS", 4)
+    monkeypatch.setattr(pieces, "frequent_units", lambda *a: asked.append(counted(*a)) or asked[-1])
+    monkeypatch.setattr(pieces, "STORE_UNITS", 10)
+    assert sorted(map(tuple, pieces.encode(docs, model, digest=True).collect()), key=str) == plain
+    assert len(asked) == 1 and len(asked[0]) == 10
+    for unit, ids in asked[0].items():
+        wanted = [i for p in pieces.heap_pieces(unit, model) for i in model.piece_ids(p)]
+        assert pieces.np.frombuffer(ids, "<i4").tolist() == wanted
