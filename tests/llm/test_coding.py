@@ -1,5 +1,6 @@
 """Range coding, token files and pieces: exact round trips, and the libraries' own ids."""
 
+import pickle
 import random
 import zlib
 
@@ -146,3 +147,43 @@ def test_stored_units_change_no_ids(spark, model, monkeypatch):
     for unit, ids in asked[0].items():
         wanted = [i for p in pieces.heap_pieces(unit, model) for i in model.piece_ids(p)]
         assert pieces.np.frombuffer(ids, "<i4").tolist() == wanted
+
+
+def test_ids_of_many_units_are_those_of_each(model):
+    """Cuts at random, also between characters that have no id."""
+    rng = random.Random(8)
+    units = sorted({"".join(rng.choice("▁aerß中💡\n") for _ in range(rng.randint(1, 60)))
+                    for _ in range(300)})
+    masks = [1 | rng.getrandbits(len(u) + 1) | 1 << len(u) for u in units]
+    lacking = {u for u, m in zip(units, masks) if any(p not in model.ids for p in pieces.cut_pieces(u, m))}
+    found, unsure = pieces.ids_of_units(units, np.array(masks), model)
+    assert unsure == lacking and 0 < len(unsure) < len(units)
+    assert found == {u: pieces.unit_ids(u, m, model) for u, m in zip(units, masks)}
+    assert all(pieces.gives_back(u, found[u], model) for u in units if u not in unsure)
+    assert pieces.ids_of_units([], np.array([], "i8"), model) == ({}, set())
+
+
+def test_the_store_passes_the_driver_once_and_not_as_rows(spark, model, monkeypatch):
+    frame = spark.createDataFrame([(t,) for t in texts() * 2], "text string")
+    collect, rows = type(frame).collect, []
+    monkeypatch.setattr(type(frame), "collect", lambda df: rows.append(collect(df)) or rows[-1])
+    store = pieces.frequent_units(frame, model, 200)
+    assert len(store) > 50
+    assert max(map(len, rows), default=0) < len(store) // 2
+    assert dict(pickle.loads(pickle.dumps(store))) == dict(store)
+    for unit, ids in store.items():
+        assert ids == pieces.unit_ids(unit, None, model) if len(unit) < 2 else np.frombuffer(
+            ids, "<i4").tolist() == [i for p in pieces.heap_pieces(unit, model) for i in model.piece_ids(p)]
+        assert (unit in store.odd) == (not pieces.gives_back(unit, ids, model))
+
+
+@given(st.text(st.sampled_from(" ▁a.Z9\x00\r\n中"), max_size=30))
+def test_stretches_hold_the_texts_units(text):
+    marked = "▁" + text.replace(" ", "▁") if text else ""
+    stretches = ["▁" + r for r in pieces.rests_of(text)]
+    assert "".join(stretches) == marked
+    assert all(s.startswith("▁") and "▁" not in s.lstrip("▁") for s in stretches)
+    units = [u for s in stretches for u in pieces._UNITS.findall(s)]
+    assert units == pieces.units_of(text)
+    assert set(pieces.units_in(stretches)) | {"\x00"} == {*units, "\x00"}
+    assert all(pieces._UNITS.findall(u) == [u] for u in units)
