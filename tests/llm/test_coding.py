@@ -187,3 +187,19 @@ def test_stretches_hold_the_texts_units(text):
     assert units == pieces.units_of(text)
     assert set(pieces.units_in(stretches)) | {"\x00"} == {*units, "\x00"}
     assert all(pieces._UNITS.findall(u) == [u] for u in units)
+
+
+def test_edges_are_folded_in_parts(spark, model, monkeypatch):
+    units = sorted({u for t in texts() for u in pieces.units_of(t) if 2 <= len(u) <= pieces.LONGEST})
+    frame = pieces.unfolded(spark.createDataFrame([(u,) for u in units], "unit string"), [], model).toPandas()
+    fold, sizes = pieces.merged_masks, []
+    monkeypatch.setattr(pieces, "merged_masks", lambda *a: sizes.append(len(a[0])) or fold(*a))
+    whole = pieces.ids_found(frame["unit"], frame["found"], model)
+    monkeypatch.setattr(pieces, "UNITS_AT_ONCE", 7)
+    sizes.clear()
+    assert pieces.ids_found(frame["unit"], frame["found"], model) == whole
+    assert max(sizes) == 7 and sum(sizes) == len(whole[0]) == len(frame) > 14
+    assert all(ids == pieces.unit_ids(u, None, model) if len(u) > pieces.LONGEST else
+               list(np.frombuffer(ids, "<i4")) == [i for p in pieces.heap_pieces(u, model) for i in model.piece_ids(p)]
+               for u, ids in whole[0].items())
+    assert pieces.ids_found(frame["unit"][:0], frame["found"][:0], model) == ({}, set())
