@@ -203,3 +203,19 @@ def test_edges_are_folded_in_parts(spark, model, monkeypatch):
                list(np.frombuffer(ids, "<i4")) == [i for p in pieces.heap_pieces(u, model) for i in model.piece_ids(p)]
                for u, ids in whole[0].items())
     assert pieces.ids_found(frame["unit"][:0], frame["found"][:0], model) == ({}, set())
+
+
+def test_every_text_is_decoded(spark):
+    """A piece whose id stands for another text: only the ids of the whole text show it."""
+    names = ["?", "▁", "a", "b", "xy"]
+    model = pieces.Model(names, [-9.0, -2.0, -2.0, -2.0, -1.0], [], 0, False, {"▁": 1, "a": 2, "b": 3, "ab": 4})
+    rows = [(1, "ab"), (2, "a b"), (3, "b ab"), (4, ""), (5, None), (6, "ba")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_pieces, r.decodes) for r in pieces.encode(docs, model, digest=True).collect()}
+    assert got == {1: (2, False), 2: (4, True), 3: (4, False), 4: (0, True), 5: (0, True), 6: (3, True)}
+
+
+def test_arrays_of_ids_decode_like_lists(model):
+    for text in texts():
+        ids = [i for u in pieces.units_of(text) for p in pieces.heap_pieces(u, model) for i in model.piece_ids(p)]
+        assert model.decoded(np.array(ids, "<i4")) == model.text(ids)
